@@ -9,40 +9,18 @@ full precision.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
-from ..functions.columns import hour_of_day, day_bucket, round_half_up
+from ..functions.columns import day_bucket, hour_of_day
 from ..operators import aggregate as agg
 from ..operators import enrich as en
 from ..operators import windows as win
 from . import workloads as wl
 from .oracle import r, with_, z
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
-        return fn
-    return deco
-
-
-def present(df: DataFrame, digits: dict[str, int]) -> DataFrame:
-    """Round the named double columns in place (column order kept)."""
-    return df.select(*[round_half_up(c, digits[c]).alias(c) if c in digits else F.col(c)
-                       for c in df.columns])
-
+from .registry import FINE, MONEY, ORACLE, QUERIES, present, query  # noqa: F401
 
-MONEY = 2
-FINE = 6
 W1_ROUND = {"total_amount": MONEY, "avg_amount": FINE}
 DIM_ROUND = {"total_received_amount": MONEY, "avg_received_amount": FINE}
 
