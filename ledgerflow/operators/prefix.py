@@ -96,7 +96,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
                     n_partitions: int | None = None, prefix: str = "q") -> DataFrame:
     """Exact continuous quantiles (linear interpolation between the order
     statistics at floor/ceil of p*(n-1)), one row per ``by`` group, columns
-    ``{prefix}{int(p*100)}``.  Distinct values are counted first (partial
+    ``{prefix}{p*100}`` (``q25``, ``q99_9``).  Distinct values are counted first (partial
     aggregation), so repeated values cost one row each."""
     by = list(by or [])
     v = df.select(*by, F.col(value).alias("__v")).filter(F.col("__v").isNotNull())
@@ -114,7 +114,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
         lo, hi = F.floor(pos), F.ceil(pos)
         hit_lo = (F.col("prefix_excl") <= lo) & (lo < F.col("prefix_incl"))
         hit_hi = (F.col("prefix_excl") <= hi) & (hi < F.col("prefix_incl"))
-        name = f"{prefix}{int(round(p * 100))}"
+        name = prefix + format(p * 100, "g").replace(".", "_")
         names.append((name, pos))
         aggs += [F.max(F.when(hit_lo, F.col("__v"))).alias(f"{name}__lo"),
                  F.max(F.when(hit_hi, F.col("__v"))).alias(f"{name}__hi"),

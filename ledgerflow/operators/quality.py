@@ -33,7 +33,7 @@ def profile_text(lines: DataFrame, columns: list[str], expected: list[str] | Non
     label_idx = max((i for i, c in enumerate(low) if c in LABEL_NAMES), default=None)
     amount_idx = max((i for i, c in enumerate(low) if c == "amount"), default=None)
     header_first = low[0] if low else ""
-    body = lines.filter(~first_field(value).isin(header_first, *HEADER_FIRST_FIELDS[:-1]))
+    body = lines.filter(~first_field(value).isin(header_first, *HEADER_FIRST_FIELDS))
     fields = F.split(F.col(value), ",")
     n = F.size(fields)
 
@@ -69,7 +69,7 @@ def header_check(lines: DataFrame, expected: list[str], value: str = "value") ->
     one row per name with expected/found position and a status of ``ok``,
     ``moved``, ``missing`` or ``unexpected``."""
     spark = lines.sparkSession
-    headers = lines.filter(first_field(value).isin(*HEADER_FIRST_FIELDS[:-1]))
+    headers = lines.filter(first_field(value).isin(*HEADER_FIRST_FIELDS))
     found = (headers.select(F.posexplode(F.split(F.col(value), ",")).alias("pos", "raw"))
              .select(strip_quotes("raw").alias("column"), F.col("pos").alias("found_position"))
              .groupBy("column").agg(F.min("found_position").alias("found_position")))

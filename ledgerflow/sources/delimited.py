@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 
 CORRUPT = "_corrupt"
 # First-field text of header lines in the reference layouts.
-HEADER_FIRST_FIELDS = ("step", "source", "")
+HEADER_FIRST_FIELDS = ("step", "source")
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -34,9 +34,10 @@ def first_field(value: str = "value") -> F.Column:
 
 def drop_headers(lines: DataFrame, first_fields=HEADER_FIRST_FIELDS,
                  value: str = "value") -> DataFrame:
-    """Drop header and empty lines: lines whose first field (trimmed, quote
-    stripped, lower-cased) is a header name or empty."""
-    return lines.filter(~first_field(value).isin(*first_fields))
+    """Drop header lines (first field - trimmed, quote stripped, lower-cased -
+    is a header name) and blank lines.  A record whose first field is empty
+    is kept: it parses to a NULL there."""
+    return lines.filter(~first_field(value).isin(*first_fields) & (F.trim(F.col(value)) != ""))
 
 
 def _with_corrupt(schema: StructType) -> StructType:
