@@ -95,17 +95,16 @@ def numeric_summary(df: DataFrame, c: str,
         "count", "mean", "stddev", "min", *quant.columns, "max")
 
 
-def footprint(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
-    """Files, bytes and MB feeding each named table (Parquet/any file
-    source), from the scan's own file metadata."""
+def footprint(spark: SparkSession, tables: dict[str, str], glob: str = "*.parquet") -> DataFrame:
+    """Files, bytes and MB feeding each named table.  The ``binaryFile``
+    source lists the files with their length (one row per file; the file
+    content is never read because it is not selected)."""
     parts = []
     for name, path in tables.items():
-        files = (spark.read.parquet(path)
-                 .select(F.col("_metadata.file_path").alias("file_path"),
-                         F.col("_metadata.file_size").alias("file_size"))
-                 .distinct())
+        files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
+                 .option("recursiveFileLookup", True).load(path).select("path", "length"))
         parts.append(files.agg(F.count(F.lit(1)).alias("n_files"),
-                               F.sum("file_size").alias("total_bytes"))
+                               F.sum("length").alias("total_bytes"))
                      .select(F.lit(name).alias("table"), "n_files", "total_bytes",
                              (F.col("total_bytes") / (1024 * 1024)).alias("size_mb")))
     out = parts[0]
