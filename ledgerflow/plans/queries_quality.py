@@ -300,3 +300,23 @@ select engine, workload, sample_fraction, printf('%.1f', floor(wall_time_sec * 1
   from nruns"""))
 def runs_summary(spark, d):
     return rn.summary(_nruns(spark, d))
+
+
+# ------------------------------------------------------------ H3 written ladder
+
+@query("scaling_ladder_written", with_("ta", f"""
+select cast(f as double) as fraction, cast(count_if(h < f * 4294967296) as bigint) as sampled_rows
+  from (select {_HASH} as h from ta) cross join (values (0.1), (0.25), (0.5), (1.0)) v(f)
+ group by f"""))
+def scaling_ladder_written(spark, d):
+    """Write the ladder once (partitioned by rung), read each rung back
+    through partition pruning and count it."""
+    path = scratch_path(spark, "ladder")
+    smp.write_ladder(fx.ta(spark, d), ["tx_id"], path)
+    parts = [smp.read_rung(spark, path, f).agg(F.count(F.lit(1)).alias("sampled_rows"))
+             .select(F.lit(float(f)).alias("fraction"), "sampled_rows")
+             for f in smp.DEFAULT_FRACTIONS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
