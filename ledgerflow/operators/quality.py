@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_where, guarded_ratio, strip_quotes
-from ..sources.delimited import HEADER_FIRST_FIELDS, first_field
+from ..sources.delimited import HEADER_FIRST_FIELDS, first_field, split_fields
 from .prefix import exact_quantiles
 
 # Label column names recognised by the profile, and the
@@ -23,7 +23,7 @@ def read_header(spark: SparkSession, path: str, quote: str = '"') -> list[str]:
 
 
 def profile_text(lines: DataFrame, columns: list[str], expected: list[str] | None = None,
-                 value: str = "value") -> DataFrame:
+                 value: str = "value", quote: str = "'") -> DataFrame:
     """One-row profile of raw delimited lines (header lines excluded):
     rows, positive labels and their rate in percent, amount sum and mean over
     *all* rows, unparseable amounts, and the column-count check.  The label
@@ -34,11 +34,14 @@ def profile_text(lines: DataFrame, columns: list[str], expected: list[str] | Non
     amount_idx = max((i for i, c in enumerate(low) if c == "amount"), default=None)
     header_first = low[0] if low else ""
     body = lines.filter(~first_field(value).isin(header_first, *HEADER_FIRST_FIELDS))
-    fields = F.split(F.col(value), ",")
-    n = F.size(fields)
+    # quote-aware split by the CSV parser: every field as text; a short row
+    # has NULLs past its end, a long row's extra fields are ignored
+    text_schema = ", ".join(f"c{i} string" for i in range(len(columns)))
+    rec = F.from_csv(F.col(value), text_schema, {"quote": quote, "mode": "PERMISSIVE"})
+    body = body.select(rec.alias("__f"))
 
     def field(i):
-        return F.when(n > i, strip_quotes(F.get(fields, i)))
+        return strip_quotes(F.col(f"__f.c{i}"))
 
     if label_idx is not None:
         positive = count_where(field(label_idx).isin(*POSITIVE_LABELS))
@@ -70,7 +73,7 @@ def header_check(lines: DataFrame, expected: list[str], value: str = "value") ->
     ``moved``, ``missing`` or ``unexpected``."""
     spark = lines.sparkSession
     headers = lines.filter(first_field(value).isin(*HEADER_FIRST_FIELDS))
-    found = (headers.select(F.posexplode(F.split(F.col(value), ",")).alias("pos", "raw"))
+    found = (headers.select(F.posexplode(split_fields(value)).alias("pos", "raw"))
              .select(strip_quotes("raw").alias("column"), F.col("pos").alias("found_position"))
              .groupBy("column").agg(F.min("found_position").alias("found_position")))
     exp = spark.createDataFrame([(c, i) for i, c in enumerate(expected)],

@@ -263,13 +263,10 @@ select *, {r("case when total_flagged > 0 then true_positives / total_flagged el
        extra={"pa": _w2_src("ta", "account", '"type"', "is_fraud"),
               "pb": _w2_src("tb", "customer", "category", "fraud")}))
 def proxy_precision_recall(spark, d):
-    parts = []
-    for src, thr in [(_ta(spark, d), 1.5), (_ta(spark, d), 2.5), (_tb(spark, d), 1.5), (_tb(spark, d), 2.5)]:
-        s = wl.workload2_scores([src], z_threshold=thr)
-        parts.append(s.select("dataset", F.lit(float(thr)).alias("z_threshold"),
-                              "total_flagged", "true_positives", "total_actual",
-                              "precision", "recall"))
-    return present(wl.union_all(parts), {"precision": FINE, "recall": FINE})
+    out = wl.workload2_scores([_ta(spark, d), _tb(spark, d)], z_thresholds=(1.5, 2.5))
+    return present(out.select("dataset", "z_threshold", "total_flagged", "true_positives",
+                              "total_actual", "precision", "recall"),
+                   {"precision": FINE, "recall": FINE})
 
 
 # ------------------------------------------------------------------ W3 / E / D

@@ -85,11 +85,19 @@ def workload2(sources: list[tuple[DataFrame, Layout]], **kw) -> DataFrame:
     return union_all([fraud_output(fraud_flags(df, lay, **kw), lay) for df, lay in sources])
 
 
-def workload2_scores(sources: list[tuple[DataFrame, Layout]], **kw) -> DataFrame:
-    """Precision/recall of the proxy, one row per dataset (one pass each)."""
+def workload2_scores(sources: list[tuple[DataFrame, Layout]],
+                     z_thresholds: tuple[float, ...] = (AMOUNT_Z_THRESHOLD,), **kw) -> DataFrame:
+    """Precision/recall of the proxy per dataset and amount threshold.  The
+    flags are computed once per dataset; every threshold is scored in the
+    same aggregation pass."""
     parts = []
     for df, lay in sources:
-        pr = precision_recall(fraud_flags(df, lay, **kw), "fraud_proxy", lay.label)
+        f = fraud_flags(df, lay, **kw)
+        ts = F.explode(F.array(*[F.lit(float(t)) for t in z_thresholds])).alias("z_threshold")
+        per_t = f.select(ts, "velocity_flag", "amount_z_score", col(lay.label).alias("__label"))
+        stacked = per_t.select("z_threshold", "__label", flag_or(
+            "velocity_flag", F.col("amount_z_score") > F.col("z_threshold")).alias("__pred"))
+        pr = precision_recall(stacked, "__pred", "__label", by=["z_threshold"])
         parts.append(pr.select(F.lit(lay.dataset).alias("dataset"), *pr.columns))
     return union_all(parts)
 

@@ -26,6 +26,16 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.text(paths if isinstance(paths, list) else [paths])
 
 
+def split_fields(value: str = "value", quote: str | None = "'") -> F.Column:
+    """Fields of a delimited line.  With ``quote`` a comma inside a quoted
+    field does not split (a comma splits only when an even number of quote
+    characters follows it)."""
+    if not quote:
+        return F.split(F.col(value), ",")
+    q = "\\" + quote if quote in ".^$*+?()[]{}|\\" else quote
+    return F.split(F.col(value), f",(?=(?:[^{q}]*{q}[^{q}]*{q})*[^{q}]*$)")
+
+
 def first_field(value: str = "value") -> F.Column:
     """First comma-separated field, trimmed, quotes stripped, lower-cased."""
     raw = F.split(F.col(value), ",", 2).getItem(0)
@@ -58,10 +68,13 @@ def split_malformed(lines: DataFrame, schema: StructType, quote: str = '"',
                     value: str = "value") -> tuple[DataFrame, DataFrame]:
     """(good typed rows, quarantined raw lines with a reason)."""
     parsed = parse_lines(lines, schema, quote, value, keep_raw=True)
-    good = parsed.filter(F.col(f"__r.{CORRUPT}").isNull()).select(
-        *[F.col(f"__r.{f.name}").alias(f.name) for f in schema.fields])
+    # keep-or-drop through a generator instead of a filter: a filter on the
+    # parsed struct would be pushed below the parse and run the parser twice
+    keep = F.when(F.col(f"__r.{CORRUPT}").isNull(), F.array(F.col("__r")))
+    good = parsed.select(F.explode(keep).alias("__g")).select(
+        *[F.col(f"__g.{f.name}").alias(f.name) for f in schema.fields])
     n = len(schema.fields)
-    nfields = F.size(F.split(F.col(value), ","))
+    nfields = field_count(value, quote)
     reason = (F.when(nfields < n, "too_few_fields")
                .when(nfields > n, "too_many_fields")
                .otherwise("bad_value"))
@@ -103,19 +116,26 @@ def read_banksim_net(spark, paths):
     return read_typed(spark, paths, BANKSIM_NET, quote="'")
 
 
-def field_count(value: str = "value") -> F.Column:
-    return F.size(F.split(F.col(value), ","))
+def field_count(value: str = "value", quote: str | None = "'") -> F.Column:
+    """Number of fields, commas inside quoted fields not counted: quoted
+    segments are removed, then the remaining commas counted (linear time)."""
+    v = F.col(value)
+    if quote:
+        q = "\\" + quote if quote in ".^$*+?()[]{}|\\" else quote
+        v = F.regexp_replace(v, f"{q}[^{q}]*{q}", "")
+    return F.length(v) - F.length(F.regexp_replace(v, ",", "")) + 1
 
 
 def route_records(lines: DataFrame, layouts: list[tuple[str, StructType, F.Column]],
                   quote: str = "'", value: str = "value") -> dict[str, DataFrame]:
-    """Split one text input holding several record layouts.
-
-    ``layouts`` is an ordered list of (name, schema, predicate on the line);
-    a line goes to the first layout whose predicate holds.  Header and empty
-    lines are dropped, malformed records of a layout are dropped.
-    """
-    body = drop_headers(lines, value=value)
+    """Split one text input holding several record layouts into one
+    DataFrame per layout.  ``layouts`` is an ordered list of (name, schema,
+    predicate); predicates may use ``__nf``, the line's field count (quotes
+    respected).  A line goes to the first layout whose predicate holds; header
+    and blank lines are dropped, malformed records of a layout are dropped.
+    Each output is a filtered scan of the text that parses only its own
+    lines (a filter above a parse would re-run the parser)."""
+    body = drop_headers(lines, value=value).withColumn("__nf", field_count(value, quote))
     out, taken = {}, None
     for name, schema, pred in layouts:
         cond = pred if taken is None else (pred & ~taken)
@@ -128,7 +148,7 @@ def route_records(lines: DataFrame, layouts: list[tuple[str, StructType, F.Colum
 def default_layouts():
     """Routing by field count: 11 -> PaySim, >= 10 -> BankSim, 5 -> network."""
     from ..schemas import BANKSIM_NET, BANKSIM_TX, PAYSIM
-    n = field_count()
+    n = F.col("__nf")
     return [("paysim", PAYSIM, n == 11), ("banksim_tx", BANKSIM_TX, n >= 10),
             ("banksim_net", BANKSIM_NET, n == 5)]
 

@@ -63,7 +63,7 @@ def test_proxy_is_zero_iff_no_flag(spark):
 
 
 def test_scores_in_unit_interval(spark):
-    s = wl.workload2_scores([(fx.ta(spark, SF_SMALL), fx.TA_LAYOUT)], z_threshold=1.5).collect()[0]
+    s = wl.workload2_scores([(fx.ta(spark, SF_SMALL), fx.TA_LAYOUT)], z_thresholds=(1.5,)).collect()[0]
     assert 0 <= s["precision"] <= 1 and 0 <= s["recall"] <= 1
     assert s["true_positives"] <= min(s["total_flagged"], s["total_actual"])
 

@@ -57,6 +57,15 @@ def test_mixed_layout_router(spark):
     assert rows(routed["banksim_net"], "Source", "Target", "Weight") == [("C3", "M3", 7.0)]
 
 
+def test_router_counts_fields_outside_quotes(spark):
+    text = ("'2','C2','3','M','28007','M2','28007','es_food, bar','12.5','0'\n"
+            "'C3','M3','7.0','es_bar, x','1'\n")
+    routed = dl.route_records(dl.read_lines(spark, _write(spark, "m6q", text)), dl.default_layouts())
+    assert rows(routed["banksim_tx"], "category") == [("es_food, bar",)]
+    assert rows(routed["banksim_net"], "typeTrans") == [("es_bar, x",)]
+    assert routed["paysim"].count() == 0
+
+
 def test_missing_sources(spark):
     # M10: one of two present -> only its rows; none -> error
     present = _write(spark, "m10", "step,customer,amount,fraud\n1,'C1',2.0,0\n")
