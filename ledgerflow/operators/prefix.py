@@ -77,6 +77,12 @@ def ordered_prefix(df: DataFrame, order: str, value: str, by: list[str] | None =
         StructField("__pid", LongType()), StructField("__incl", DoubleType()),
         StructField("__excl", DoubleType())])
     local = ranged.mapInPandas(_local_prefix(by, value, how), schema)
+    # ``local`` feeds two branches (rows and per-range totals).  They must
+    # see the same range partitions: Spark reuses the one range exchange for
+    # both; if exchange reuse is switched off, materialise ``local`` once in
+    # the shared checkpoint folder instead.
+    if spark.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
+        local = local.checkpoint(eager=True)
 
     agg_fn = F.sum if how == "sum" else F.min
     totals = local.groupBy(*by, "__pid").agg(agg_fn(value).cast("double").alias("__pt"))
