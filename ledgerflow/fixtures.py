@@ -33,8 +33,19 @@ TB_LAYOUT = Layout("BANKSIM", account="customer", step="step", type_="category",
 NET_EDGE_ORDER = ["step", "line_id", "part_id", "Weight"]
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Parquet table; its schema is read once per path and then passed to
+    the reader, so later plans skip the footer-reading job."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    schema = _SCHEMAS.get(path)
+    if schema is None:
+        df = spark.read.parquet(path)
+        _SCHEMAS[path] = df.schema
+        return df
+    return spark.read.schema(schema).parquet(path)
 
 
 def _hour_step(ts: str) -> F.Column:

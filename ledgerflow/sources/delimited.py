@@ -153,6 +153,14 @@ def default_layouts():
             ("banksim_net", BANKSIM_NET, n == 5)]
 
 
+def load_available_or_none(spark: SparkSession, paths: list[str], reader) -> list[DataFrame]:
+    """Like ``load_available`` but an empty list when nothing exists."""
+    try:
+        return load_available(spark, paths, reader)
+    except RuntimeError:
+        return []
+
+
 def load_available(spark: SparkSession, paths: list[str], reader) -> list[DataFrame]:
     """Apply ``reader(spark, path)`` to each path that exists; a missing path
     is skipped (any Hadoop file system: the check is Spark's own path

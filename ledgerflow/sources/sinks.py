@@ -20,11 +20,12 @@ def write_csv(df: DataFrame, path: str, quote: str = '"', quote_all: bool = Fals
 
 
 def write_counted(df: DataFrame, path: str, fmt: str = "parquet",
-                  mode: str = "overwrite") -> int:
+                  mode: str = "overwrite", **options) -> int:
     """Write and return the row count from the same execution (an
     ``Observation`` on the write instead of a second ``count()``)."""
     obs = Observation("rows")
-    df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode(mode).format(fmt).save(path)
+    (df.observe(obs, F.count(F.lit(1)).alias("n")).write.mode(mode).format(fmt)
+       .options(**options).save(path))
     return int(obs.get["n"])
 
 
