@@ -61,14 +61,23 @@ def rolling(df: DataFrame, partition: list[str], order: str, value: str,
             size: int = 24, order_type: str | None = None,
             measures: tuple[str, ...] = ("sum", "count", "max"),
             prefix: str = "rolling_24h", method: str = "skew_safe",
-            bucket_width: int | None = None) -> DataFrame:
+            bucket_width: int | None = None, emit_from: float | None = None) -> DataFrame:
     """Trailing window over ``[order - size, order]`` (both ends inclusive,
     ties included both ways) per ``partition``: sum and max of ``value`` and
     the row count, as ``{prefix}_sum``, ``{prefix}_count``, ``{prefix}_max``.
 
     ``order_type``: None keeps the order column as is, ``"long"`` truncates it
     (a fractional step orders by its integer part), ``"double"`` uses it raw.
+    ``emit_from``: only rows with order >= emit_from are returned, and only
+    rows with order >= emit_from - size are read (a filter on the order key
+    is not pushed through a window by the optimizer, so it is applied here).
     """
+    if emit_from is not None:
+        o = _order_expr(order, order_type)
+        df = df.filter(o >= F.lit(emit_from - size))
+        out = rolling(df, partition, order, value, size, order_type, measures, prefix,
+                      method, bucket_width)
+        return out.filter(_order_expr(order, order_type) >= F.lit(emit_from))
     if method == "window":
         return _rolling_window(df, partition, order, value, size, order_type, measures, prefix)
     width = max(int(bucket_width or 32 * size), size)

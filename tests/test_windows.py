@@ -64,3 +64,11 @@ def test_velocity_count_matches_window_form(spark):
     a = win.velocity_count(src, "account", "step")
     b = win.velocity_count_window(src, "account", "step")
     assert rows(a, "tx_id", "hourly_tx_count") == rows(b, "tx_id", "hourly_tx_count")
+
+
+def test_emit_from_reads_only_the_needed_history(spark):
+    src = fx.ta(spark, SF_SMALL).select("account", "step", "amount")
+    full = win.rolling(src, ["account"], "step", "amount").filter("step >= 300")
+    part = win.rolling(src, ["account"], "step", "amount", emit_from=300)
+    cols = ["account", "step", "amount", "rolling_24h_count", "rolling_24h_max"]
+    assert rows(part, *cols) == rows(full, *cols)
