@@ -11,21 +11,20 @@ pre-aggregate duplicates first - so a repeated key cannot unbalance a range.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 
-def _running(values: pd.Series, gid: np.ndarray, how: str) -> pd.Series:
-    g = values.groupby(gid)
-    return g.cumsum() if how == "sum" else g.cummin()
-
-
 def _local_prefix(by: list[str], value: str, how: str):
+    """The per-range running aggregate.  The returned function is nested and
+    refers only to numpy/pandas/pyspark, so it is shipped to the Python
+    workers by value and needs no import of this package there."""
     def fn(batches):
+        import numpy as np
+        import pandas as pd
+        from pyspark import TaskContext
+
         pid = TaskContext.get().partitionId()
         carry_key, carry = None, None
         for pdf in batches:
@@ -42,7 +41,9 @@ def _local_prefix(by: list[str], value: str, how: str):
                 first_key = ()
             cont = carry_key is not None and first_key == carry_key
             gid = np.cumsum(new)
-            incl = _running(vals, gid, how).to_numpy(copy=True)
+            grouped = vals.groupby(gid)
+            running = grouped.cumsum() if how == "sum" else grouped.cummin()
+            incl = running.to_numpy(copy=True)
             excl = pd.Series(incl).groupby(gid).shift(1).to_numpy(copy=True)
             if cont:
                 first = gid == gid[0]
@@ -52,9 +53,8 @@ def _local_prefix(by: list[str], value: str, how: str):
                 else:
                     incl[first] = np.minimum(incl[first], carry)
                     excl[first] = np.fmin(excl[first], carry)
-            last_gid = gid[-1]
             carry_key = tuple(pdf[by].iloc[-1]) if by else ()
-            carry = incl[gid == last_gid][-1]
+            carry = incl[gid == gid[-1]][-1]
             out = pdf.copy()
             out["__pid"] = pid
             out["__incl"] = incl
@@ -70,7 +70,9 @@ def ordered_prefix(df: DataFrame, order: str, value: str, by: list[str] | None =
     ``df`` must be unique on (by, order)."""
     by = list(by or [])
     spark = df.sparkSession
-    n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # ranges: the shuffle width, but no more than a few per core
+    n = n_partitions or max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                                   4 * spark.sparkContext.defaultParallelism))
     ranged = df.repartitionByRange(n, *[F.col(c) for c in by], F.col(order)) \
                .sortWithinPartitions(*by, order)
     schema = StructType(list(ranged.schema.fields) + [
