@@ -40,13 +40,25 @@ def daily_agg_stream(stream: DataFrame, lay: Layout, late_days: int = 1) -> Data
 
 def start_daily_stream(spark: SparkSession, source_dir: str, schema: StructType, lay: Layout,
                        sink_dir: str, checkpoint_dir: str, fmt: str = "parquet",
-                       late_days: int = 1, trigger_once: bool = False):
+                       late_days: int = 1, trigger_once: bool = False,
+                       state_partitions: int | None = None):
     """Read new files of ``source_dir`` as they land and append closed days
-    to ``sink_dir`` (exactly once through the checkpoint)."""
+    to ``sink_dir`` (exactly once through the checkpoint).
+
+    ``state_partitions`` fixes the number of state-store partitions when the
+    checkpoint is first created (default: the shuffle width, at most four
+    per core); a restarted query keeps the number its checkpoint holds."""
     stream = spark.readStream.schema(schema).format(fmt).load(source_dir)
     writer = (daily_agg_stream(stream, lay, late_days).writeStream
               .format("parquet").outputMode("append")
               .option("path", sink_dir).option("checkpointLocation", checkpoint_dir))
     if trigger_once:
         writer = writer.trigger(availableNow=True)
-    return writer.start()
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    n = state_partitions or max(1, min(int(before), 4 * spark.sparkContext.defaultParallelism))
+    spark.conf.set(key, str(n))
+    try:
+        return writer.start()  # the query keeps a copy of the session conf
+    finally:
+        spark.conf.set(key, before)
