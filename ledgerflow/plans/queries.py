@@ -445,3 +445,34 @@ window w as (partition by customer order by cast(step as double) range between 2
 def enriched_pair_rolling(spark, d):
     df, lay = _tb(spark, d)
     return wl.workload3_pair(df, lay, fx.net(spark, d), fx.NET_EDGE_ORDER)
+
+
+@query("velocity_flag_pooled", with_(["ta", "tb"], """
+select dataset, account, hour_bucket, hourly_tx_count, hourly_tx_count >= 5 as velocity_flag
+  from (select *, count(*) over (partition by account, hour_bucket) as hourly_tx_count
+          from (select 'PAYSIM' as dataset, account, ((step % 24) + 24) % 24 as hour_bucket
+                  from ta where step is not null and amount is not null
+                union all
+                select 'BANKSIM', customer, ((step % 24) + 24) % 24
+                  from tb where step is not null and amount is not null))"""))
+def velocity_flag_pooled(spark, d):
+    """Velocity buckets shared by both sources (an account id seen in both
+    datasets counts its rows together) - the alternative to per-dataset
+    buckets."""
+    parts = []
+    for df, lay in (_ta(spark, d), _tb(spark, d)):
+        parts.append(agg.require(df, lay.step, lay.amount).select(
+            F.lit(lay.dataset).alias("dataset"), F.col(lay.account).alias("account"),
+            F.col(lay.step).alias("step")))
+    v = win.velocity_count(wl.union_all(parts), "account", "step")
+    return v.select("dataset", "account", "hour_bucket", "hourly_tx_count",
+                    (F.col("hourly_tx_count") >= 5).alias("velocity_flag"))
+
+
+@query("rolling_24_step_emit", with_("ta", "select * from (" + _roll_sql(
+    "tx_id, account, step, amount", "account", "step", "ta") + ") where step >= 300"))
+def rolling_24_step_emit(spark, d):
+    """Trailing window emitted from step 300 on; only steps >= 276 are read."""
+    df, lay = _ta(spark, d)
+    src = agg.require(df, lay.step, lay.amount).select("tx_id", "account", "step", "amount")
+    return present(win.rolling(src, ["account"], "step", "amount", emit_from=300), _ROLL_ROUND)
