@@ -79,15 +79,19 @@ def ordered_prefix(df: DataFrame, order: str, value: str, by: list[str] | None =
         StructField("__pid", LongType()), StructField("__incl", DoubleType()),
         StructField("__excl", DoubleType())])
     local = ranged.mapInPandas(_local_prefix(by, value, how), schema)
-    # ``local`` feeds two branches (rows and per-range totals).  They must
-    # see the same range partitions: Spark reuses the one range exchange for
-    # both; if exchange reuse is switched off, materialise ``local`` once in
-    # the shared checkpoint folder instead.
+    # the range exchange feeds two branches (rows and per-range totals).
+    # They must see the same range partitions: Spark reuses the one exchange
+    # for both; if exchange reuse is switched off, materialise it once in the
+    # shared checkpoint folder instead.
     if spark.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
-        local = local.checkpoint(eager=True)
+        ranged = ranged.checkpoint(eager=True)
+        local = ranged.mapInPandas(_local_prefix(by, value, how), schema)
 
     agg_fn = F.sum if how == "sum" else F.min
-    totals = local.groupBy(*by, "__pid").agg(agg_fn(value).cast("double").alias("__pt"))
+    # per-range totals straight from the range exchange (same partition
+    # index as the pandas step sees), without a second Python pass
+    totals = (ranged.select(*by, F.spark_partition_id().cast("long").alias("__pid"), value)
+              .groupBy(*by, "__pid").agg(agg_fn(value).cast("double").alias("__pt")))
     w = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(*by, "__pid", agg_fn("__pt").over(w).alias("__before"))
     joined = local.join(before, on=[*by, "__pid"], how="inner")
