@@ -44,16 +44,23 @@ def main():
     spark = get_spark(f"local[{cpus}]", app="ledgerflow-bench",
                       shuffle_partitions=2 * cpus,
                       extra={"spark.driver.memory": "16g"})
-    times = {}
+    times, errors = {}, {}
     for name in names:
-        run_once(spark, name, sf_dir)  # warm-up
-        times[name] = round(statistics.median(run_once(spark, name, sf_dir)
-                                              for _ in range(repeats)), 3)
+        try:
+            run_once(spark, name, sf_dir)  # warm-up
+            times[name] = round(statistics.median(run_once(spark, name, sf_dir)
+                                                  for _ in range(repeats)), 3)
+        except Exception as e:  # noqa: BLE001 - report and keep measuring the rest
+            times[name] = None
+            errors[name] = f"{type(e).__name__}: {str(e)[:200]}"
     m = re.search(r"sf([0-9.]+)", sf_dir)
-    print(json.dumps({"metric": "headline_total_median_sec",
-                      "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": float(m.group(1)) if m else None,
-                      "cpus": cpus, "repeats": repeats, "spark": spark.version}))
+    out = {"metric": "headline_total_median_sec",
+           "value": round(sum(t for t in times.values() if t is not None), 3), "unit": "sec",
+           "queries": times, "sf": float(m.group(1)) if m else None,
+           "cpus": cpus, "repeats": repeats, "spark": spark.version}
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
     spark.stop()
 
 
