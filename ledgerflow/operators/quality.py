@@ -66,6 +66,17 @@ def profile_text(lines: DataFrame, columns: list[str], expected: list[str] | Non
         (F.lit(len(columns)) == F.lit(n_expected)).alias("column_count_ok"))
 
 
+def profile_file(spark: SparkSession, path: str, expected: list[str] | None = None,
+                 quote: str = "'") -> DataFrame:
+    """``profile_text`` of a delimited file or folder plus its size in MB
+    (both one-row frames)."""
+    from ..sources.delimited import read_lines
+    cols = read_header(spark, path, quote=quote)
+    prof = profile_text(read_lines(spark, path), cols, expected=expected, quote=quote)
+    size = footprint(spark, {"input": path}, glob="*").select("size_mb")
+    return size.crossJoin(F.broadcast(prof))
+
+
 def header_check(lines: DataFrame, expected: list[str], value: str = "value") -> DataFrame:
     """Compare the header lines found in the text (every file's first line
     is recognised by its first field) with the expected column list:

@@ -97,3 +97,12 @@ def test_runs_loader_defaults(spark):
     got = rows(out, "engine", "workload_label", "wall_time_sec", "cpu_time_sec", "exit_code")
     assert got == [("hadoop", "custom", 0.0, 0.0, 1),
                    ("spark", "WL1: Daily Aggregation", 12.5, 0.0, 0)]
+
+
+def test_profile_file_counts_and_size(spark):
+    from ledgerflow.operators.quality import profile_file
+    text = "step,amount,isFraud\n1,2.5,1\n2,bad,1.0\n3,4.0,0\n4\n"
+    r = profile_file(spark, _write(spark, "prof", text), expected=["step", "amount", "isFraud"]).collect()[0]
+    assert (r.row_count, r.fraud_count, r.parse_errors) == (4, 2, 1)
+    assert r.amount_sum == 6.5 and r.avg_amount == 6.5 / 4 and r.column_count_ok
+    assert r.size_mb == pytest.approx(len(text) / (1024 * 1024))
