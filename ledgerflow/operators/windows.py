@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions.columns import col, hour_of_day
 from .enrich import join_back
@@ -80,9 +81,16 @@ def rolling(df: DataFrame, partition: list[str], order: str, value: str,
         return out.filter(_order_expr(order, order_type) >= F.lit(emit_from))
     if method == "window":
         return _rolling_window(df, partition, order, value, size, order_type, measures, prefix)
-    width = max(int(bucket_width or 32 * size), size)
     ord_col = "__ord"
     base = df.withColumn(ord_col, _order_expr(order, order_type))
+    if bucket_width is None:
+        # integral steps: at most ``width`` distinct steps per (account,
+        # bucket) after the peer collapse, so wide buckets are cheap; a
+        # fractional order key can have a row per value, so keep buckets
+        # narrower (more splitting, a larger halo share)
+        integral = isinstance(base.schema[ord_col].dataType, IntegralType)
+        bucket_width = 32 * size if integral else 4 * size
+    width = max(int(bucket_width), size)
     keys = [*partition, ord_col]
 
     # 1. peers collapse: one row per (partition, step), partial agg first.
