@@ -65,12 +65,13 @@ def fraud_flags(df: DataFrame, lay: Layout, velocity_threshold: int = VELOCITY_T
     src = src.withColumn("log_amount", log_amount(lay.amount, clamp_nonpositive))
     if stats is None:
         stats = global_stats(src, "log_amount", ddof=ddof)
-    src = velocity_count(src, lay.account, lay.step, keys=keys)
-    src = src.withColumn("velocity_flag", F.col("hourly_tx_count") >= velocity_threshold)
-    src = attach_stats(src, stats)
-    src = src.withColumn("amount_z_score", zscore("log_amount", "global_mean", "global_std"))
-    src = src.withColumn("amount_flag", F.col("amount_z_score") > F.lit(float(z_threshold)))
-    return src.withColumn("fraud_proxy", flag_or("velocity_flag", "amount_flag"))
+    src = attach_stats(velocity_count(src, lay.account, lay.step, keys=keys), stats)
+    # one projection for the dependent columns (the z expression is shared)
+    vel = F.col("hourly_tx_count") >= velocity_threshold
+    z = zscore("log_amount", "global_mean", "global_std")
+    amt = z > F.lit(float(z_threshold))
+    return src.withColumns({"velocity_flag": vel, "amount_z_score": z,
+                            "amount_flag": amt, "fraud_proxy": flag_or(vel, amt)})
 
 
 def fraud_output(flagged: DataFrame, lay: Layout) -> DataFrame:
