@@ -30,3 +30,22 @@ def test_sweep_feeds_run_analytics(spark):
     full = {r.workload: r.output_rows for r in runs.filter("sample_fraction = 1.0").collect()}
     assert full["WL2_fraud"] == fx.ta(spark, SF_SMALL).count() + fx.tb(spark, SF_SMALL).count()
     assert rn.scaling_curve(runs).count() == 6
+
+
+def test_stream_restart_picks_up_new_files_once(spark):
+    ta = fx.ta(spark, SF_SMALL)
+    src = scratch_path(spark, "stream_src2")
+    sink, ckpt = scratch_path(spark, "stream_sink2"), scratch_path(spark, "stream_ckpt2")
+    ta.filter("step < 240").write.parquet(src + "/a")
+    q = start_daily_stream(spark, src + "/*", ta.schema, fx.TA_LAYOUT, sink, ckpt, trigger_once=True)
+    q.awaitTermination(120)
+    first = spark.read.parquet(sink).count()
+    ta.filter("step >= 240").write.parquet(src + "/b")
+    q = start_daily_stream(spark, src + "/*", ta.schema, fx.TA_LAYOUT, sink, ckpt, trigger_once=True)
+    q.awaitTermination(120)
+    out = spark.read.parquet(sink)
+    max_day = ta.agg(F.max(F.floor(F.col("step") / 24))).collect()[0][0]
+    batch = wl.workload1([(ta, fx.TA_LAYOUT)]).filter(F.col("day") < max_day)
+    cols = ["account", "day", "type", "tx_count", "fraud_count"]
+    assert 0 < first < out.count()
+    assert rows(out, *cols) == rows(batch, *cols)
