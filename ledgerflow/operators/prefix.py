@@ -1,20 +1,46 @@
 """Ordered prefix aggregates without a global window.
 
 ``Window.orderBy(x)`` with no partition key moves every row to one task.
-Here the rows are range-partitioned on the order key (Spark samples the
-keys to balance the ranges), each task computes the running aggregate of
-its own sorted range with pandas, the per-range totals (one row per range
-and group: bounded by the partition count) get their own prefix, and the
-two are combined.  Callers pass rows that are unique on (by, order) - they
-pre-aggregate duplicates first - so a repeated key cannot unbalance a range.
+Here the order key is cut into value ranges whose bounds come from one small
+approximate-quantile job; every row carries its range id (a balanced CASE
+tree over the bounds, so a row costs log2(ranges) comparisons), rows are
+hash-partitioned by range, each task computes the running aggregate of its
+ranges with pandas, the per-range totals (one row per range and group:
+bounded by the range count) get their own prefix, and the two are combined.
+The range id is a deterministic function of the row, so the totals and the
+rows always agree, whatever Spark reuses or recomputes.  Callers pass rows
+that are unique on (by, order) - they pre-aggregate duplicates first - so a
+repeated key cannot unbalance a range.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+MAX_RANGES = 256
+
+
+def range_id(c: Column, bounds: list) -> Column:
+    """Number of ``bounds`` (sorted) below the value: 0..len(bounds)."""
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(c > F.lit(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
+    return tree(0, len(bounds))
+
+
+def range_bounds(df: DataFrame, order: str, n: int) -> list:
+    """``n - 1`` approximate quantiles of the order column (one small job;
+    only the bounds reach the driver)."""
+    if n <= 1:
+        return []
+    probs = [i / n for i in range(1, n)]
+    qs = df.approxQuantile(order, probs, 1.0 / (4 * n))
+    return sorted(set(q for q in qs if q is not None))
+
 
 def _local_prefix(by: list[str], value: str, how: str):
     """The per-range running aggregate.  The returned function is nested and
@@ -67,34 +93,28 @@ def ordered_prefix(df: DataFrame, order: str, value: str, by: list[str] | None =
                    how: str = "sum", n_partitions: int | None = None) -> DataFrame:
     """Adds ``prefix_incl`` / ``prefix_excl``: the sum (or min) of ``value``
     over rows of the same ``by`` group whose ``order`` is <= / < the row's.
-    ``df`` must be unique on (by, order)."""
+    ``df`` must be unique on (by, order); ``order`` must be numeric and
+    non-NULL."""
     by = list(by or [])
     spark = df.sparkSession
-    # ranges: the shuffle width, but no more than a few per core
-    n = n_partitions or max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                                   4 * spark.sparkContext.defaultParallelism))
-    ranged = df.repartitionByRange(n, *[F.col(c) for c in by], F.col(order)) \
-               .sortWithinPartitions(*by, order)
+    # ranges: the shuffle width, at most a few per core and MAX_RANGES
+    n = n_partitions or min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                            4 * spark.sparkContext.defaultParallelism)
+    n = max(1, min(n, MAX_RANGES))
+    bounds = range_bounds(df, order, n)
+    ranged_rows = df.withColumn("__rid", range_id(F.col(order), bounds).cast("long"))
+    keys = [*by, "__rid"]
+    ranged = ranged_rows.repartition(n, "__rid").sortWithinPartitions(*keys, order)
     schema = StructType(list(ranged.schema.fields) + [
         StructField("__pid", LongType()), StructField("__incl", DoubleType()),
         StructField("__excl", DoubleType())])
-    local = ranged.mapInPandas(_local_prefix(by, value, how), schema)
-    # the range exchange feeds two branches (rows and per-range totals).
-    # They must see the same range partitions: Spark reuses the one exchange
-    # for both; if exchange reuse is switched off, materialise it once in the
-    # shared checkpoint folder instead.
-    if spark.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
-        ranged = ranged.checkpoint(eager=True)
-        local = ranged.mapInPandas(_local_prefix(by, value, how), schema)
+    local = ranged.mapInPandas(_local_prefix(keys, value, how), schema)
 
     agg_fn = F.sum if how == "sum" else F.min
-    # per-range totals straight from the range exchange (same partition
-    # index as the pandas step sees), without a second Python pass
-    totals = (ranged.select(*by, F.spark_partition_id().cast("long").alias("__pid"), value)
-              .groupBy(*by, "__pid").agg(agg_fn(value).cast("double").alias("__pt")))
-    w = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*by, "__pid", agg_fn("__pt").over(w).alias("__before"))
-    joined = local.join(before, on=[*by, "__pid"], how="inner")
+    totals = ranged_rows.groupBy(*keys).agg(agg_fn(value).cast("double").alias("__pt"))
+    w = Window.partitionBy(*by).orderBy("__rid").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*keys, agg_fn("__pt").over(w).alias("__before"))
+    joined = local.join(before, on=keys, how="inner")
     if how == "sum":
         incl = F.coalesce(F.col("__before"), F.lit(0.0)) + F.col("__incl")
         excl = F.coalesce(F.col("__before"), F.lit(0.0)) + F.coalesce(F.col("__excl"), F.lit(0.0))
