@@ -90,18 +90,21 @@ def _local_prefix(by: list[str], value: str, how: str):
 
 
 def ordered_prefix(df: DataFrame, order: str, value: str, by: list[str] | None = None,
-                   how: str = "sum", n_partitions: int | None = None) -> DataFrame:
+                   how: str = "sum", n_partitions: int | None = None,
+                   bounds_from: DataFrame | None = None) -> DataFrame:
     """Adds ``prefix_incl`` / ``prefix_excl``: the sum (or min) of ``value``
     over rows of the same ``by`` group whose ``order`` is <= / < the row's.
     ``df`` must be unique on (by, order); ``order`` must be numeric and
-    non-NULL."""
+    non-NULL.  ``bounds_from`` (a frame with an ``order`` column, e.g. the
+    rows before they were de-duplicated) gives the range bounds without
+    computing ``df`` an extra time."""
     by = list(by or [])
     spark = df.sparkSession
     # ranges: the shuffle width, at most a few per core and MAX_RANGES
     n = n_partitions or min(int(spark.conf.get("spark.sql.shuffle.partitions")),
                             4 * spark.sparkContext.defaultParallelism)
     n = max(1, min(n, MAX_RANGES))
-    bounds = range_bounds(df, order, n)
+    bounds = range_bounds(bounds_from if bounds_from is not None else df, order, n)
     ranged_rows = df.withColumn("__rid", range_id(F.col(order), bounds).cast("long"))
     keys = [*by, "__rid"]
     ranged = ranged_rows.repartition(n, "__rid").sortWithinPartitions(*keys, order)
@@ -133,7 +136,8 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
     by = list(by or [])
     v = df.select(*by, F.col(value).alias("__v")).filter(F.col("__v").isNotNull())
     counts = v.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    ranked = ordered_prefix(counts, "__v", "__c", by=by, how="sum", n_partitions=n_partitions)
+    ranked = ordered_prefix(counts, "__v", "__c", by=by, how="sum", n_partitions=n_partitions,
+                            bounds_from=v)
     if by:
         # group sizes: one row per group, joined on the keys (AQE sizes it)
         ranked = ranked.join(counts.groupBy(*by).agg(F.sum("__c").alias("__n")), on=by)
@@ -168,7 +172,8 @@ def skyline(df: DataFrame, minimise: tuple[str, str], by: list[str] | None = Non
     by = list(by or [])
     base = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     best = base.groupBy(*by, a).agg(F.min(b).alias("__m"))
-    pref = ordered_prefix(best, a, "__m", by=by, how="min", n_partitions=n_partitions)
+    pref = ordered_prefix(best, a, "__m", by=by, how="min", n_partitions=n_partitions,
+                          bounds_from=base)
     keep = pref.select(*by, a, "__m", F.col("prefix_excl").alias("__pm"))
     j = base.join(keep, on=[*by, a], how="inner")
     cond = (F.col(b) == F.col("__m")) & (F.col("__pm").isNull() | (F.col("__pm") > F.col(b)))
