@@ -56,3 +56,13 @@ def test_skyline_per_group(spark):
     df = spark.createDataFrame([("x", 1.0, 5.0), ("x", 2.0, 1.0), ("x", 3.0, 3.0), ("y", 3.0, 3.0)],
                                "g string, t double, m double")
     assert rows(skyline(df, ("t", "m"), by=["g"])) == [("x", 1.0, 5.0), ("x", 2.0, 1.0), ("y", 3.0, 3.0)]
+
+
+def test_range_id_counts_bounds_below(spark):
+    from ledgerflow.operators.prefix import range_id
+    bounds = [1.0, 2.0, 2.5, 7.0, 9.0]
+    vals = [-5.0, 1.0, 1.5, 2.0, 2.2, 2.5, 3.0, 7.0, 8.0, 9.0, 100.0]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    got = {r.v: r.rid for r in df.select("v", range_id(F.col("v"), bounds).alias("rid")).collect()}
+    assert got == {v: sum(b < v for b in bounds) for v in vals}
+    assert {r.rid for r in df.select(range_id(F.col("v"), []).alias("rid")).collect()} == {0}
