@@ -72,3 +72,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def recommended_shuffle_partitions(spark: SparkSession, paths: list[str],
+                                   target_mb: float = 256, glob: str = "*") -> int:
+    """Shuffle width for inputs of this size: total input MB / ``target_mb``,
+    at least the number of cores.  Set ``spark.sql.shuffle.partitions`` to it
+    and let AQE coalesce what turns out smaller.  Only the file listing is
+    read (one row per file)."""
+    from .operators.quality import footprint
+
+    sizes = footprint(spark, {str(i): p for i, p in enumerate(paths)}, glob=glob)
+    total_mb = sizes.agg({"size_mb": "sum"}).collect()[0][0] or 0.0
+    return max(spark.sparkContext.defaultParallelism, int(total_mb // target_mb) + 1)

@@ -46,3 +46,11 @@ def test_speedup_guard(spark):
     out = {r.workload: r.speedup for r in rn.speedup(df, ["workload"]).collect()}
     assert out == {"w": None, "v": None}
     assert rn.speedup(df, ["workload"], require_both=True).count() == 0
+
+
+def test_recommended_shuffle_partitions(spark):
+    from ledgerflow.session import recommended_shuffle_partitions
+    paths = [f"{SF_SMALL}/lineitem.parquet", f"{SF_SMALL}/events.parquet"]
+    assert recommended_shuffle_partitions(spark, paths) == spark.sparkContext.defaultParallelism
+    # a tiny target size asks for more partitions than cores
+    assert recommended_shuffle_partitions(spark, paths, target_mb=0.01) > spark.sparkContext.defaultParallelism
