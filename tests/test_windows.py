@@ -72,3 +72,14 @@ def test_emit_from_reads_only_the_needed_history(spark):
     part = win.rolling(src, ["account"], "step", "amount", emit_from=300)
     cols = ["account", "step", "amount", "rolling_24h_count", "rolling_24h_max"]
     assert rows(part, *cols) == rows(full, *cols)
+
+
+def test_velocity_count_with_hot_account(spark):
+    # one account holds most rows: the grouped form equals the window form
+    df = spark.range(0, 4000).select(
+        F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(
+            F.concat(F.lit("c"), (F.col("id") % 17).cast("string"))).alias("acct"),
+        (F.col("id") % 300).alias("step"), F.col("id").alias("rid"))
+    a = win.velocity_count(df, "acct", "step")
+    b = win.velocity_count_window(df, "acct", "step")
+    assert rows(a, "rid", "hourly_tx_count") == rows(b, "rid", "hourly_tx_count")
