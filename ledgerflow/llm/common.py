@@ -31,6 +31,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def share(spark: SparkSession, model):
+    """Broadcast a model's fields; returns a function that rebuilds it in a
+    task (the class travels by value, its fields as plain data)."""
+    fields, kind = spark.sparkContext.broadcast(model.__dict__), type(model)
+
+    def get():
+        out = object.__new__(kind)
+        out.__dict__.update(fields.value)
+        return out
+    return get
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that no column of ``df`` has (case-insensitively)."""
     taken = {c.lower() for c in df.columns}

@@ -6,8 +6,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash
+from . import ann, decontam, langid, minhash, mix, pii, quality, shard, toxicity, warc
+from .common import crc_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,6 +28,164 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def crc32_sql(hexed: str) -> str:
+    """CRC-32 of bytes given as hex digits, four bits at a time (DuckDB has
+    no such function)."""
+    table = []
+    for x in range(16):
+        for _ in range(4):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        table.append(x)
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295::bigint, flatten(list_transform("
+            f"regexp_extract_all({hexed}, '..'), lambda x: [('0x' || x[2])::bigint, ('0x' || x[1])::bigint]))), "
+            f"lambda a, b: xor(a >> 4, {table}[(xor(a, b) & 15) + 1])))")
+
+
+OP1_SQL = f"""
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, coalesce(doc_id::varchar, 'null') as k from documents),
+s as (select doc_id, (length(h) // 2 + 1)::bigint as size, {crc32_sql('h')} as text_crc32,
+             'key' as law, {shard.place_sql('k', shard.uniform_tree())} as shard,
+             {shard.place_sql('k', shard.grown(shard.uniform_tree()))} as grown_shard from d)
+select *, row_number() over (partition by shard order by doc_id nulls first, text_crc32, size) - 1 as slot from s
+"""
+
+
+@query("op1_hash_tree_sharding", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard.shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+OP2_SQL = """
+with n as (select source, count(*) as n from documents group by source),
+r as (select source, sum(n) over () * sqrt(n) / sum(sqrt(n)) over () / n as rate from n),
+k as (select source, rate, unnest(range(0, ceil(rate + 10 * sqrt(rate) + 20)::bigint + 1)) as k from r),
+l as (select *, sum(case when k > 0 then ln(k) else 0 end) over (partition by source order by k) as lk from k),
+c as (select source, rate, sum(exp(k * ln(rate) - rate - lk)) over (partition by source order by k) as c from l),
+d as (select doc_id, source, (('0x' || substr(md5('0:' || coalesce(doc_id::varchar, 'null')), 1, 12))::bigint + 0.5)
+             / 281474976710656.0 as u from documents),
+m as (select d.doc_id, d.source, c.rate, count(*) as n_copies from
+        (select *, row_number() over () as row_no from d) d join c on d.source is not distinct from c.source and c.c <= d.u
+      group by d.row_no, d.doc_id, d.source, c.rate),
+e as (select *, unnest(range(0, n_copies)) as copy from m),
+h as (select *, ('0x' || substr(md5('shuffle0:' || coalesce(doc_id::varchar, 'null') || ':' || copy), 1, 15))::bigint as key from e)
+select doc_id, source, copy::integer as copy, n_copies::integer as n_copies, round(rate, 6) as rate,
+       row_number() over (order by key, doc_id nulls first, copy) - 1 as position from h
+"""
+
+
+@query("op2_poisson_mixing", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source shares in proportion to the square root of their documents."""
+    return mix.mix_plan(table(spark, sf_dir, "documents", "doc_id", "source"))
+
+
+@query("op3_crf_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    field = quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality"),
+                        F.pmod(crc_text("__id"), F.lit(5)) != 0)
+    return (docs.select("doc_id", (F.pmod(crc_text("doc_id"), F.lit(5)) == 0).alias("held_out"),
+                        quality.score_column(spark, field).alias("score"))
+            .withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int")))
+
+
+OP4_SQL = """
+with v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
+           where vec_id is not null and embedding is not null and len(embedding) > 0
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+             and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p as (select q.vec_id as query_id, v.vec_id, min(sqrt(list_reduce(list_prepend(0::double,
+        list_transform(range(1, len(q.e) + 1), lambda i: (v.e[i] - q.e[i]) * (v.e[i] - q.e[i]))),
+        lambda a, b: a + b))) as score
+      from v as q join v on q.vec_id <> v.vec_id and len(q.e) = len(v.e) where q.vec_id % 100 = 0 group by all)
+select query_id, row_number() over (partition by query_id order by score, vec_id)::integer as rank, vec_id, score
+from p qualify rank <= 10
+"""
+
+
+@query("op4_rotated_bit_neighbours", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"),
+                       F.pmod("vec_id", F.lit(100)) == 0)
+
+
+def toxicity_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Learned from the rows whose labels op5 may use."""
+    return toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"),
+                        train=F.pmod(crc_text("__id"), F.lit(3)) != 1)
+
+
+@query("op5_kneser_ney_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    score = toxicity.score_column(spark, toxicity_model(docs, spark, sf_dir))
+    return (docs.select("doc_id", (F.pmod(crc_text("doc_id"), F.lit(3)) == 1).alias("held_out"), score.alias("score"))
+            .withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int")))
+
+
 @query("op6_minhash_neardup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+OP7_SQL = """
+with p as (select page_id, octet_length(encode(coalesce(html, '')))::bigint as payload_bytes,
+                  sha1(coalesce(html, '')) as payload_digest, coalesce(html, '') as body from pages),
+t as (select *, max(page_id) over (partition by body) as top from p),
+r as (select *, payload_bytes >= 1000 and top is not null and page_id is distinct from top as again from t)
+select page_id, payload_bytes, payload_digest, case when again then 'revisit' else 'response' end as record_type,
+       case when again then top end as refers_to from r
+"""
+
+
+@query("op7_warc_normaliser", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+@query("op8_bootstrapped_pii")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def words_sql(text: str) -> str:
+    return (f"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), "
+            r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+
+OP9_SQL = f"""
+with d as (select row_number() over () as row_no, doc_id, {words_sql('text')} as w from documents),
+b as (select item_id, w, least(13, len(w)) as l from
+        (select distinct item_id, {words_sql('text')} as w from benchmark) where len(w) > 0),
+win as (select distinct item_id, l, unnest(list_transform(range(1, len(w) - l + 2),
+               lambda s: array_to_string(w[s:s + l - 1], ' '))) as g from b),
+grams as (select row_no, w, l, unnest(range(1, len(w) - l + 2)) as s from d, (select distinct l from win)),
+hit as (select a.row_no, a.s, a.l, win.item_id from grams a join win
+          on a.l = win.l and array_to_string(a.w[a.s:a.s + a.l - 1], ' ') = win.g),
+pos as (select row_no, count(distinct p) as n_hit from
+          (select row_no, unnest(range(s, s + l)) as p from hit) group by row_no),
+items as (select row_no, list_sort(list(distinct item_id::varchar)) as ids from hit where item_id is not null group by row_no)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
+       coalesce(len(ids), 0)::bigint as n_items, sha256(coalesce(array_to_string(ids, ','), '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated
+from d left join pos using (row_no) left join items using (row_no)
+"""
+
+
+@query("op9_positional_decontamination", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(table(spark, sf_dir, "documents", "doc_id", "text"),
+                           table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+@query("op10_ftrl_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = langid.fit(docs, F.pmod(crc_text("doc_id"), F.lit(4)) != 2)
+    return (docs.select("doc_id", (F.pmod(crc_text("doc_id"), F.lit(4)) == 2).alias("held_out"),
+                        langid.predict_column(spark, model).alias("p"))
+            .select("doc_id", "held_out", "p.lang_pred", "p.score"))
