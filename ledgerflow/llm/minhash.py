@@ -180,11 +180,24 @@ def bucket_pairs(members: DataFrame, turn: int) -> DataFrame:
             .select(F.col("key").alias("hub_key"), "c1", F.col("c2").bitwiseXOR(mask).alias("c2")))
     centre = F.explode(F.array_distinct(F.array("c1", "c2")))
     return (members.join(hubs, F.col("key") == F.col("hub_key"))
-            .select("node", "n", centre.alias("centre")).where("node <> centre")
+            .select("node", centre.alias("centre")).where("node <> centre")
             .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
             .distinct())
 
 
+def likely(docs: DataFrame, wanted: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """Rows of ``docs`` whose id may be a ``node`` of ``wanted``, by a bit map
+    of hashed ids (at most ``bits`` / 64 rows, so it may be broadcast): only
+    their texts are shuffled by the join that follows."""
+    h = F.pmod(F.xxhash64(F.col("node")), F.lit(bits))
+    marks = (wanted.select(F.shiftright(h, 6).cast("int").alias("slot"),
+                           F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {bits}) & 63 as int))").alias("bit"))
+             .groupBy("slot").agg(F.bit_or("bit").alias("mask")))
+    own = docs.withColumn("at", F.pmod(F.xxhash64(F.col("doc_id")), F.lit(bits)))
+    return (own.join(F.broadcast(marks), F.shiftright("at", 6).cast("int") == F.col("slot"))
+            .where("(shiftrightunsigned(mask, cast(at & 63 as int)) & 1) = 1").select("doc_id", "text"))
+
+
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough.  The
     smaller node of a pair is the centre; pairs whose set sizes rule the
@@ -203,7 +216,8 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
                        F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     to = (dealt.unionByName(own).groupBy("node")
           .agg(F.collect_list(F.struct("centre", "salt")).alias("groups")))
-    texts = docs.join(to, docs["doc_id"] == to["node"]).select("node", "text", "groups")
+    to = cut(to)
+    texts = likely(docs, to).join(to, F.col("doc_id") == F.col("node")).select("node", "text", "groups")
     sets = texts.mapInArrow(set_sender(size), "centre long, salt long, node long, hashes binary")
     return sets.groupBy("centre", "salt").applyInArrow(confirmer(percent), "u long, v long").distinct()
 
@@ -227,13 +241,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = rows_.where("doc_id = rep").select(F.col("doc_id").alias("node"),
                                                F.col("n_shingles").alias("n"), "f1", "f2").distinct()
     head = nodes.withColumnsRenamed({"f1": "g1", "f2": "g2"})
-    buckets = cut(linkable.join(head, (F.col("doc_id") == F.col("node")) & (F.col("f1") == F.col("g1"))
-                                & (F.col("f2") == F.col("g2")))
-                  .select("node", "n", "bands").dropDuplicates(["node", "n"])
-                  .select("node", "n", F.explode("bands").alias("key")))
-    crowded = buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")) \
-        .where("lo <> hi").select(F.col("key").alias("k"))
-    buckets = cut(buckets.join(crowded, F.col("key") == F.col("k")).select("node", "n", "key"))
+    buckets = (linkable.join(head, (F.col("doc_id") == F.col("node")) & (F.col("f1") == F.col("g1"))
+                             & (F.col("f2") == F.col("g2")))
+               .select("node", F.explode("bands").alias("key")))
+    buckets = cut(buckets)
+    crowded = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("key").alias("k"))
+    buckets = cut(buckets.join(crowded, F.col("key") == F.col("k")).select("node", "key"))
     sizes = nodes.groupBy("node").agg(F.max("n").alias("n"))
     links, tested, turn = ties, None, 0
     members = buckets.withColumn("comp", F.col("node"))
@@ -254,7 +267,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         comps = components(links)
         members = cut(buckets.join(comps.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left")
-                      .select("node", "n", "key", F.coalesce("comp", "node").alias("comp")))
+                      .select("node", "key", F.coalesce("comp", "node").alias("comp")))
         turn += 1
     c1 = comps.select(F.col("node").alias("x"), F.col("comp").alias("via_rep"))
     placed = (rows_.select(F.col("doc_id").alias("d"), F.col("f1").alias("h1"), F.col("f2").alias("h2"), "rep")
