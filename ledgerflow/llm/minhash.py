@@ -80,7 +80,7 @@ def densified(doc: np.ndarray, h: np.ndarray, n_docs: int, bins: int) -> np.ndar
     attempt = 1
     while len(r):
         src = (mix64(c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                     + np.uint64(attempt) * np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(bins)).astype(np.int64)
+                     + np.uint64(attempt * 0xC2B2AE3D27D4EB4F % (1 << 64))) % np.uint64(bins)).astype(np.int64)
         hit = full[r, src]
         sig[r[hit], c[hit]] = sig[r[hit], src[hit]]
         r, c = r[~hit], c[~hit]
