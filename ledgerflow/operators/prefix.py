@@ -1,146 +1,96 @@
 """Ordered prefix aggregates without a global window.
 
 ``Window.orderBy(x)`` with no partition key moves every row to one task.
-Here the order key is cut into value ranges whose bounds come from one small
-approximate-quantile job; every row carries its range id (a balanced CASE
-tree over the bounds, so a row costs log2(ranges) comparisons), rows are
-hash-partitioned by range, each task computes the running aggregate of its
-ranges with pandas, the per-range totals (one row per range and group:
-bounded by the range count) get their own prefix, and the two are combined.
-The range id is a deterministic function of the row, so the totals and the
-rows always agree, whatever Spark reuses or recomputes.  Callers pass rows
-that are unique on (by, order) - they pre-aggregate duplicates first - so a
-repeated key cannot unbalance a range.
+Here the order key is cut into value ranges: approximate quantiles of the
+column (an ordinary one-row aggregate inside the plan, no job while the plan
+is built) bound them, a binary search gives each row its range, a window per
+(group, range) computes the running aggregate, and the per-range totals get a
+prefix of their own.  Ranges outnumber the shuffle partitions, so that hashing
+them evens out, and their number follows the shuffle width, so a range's rows
+do not grow with the data when the width does.  Everything runs in the JVM
+and in the columns' own types.
+
+Callers pass rows that are unique on (by, order) - they pre-aggregate
+duplicates first - so a repeated key cannot unbalance a range.  NULL is a
+group like any other.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
-
-MAX_RANGES = 256
-
-
-def range_id(c: Column, bounds: list) -> Column:
-    """Number of ``bounds`` (sorted) below the value: 0..len(bounds)."""
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(c > F.lit(bounds[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
-    return tree(0, len(bounds))
-
-
-def range_bounds(df: DataFrame, order: str, n: int) -> list:
-    """``n - 1`` approximate quantiles of the order column (one small job;
-    only the bounds reach the driver)."""
-    if n <= 1:
-        return []
-    probs = [i / n for i in range(1, n)]
-    qs = df.approxQuantile(order, probs, 1.0 / (4 * n))
-    return sorted(set(q for q in qs if q is not None))
-
-
-def _local_prefix(by: list[str], value: str, how: str):
-    """The per-range running aggregate.  The returned function is nested and
-    refers only to numpy/pandas/pyspark, so it is shipped to the Python
-    workers by value and needs no import of this package there."""
-    def fn(batches):
-        import numpy as np
-        import pandas as pd
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        carry_key, carry = None, None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            vals = pdf[value].astype("float64")
-            if by:
-                keys = pdf[by]
-                new = (keys != keys.shift()).any(axis=1).to_numpy()
-                first_key = tuple(keys.iloc[0])
-            else:
-                new = np.zeros(len(pdf), dtype=bool)
-                new[0] = True
-                first_key = ()
-            cont = carry_key is not None and first_key == carry_key
-            gid = np.cumsum(new)
-            grouped = vals.groupby(gid)
-            running = grouped.cumsum() if how == "sum" else grouped.cummin()
-            incl = running.to_numpy(copy=True)
-            excl = pd.Series(incl).groupby(gid).shift(1).to_numpy(copy=True)
-            if cont:
-                first = gid == gid[0]
-                if how == "sum":
-                    incl[first] = incl[first] + carry
-                    excl[first] = np.where(np.isnan(excl[first]), 0.0, excl[first]) + carry
-                else:
-                    incl[first] = np.minimum(incl[first], carry)
-                    excl[first] = np.fmin(excl[first], carry)
-            carry_key = tuple(pdf[by].iloc[-1]) if by else ()
-            carry = incl[gid == gid[-1]][-1]
-            out = pdf.copy()
-            out["__pid"] = pid
-            out["__incl"] = incl
-            out["__excl"] = excl
-            yield out
-    return fn
+
+RANGES_PER_PARTITION = 4
+
+
+def range_id(c: Column, bounds: Column) -> Column:
+    """Number of ``bounds`` (a sorted array) below the value, by binary
+    search; ``bounds`` has at most 2^20 entries."""
+    jumps = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)])
+    return F.aggregate(jumps, F.lit(0), lambda lo, jump: F.when(
+        (lo + jump <= F.size(bounds)) & (F.get(bounds, lo + jump - 1) < c), lo + jump).otherwise(lo))
+
+
+def same(a: DataFrame, b: DataFrame, pairs: list[tuple[str, str]]) -> Column:
+    """Null-safe equality of column pairs (a hashable join condition)."""
+    return reduce(lambda x, y: x & y, [a[p].eqNullSafe(b[q]) for p, q in pairs])
 
 
 def ordered_prefix(df: DataFrame, order: str, value: str, by: list[str] | None = None,
-                   how: str = "sum", n_partitions: int | None = None,
+                   how: str = "sum", n_ranges: int | None = None,
                    bounds_from: DataFrame | None = None) -> DataFrame:
     """Adds ``prefix_incl`` / ``prefix_excl``: the sum (or min) of ``value``
-    over rows of the same ``by`` group whose ``order`` is <= / < the row's.
+    over rows of the same ``by`` group whose ``order`` is <= / < the row's
+    (for a group's first row ``prefix_excl`` is 0 for a sum, NULL for a min).
     ``df`` must be unique on (by, order); ``order`` must be numeric and
     non-NULL.  ``bounds_from`` (a frame with an ``order`` column, e.g. the
     rows before they were de-duplicated) gives the range bounds without
     computing ``df`` an extra time."""
     by = list(by or [])
-    spark = df.sparkSession
-    # ranges: the shuffle width, at most a few per core and MAX_RANGES
-    n = n_partitions or min(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                            4 * spark.sparkContext.defaultParallelism)
-    n = max(1, min(n, MAX_RANGES))
-    bounds = range_bounds(bounds_from if bounds_from is not None else df, order, n)
-    ranged_rows = df.withColumn("__rid", range_id(F.col(order), bounds).cast("long"))
+    n = n_ranges or RANGES_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    probs = [i / n for i in range(1, n)] or [0.5]
+    source = bounds_from if bounds_from is not None else df
+    bounds = source.agg(F.sort_array(F.array_distinct(F.coalesce(
+        F.percentile_approx(order, probs, 4 * n), F.array()))).alias("__bounds"))  # one row
+    rid = range_id(F.col(order), F.col("__bounds"))
+    ranged = df.crossJoin(F.broadcast(bounds)).withColumn("__rid", rid).drop("__bounds")
     keys = [*by, "__rid"]
-    ranged = ranged_rows.repartition(n, "__rid").sortWithinPartitions(*keys, order)
-    schema = StructType(list(ranged.schema.fields) + [
-        StructField("__pid", LongType()), StructField("__incl", DoubleType()),
-        StructField("__excl", DoubleType())])
-    local = ranged.mapInPandas(_local_prefix(keys, value, how), schema)
-
-    agg_fn = F.sum if how == "sum" else F.min
-    totals = ranged_rows.groupBy(*keys).agg(agg_fn(value).cast("double").alias("__pt"))
-    w = Window.partitionBy(*by).orderBy("__rid").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.select(*keys, agg_fn("__pt").over(w).alias("__before"))
-    joined = local.join(before, on=keys, how="inner")
+    agg = F.sum if how == "sum" else F.min
+    w = Window.partitionBy(*keys).orderBy(order)
+    local = (ranged.withColumn("__incl", agg(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+             .withColumn("__excl", agg(value).over(w.rowsBetween(Window.unboundedPreceding, -1))))
+    # per group one row per range; a window without keys holds one row per range
+    totals = ranged.groupBy(*keys).agg(agg(value).alias("__total"))
+    earlier = Window.partitionBy(*by).orderBy("__rid").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
+                           agg("__total").over(earlier).alias("__before"))
+    joined = local.join(before, same(local, before, [(k, f"__k{i}") for i, k in enumerate(keys)]))
     if how == "sum":
-        incl = F.coalesce(F.col("__before"), F.lit(0.0)) + F.col("__incl")
-        excl = F.coalesce(F.col("__before"), F.lit(0.0)) + F.coalesce(F.col("__excl"), F.lit(0.0))
+        zero = F.lit(0)
+        incl = F.coalesce("__before", zero) + F.col("__incl")
+        excl = F.coalesce("__before", zero) + F.coalesce("__excl", zero)
     else:
-        incl = F.least(F.col("__before"), F.col("__incl"))
-        excl = F.least(F.col("__before"), F.col("__excl"))
+        incl, excl = F.least("__before", "__incl"), F.least("__before", "__excl")
     return joined.select(*df.columns, incl.alias("prefix_incl"), excl.alias("prefix_excl"))
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str] | None = None,
-                    n_partitions: int | None = None, prefix: str = "q") -> DataFrame:
+                    n_ranges: int | None = None, prefix: str = "q") -> DataFrame:
     """Exact continuous quantiles (linear interpolation between the order
-    statistics at floor/ceil of p*(n-1)), one row per ``by`` group, columns
-    ``{prefix}{p*100}`` (``q25``, ``q99_9``).  Distinct values are counted first (partial
-    aggregation), so repeated values cost one row each."""
+    statistics at floor/ceil of p*(n-1)), one row per ``by`` group (NULL
+    included), columns ``{prefix}{p*100}`` (``q25``, ``q99_9``).  NULL values
+    do not count.  Distinct values are counted first (partial aggregation),
+    so repeated values cost one row each."""
     by = list(by or [])
     v = df.select(*by, F.col(value).alias("__v")).filter(F.col("__v").isNotNull())
     counts = v.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    ranked = ordered_prefix(counts, "__v", "__c", by=by, how="sum", n_partitions=n_partitions,
-                            bounds_from=v)
+    ranked = ordered_prefix(counts, "__v", "__c", by=by, how="sum", n_ranges=n_ranges, bounds_from=v)
     if by:
-        # group sizes: one row per group, joined on the keys (AQE sizes it)
-        ranked = ranked.join(counts.groupBy(*by).agg(F.sum("__c").alias("__n")), on=by)
+        sizes = counts.groupBy(*[F.col(k).alias(f"__s{i}") for i, k in enumerate(by)]).agg(
+            F.sum("__c").alias("__n"))
+        ranked = ranked.join(sizes, same(ranked, sizes, [(k, f"__s{i}") for i, k in enumerate(by)]))
     else:
         # one row: a proven broadcast bound
         ranked = ranked.crossJoin(F.broadcast(counts.agg(F.sum("__c").alias("__n"))))
@@ -151,30 +101,33 @@ def exact_quantiles(df: DataFrame, value: str, probs: list[float], by: list[str]
         hit_lo = (F.col("prefix_excl") <= lo) & (lo < F.col("prefix_incl"))
         hit_hi = (F.col("prefix_excl") <= hi) & (hi < F.col("prefix_incl"))
         name = prefix + format(p * 100, "g").replace(".", "_")
-        names.append((name, pos))
+        names.append(name)
         aggs += [F.max(F.when(hit_lo, F.col("__v"))).alias(f"{name}__lo"),
                  F.max(F.when(hit_hi, F.col("__v"))).alias(f"{name}__hi"),
                  F.max(pos - F.floor(pos)).alias(f"{name}__f")]
-    g = ranked.groupBy(*by).agg(*aggs) if by else ranked.agg(*aggs)
+    g = ranked.groupBy(*by).agg(*aggs)
     outs = [(F.col(f"{nm}__lo") + F.col(f"{nm}__f") * (F.col(f"{nm}__hi") - F.col(f"{nm}__lo")))
-            .alias(nm) for nm, _ in names]
+            .alias(nm) for nm in names]
     return g.select(*by, *outs)
 
 
 def skyline(df: DataFrame, minimise: tuple[str, str], by: list[str] | None = None,
-            n_partitions: int | None = None) -> DataFrame:
+            n_ranges: int | None = None) -> DataFrame:
     """Rows not dominated in the two ``minimise`` columns (another row at
-    most as large in both and smaller in one), per ``by`` group.  Sort-based:
-    a row survives when its second value is the least among rows with the
-    same first value and below the least second value of every row with a
-    smaller first value - no pairwise comparison."""
+    most as large in both and smaller in one), per ``by`` group.  A row that
+    is NULL in a measure compares with nothing: it dominates no row and is
+    kept.  Sort-based: a row survives when its second value is the least among
+    rows with the same first value and below the least second value of every
+    row with a smaller first value - no pairwise comparison."""
     a, b = minimise
     by = list(by or [])
-    base = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    whole = F.col(a).isNotNull() & F.col(b).isNotNull()
+    base = df.filter(whole)
     best = base.groupBy(*by, a).agg(F.min(b).alias("__m"))
-    pref = ordered_prefix(best, a, "__m", by=by, how="min", n_partitions=n_partitions,
-                          bounds_from=base)
-    keep = pref.select(*by, a, "__m", F.col("prefix_excl").alias("__pm"))
-    j = base.join(keep, on=[*by, a], how="inner")
-    cond = (F.col(b) == F.col("__m")) & (F.col("__pm").isNull() | (F.col("__pm") > F.col(b)))
-    return j.filter(cond).select(*df.columns)
+    pref = ordered_prefix(best, a, "__m", by=by, how="min", n_ranges=n_ranges, bounds_from=base)
+    keys = [*by, a]
+    keep = pref.select(*[F.col(k).alias(f"__j{i}") for i, k in enumerate(keys)], "__m",
+                       F.col("prefix_excl").alias("__pm"))
+    j = base.join(keep, same(base, keep, [(k, f"__j{i}") for i, k in enumerate(keys)]))
+    undominated = (F.col(b) == F.col("__m")) & (F.col("__pm").isNull() | (F.col("__pm") > F.col(b)))
+    return j.filter(undominated).select(*[base[c] for c in df.columns]).unionByName(df.filter(~whole))

@@ -29,7 +29,7 @@ def test_rolling_forms_agree(spark, data, width):
 def test_skyline_agrees_with_definition(spark, data):
     pts = [(i, float(a), float(b)) for i, (a, b) in enumerate(data)]
     df = spark.createDataFrame(pts, "id long, t double, m double")
-    got = sorted(r["id"] for r in skyline(df, ("t", "m"), n_partitions=3).collect())
+    got = sorted(r["id"] for r in skyline(df, ("t", "m"), n_ranges=3).collect())
     want = sorted(i for i, a, b in pts
                   if not any(a2 <= a and b2 <= b and (a2 < a or b2 < b) for _, a2, b2 in pts))
     assert got == want
