@@ -186,16 +186,51 @@ union all
 select 'banksim_net', cast(null as double), Source, Weight from net"""))
 def mixed_record_router(spark, d):
     paths = [write_paysim_csv(spark, d), write_banksim_csv(spark, d), write_network_csv(spark, d)]
-    routed = dl.route_records(dl.read_lines(spark, paths), dl.default_layouts())
-    return wl.union_all([
-        routed["paysim"].select(F.lit("paysim").alias("layout"), F.col("step").cast("double").alias("step"),
-                                F.col("nameOrig").alias("account"), "amount"),
-        routed["banksim_tx"].select(F.lit("banksim_tx").alias("layout"), "step",
-                                    F.col("customer").alias("account"), "amount"),
-        routed["banksim_net"].select(F.lit("banksim_net").alias("layout"),
-                                     F.lit(None).cast("double").alias("step"),
-                                     F.col("Source").alias("account"), F.col("Weight").alias("amount")),
-    ])
+    tagged = dl.tag_records(dl.read_lines(spark, paths), dl.default_layouts())
+    return tagged.filter(~F.col("malformed")).select(
+        "layout", F.coalesce(F.col("paysim.step").cast("double"), "banksim_tx.step").alias("step"),
+        F.coalesce("paysim.nameOrig", "banksim_tx.customer", "banksim_net.Source").alias("account"),
+        F.coalesce("paysim.amount", "banksim_tx.amount", "banksim_net.Weight").alias("amount"))
+
+
+# Sources named like header fields, and damaged records, per input file.
+_ODD_NET = """select case when line_id % 5 = 0 then 'step' when line_id % 7 = 0 then 'source' else Source end as Source,
+       Target, Weight, typeTrans, fraud, line_id from net"""
+
+
+def write_odd_network(spark, d) -> str:
+    path = scratch_path(spark, "odd_network")
+    e = fx.net(spark, d)
+    q = lambda c: F.concat(F.lit("'"), F.col(c).cast("string"), F.lit("'"))
+    src = (F.when(F.col("line_id") % 5 == 0, "step").when(F.col("line_id") % 7 == 0, "source")
+           .otherwise(F.col("Source")))
+    full = F.concat_ws(",", F.concat(F.lit("'"), src, F.lit("'")), q("Target"), q("Weight"), q("typeTrans"), q("fraud"))
+    line = F.when(F.col("line_id") % 11 == 0, F.concat_ws(",", q("Source"), q("Target"))).otherwise(full)
+    e.select(line.alias("value")).write.mode("overwrite").text(path)
+    return path
+
+
+@query("network_odd_sources", with_("net", f"""
+select Source, Target, Weight, typeTrans, fraud from ({_ODD_NET}) where line_id % 11 <> 0"""))
+def network_odd_sources(spark, d):
+    return dl.read_banksim_net(spark, write_odd_network(spark, d))
+
+
+@query("ingest_accounting", with_(["ta", "net"], f"""
+select 'paysim' as source, cast(count_if({_DAMAGE} is null) as bigint) as n_good,
+       cast(count_if({_DAMAGE} is not null) as bigint) as n_dropped,
+       cast(count_if({_DAMAGE} = 'too_few_fields') as bigint) as too_few_fields,
+       cast(count_if({_DAMAGE} = 'too_many_fields') as bigint) as too_many_fields,
+       cast(count_if({_DAMAGE} = 'bad_value') as bigint) as bad_value from ta
+union all
+select 'banksim_net', cast(count_if(line_id % 11 <> 0) as bigint), cast(count_if(line_id % 11 = 0) as bigint),
+       cast(count_if(line_id % 11 = 0) as bigint), 0, 0 from net"""))
+def ingest_accounting(spark, d):
+    from ..schemas import BANKSIM_NET, PAYSIM
+    parts = [dl.ingest_counts(spark, write_damaged(spark, d), PAYSIM).select(F.lit("paysim").alias("source"), "*"),
+             dl.ingest_counts(spark, write_odd_network(spark, d), BANKSIM_NET, quote="'").select(
+                 F.lit("banksim_net").alias("source"), "*")]
+    return wl.union_all(parts)
 
 
 # ------------------------------------------------------------ A8, A13

@@ -11,8 +11,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from ..schemas import BANKSIM_LAYOUT, PAYSIM_LAYOUT
+from ..schemas import BANKSIM_LAYOUT, BANKSIM_NET, BANKSIM_TX, PAYSIM, PAYSIM_LAYOUT
 from ..sources import delimited as dl
 from ..sources.sinks import write_counted
 from . import workloads as wl
@@ -33,6 +34,22 @@ def _sources(spark: SparkSession, data_dir: str):
     return pay, bank
 
 
+def ingest_report(spark: SparkSession, data_dir: str):
+    """(source, n_good, n_dropped, one count per reason) of every source file
+    that exists: which records the workloads do not see."""
+    known = [("paysim", PAYSIM_FILE, PAYSIM, '"'), ("banksim_tx", BANKSIM_FILE, BANKSIM_TX, "'"),
+             ("banksim_net", NETWORK_FILE, BANKSIM_NET, "'")]
+    parts = []
+    for name, file, schema, quote in known:
+        def count(s, p, schema=schema, quote=quote):
+            return dl.ingest_counts(s, p, schema, quote)
+        parts += [c.select(F.lit(name).alias("source"), "*")
+                  for c in dl.load_available_or_none(spark, [_path(data_dir, file)], count)]
+    if not parts:
+        raise dl.NoInput(f"no input data found in {data_dir}")
+    return wl.union_all(parts)
+
+
 def _write(df, output_dir: str, name: str, files: int | None) -> int:
     out = df.coalesce(files) if files else df
     return write_counted(out, os.path.join(output_dir, name), fmt="csv", header=True)

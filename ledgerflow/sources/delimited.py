@@ -11,19 +11,24 @@ split by the text source, so large files are read in parallel splits.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.errors import AnalysisException
 
 CORRUPT = "_corrupt"
-# First-field text of header lines in the reference layouts.
-HEADER_FIRST_FIELDS = ("step", "source")
+HEAD = "__head"  # the line is in the first split of its file
+FILE = "__file"
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per text line (column ``value``)."""
-    return spark.read.text(paths if isinstance(paths, list) else [paths])
+    """One row per text line (column ``value``), with its file and whether it
+    is in the file's first split (only there a header can be)."""
+    lines = spark.read.text(paths if isinstance(paths, list) else [paths])
+    return lines.select("value", F.col("_metadata.file_path").alias(FILE),
+                        (F.col("_metadata.file_block_start") == 0).alias(HEAD))
 
 
 def split_fields(value: str = "value", quote: str | None = "'") -> F.Column:
@@ -42,12 +47,21 @@ def first_field(value: str = "value") -> F.Column:
     return F.lower(F.btrim(F.btrim(raw), F.lit("'\"")))
 
 
-def drop_headers(lines: DataFrame, first_fields=HEADER_FIRST_FIELDS,
-                 value: str = "value") -> DataFrame:
-    """Drop header lines (first field - trimmed, quote stripped, lower-cased -
-    is a header name) and blank lines.  A record whose first field is empty
-    is kept: it parses to a NULL there."""
-    return lines.filter(~first_field(value).isin(*first_fields) & (F.trim(F.col(value)) != ""))
+def is_header(lines: DataFrame, names: list[str], value: str = "value") -> F.Column:
+    """The line is a header: it holds exactly the expected column names
+    (quotes stripped, any case), and is in the first split of its file.  A
+    record whose first field happens to read like a column name is none."""
+    fields = F.transform(F.split(F.col(value), ","), lambda x: F.lower(F.btrim(F.btrim(x), F.lit("'\""))))
+    same = fields == F.array(*[F.lit(n.lower()) for n in names])
+    return (same & F.col(HEAD)) if HEAD in lines.columns else same
+
+
+def drop_headers(lines: DataFrame, layouts: list[list[str]], value: str = "value") -> DataFrame:
+    """Drop header lines (of any of the layouts' column names) and blank
+    lines.  A record whose first field is empty is kept: it parses to a NULL
+    there."""
+    head = reduce(lambda x, y: x | y, [is_header(lines, names, value) for names in layouts])
+    return lines.filter(~head & (F.trim(F.col(value)) != ""))
 
 
 def _with_corrupt(schema: StructType) -> StructType:
@@ -73,14 +87,21 @@ def split_malformed(lines: DataFrame, schema: StructType, quote: str = '"',
     keep = F.when(F.col(f"__r.{CORRUPT}").isNull(), F.array(F.col("__r")))
     good = parsed.select(F.explode(keep).alias("__g")).select(
         *[F.col(f"__g.{f.name}").alias(f.name) for f in schema.fields])
+    bad = with_reason(parsed, schema, quote, value).filter(F.col("reason").isNotNull()).select(
+        F.col(value).alias("raw"), "reason")
+    return good, bad
+
+
+REASONS = ("too_few_fields", "too_many_fields", "bad_value")
+
+
+def with_reason(parsed: DataFrame, schema: StructType, quote: str = '"',
+                value: str = "value") -> DataFrame:
+    """Why a parsed line is malformed; NULL for a good record."""
     n = len(schema.fields)
     nfields = field_count(value, quote)
-    reason = (F.when(nfields < n, "too_few_fields")
-               .when(nfields > n, "too_many_fields")
-               .otherwise("bad_value"))
-    bad = parsed.filter(F.col(f"__r.{CORRUPT}").isNotNull()).select(
-        F.col(value).alias("raw"), reason.alias("reason"))
-    return good, bad
+    reason = (F.when(nfields < n, REASONS[0]).when(nfields > n, REASONS[1]).otherwise(REASONS[2]))
+    return parsed.withColumn("reason", F.when(F.col(f"__r.{CORRUPT}").isNotNull(), reason))
 
 
 def quarantine_summary(bad: DataFrame) -> DataFrame:
@@ -90,15 +111,30 @@ def quarantine_summary(bad: DataFrame) -> DataFrame:
 
 def read_typed(spark: SparkSession, paths: str | list[str], schema: StructType,
                quote: str = '"', header: bool = True) -> DataFrame:
-    """Typed scan of delimited text, malformed records dropped.  With
-    ``header`` the header line of every file is skipped (recognised by its
-    first field: the schema's first column name)."""
+    """Typed scan of delimited text, malformed records dropped (see
+    ``read_split`` for them).  With ``header`` the header line of every file
+    is skipped, where it holds the schema's column names."""
+    return read_split(spark, paths, schema, quote, header)[0]
+
+
+def read_split(spark: SparkSession, paths: str | list[str], schema: StructType,
+               quote: str = '"', header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(good typed rows, quarantined raw lines with a reason)."""
     lines = read_lines(spark, paths)
     if header:
-        names = {*HEADER_FIRST_FIELDS, schema.fields[0].name.lower()}
-        lines = drop_headers(lines, first_fields=tuple(sorted(names)))
-    good, _ = split_malformed(lines, schema, quote)
-    return good
+        lines = drop_headers(lines, [schema.fieldNames()])
+    return split_malformed(lines, schema, quote)
+
+
+def ingest_counts(spark: SparkSession, paths: str | list[str], schema: StructType,
+                  quote: str = '"') -> DataFrame:
+    """One row (n_good, n_dropped and one count per reason): what
+    ``read_typed`` keeps and drops, in one scan."""
+    lines = drop_headers(read_lines(spark, paths), [schema.fieldNames()])
+    tagged = with_reason(parse_lines(lines, schema, quote, keep_raw=True), schema, quote)
+    return tagged.agg(F.count_if(F.col("reason").isNull()).alias("n_good"),
+                      F.count_if(F.col("reason").isNotNull()).alias("n_dropped"),
+                      *[F.count_if(F.col("reason") == r).alias(r) for r in REASONS])
 
 
 def read_paysim(spark, paths):
@@ -126,23 +162,36 @@ def field_count(value: str = "value", quote: str | None = "'") -> F.Column:
     return F.length(v) - F.length(F.regexp_replace(v, ",", "")) + 1
 
 
+def tag_records(lines: DataFrame, layouts: list[tuple[str, StructType, F.Column]],
+                quote: str = "'", value: str = "value") -> DataFrame:
+    """Read a text input that holds several record layouts in one scan: one
+    row per record with ``layout`` (the first whose predicate holds, else
+    NULL), one struct column per layout (NULL for the others' records) and
+    ``malformed``.  Predicates may use ``__nf``, the line's field count
+    (quotes respected).  Header and blank lines are dropped."""
+    body = drop_headers(lines, [s.fieldNames() for _, s, _ in layouts], value)
+    body = body.withColumn("__nf", field_count(value, quote))
+    which = reduce(lambda e, lay: e.when(lay[2], F.lit(lay[0])), layouts[1:],
+                   F.when(layouts[0][2], F.lit(layouts[0][0])))
+    body = body.select(value, which.alias("layout"))
+    opts = {"quote": quote, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    for name, schema, _ in layouts:
+        body = body.withColumn(name, F.from_csv(F.when(F.col("layout") == name, F.col(value)),
+                                                _with_corrupt(schema).simpleString(), opts))
+    bad = F.coalesce(*[F.col(name)[CORRUPT] for name, _, _ in layouts]).isNotNull()
+    # through a generator, so that no filter is pushed below the parse and runs it again
+    rec = F.struct("layout", *[n for n, _, _ in layouts], (bad | F.col("layout").isNull()).alias("malformed"))
+    return body.select(F.explode(F.array(rec)).alias("__t")).select("__t.*")
+
+
 def route_records(lines: DataFrame, layouts: list[tuple[str, StructType, F.Column]],
                   quote: str = "'", value: str = "value") -> dict[str, DataFrame]:
-    """Split one text input holding several record layouts into one
-    DataFrame per layout.  ``layouts`` is an ordered list of (name, schema,
-    predicate); predicates may use ``__nf``, the line's field count (quotes
-    respected).  A line goes to the first layout whose predicate holds; header
-    and blank lines are dropped, malformed records of a layout are dropped.
-    Each output is a filtered scan of the text that parses only its own
-    lines (a filter above a parse would re-run the parser)."""
-    body = drop_headers(lines, value=value).withColumn("__nf", field_count(value, quote))
-    out, taken = {}, None
-    for name, schema, pred in layouts:
-        cond = pred if taken is None else (pred & ~taken)
-        good, _ = split_malformed(body.filter(cond), schema, quote, value)
-        out[name] = good
-        taken = pred if taken is None else (taken | pred)
-    return out
+    """One DataFrame per layout out of ``tag_records``; malformed records and
+    those of no layout are dropped (count them with ``tag_records``).  A
+    caller that needs all layouts at once takes ``tag_records``: one scan."""
+    tagged = tag_records(lines, layouts, quote, value)
+    return {name: tagged.filter((F.col("layout") == name) & ~F.col("malformed")).select(
+        *[F.col(f"{name}.{f.name}").alias(f.name) for f in schema.fields]) for name, schema, _ in layouts}
 
 
 def default_layouts():
@@ -153,11 +202,15 @@ def default_layouts():
             ("banksim_net", BANKSIM_NET, n == 5)]
 
 
+class NoInput(RuntimeError):
+    """None of the given paths exists."""
+
+
 def load_available_or_none(spark: SparkSession, paths: list[str], reader) -> list[DataFrame]:
     """Like ``load_available`` but an empty list when nothing exists."""
     try:
         return load_available(spark, paths, reader)
-    except RuntimeError:
+    except NoInput:
         return []
 
 
@@ -173,5 +226,5 @@ def load_available(spark: SparkSession, paths: list[str], reader) -> list[DataFr
             if "PATH_NOT_FOUND" not in str(e) and "Path does not exist" not in str(e):
                 raise
     if not frames:
-        raise RuntimeError(f"no input data found in {paths}")
+        raise NoInput(f"no input data found in {paths}")
     return frames

@@ -31,7 +31,7 @@ def _write(spark, name, text):
 
 def test_dirty_csv_good_rows_and_quarantine(spark):
     path = _write(spark, "m5", M5)
-    lines = dl.drop_headers(dl.read_lines(spark, path))
+    lines = dl.drop_headers(dl.read_lines(spark, path), [M5_SCHEMA.fieldNames()])
     good, bad = dl.split_malformed(lines, M5_SCHEMA, quote="'")
     assert rows(good) == [(0, "C1", 4.55, 0), (1, "C1", 5.0, 1), (5, None, 2.0, 1)]
     assert rows(bad, "reason") == [("bad_value",), ("too_few_fields",), ("too_many_fields",)]
@@ -106,3 +106,20 @@ def test_profile_file_counts_and_size(spark):
     assert (r.row_count, r.fraud_count, r.parse_errors) == (4, 2, 1)
     assert r.amount_sum == 6.5 and r.avg_amount == 6.5 / 4 and r.column_count_ok
     assert r.size_mb == pytest.approx(len(text) / (1024 * 1024))
+
+
+def test_records_that_read_like_headers_are_kept(spark):
+    text = ("Source,Target,Weight,typeTrans,fraud\n'C1','M1','1.0','x','0'\n'step','M2','2.0','x','1'\n"
+            "'source','M3','3.0','x','0'\n'Source',''\n")
+    path = _write(spark, "net_odd", text)
+    assert rows(dl.read_banksim_net(spark, path), "Source", "Weight") == [("C1", 1.0), ("source", 3.0), ("step", 2.0)]
+    from ledgerflow.schemas import BANKSIM_NET
+    c = dl.ingest_counts(spark, path, BANKSIM_NET, quote="'").collect()[0]
+    assert (c.n_good, c.n_dropped, c.too_few_fields) == (3, 1, 1)
+    routed = dl.route_records(dl.read_lines(spark, path), dl.default_layouts())
+    assert routed["banksim_net"].count() == 3
+
+
+def test_a_file_without_header_loses_nothing(spark):
+    path = _write(spark, "net_bare", "'step','M2','2.0','x','1'\n'C1','M1','1.0','x','0'\n")
+    assert dl.read_banksim_net(spark, path).count() == 2
