@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_where, guarded_ratio, strip_quotes
-from ..sources.delimited import HEADER_FIRST_FIELDS, first_field, split_fields
+from ..sources.delimited import FILE, HEAD, field_count, is_header, split_fields
 from .prefix import exact_quantiles
 
 # Label column names recognised by the profile, and the
@@ -27,18 +27,17 @@ def profile_text(lines: DataFrame, columns: list[str], expected: list[str] | Non
     """One-row profile of raw delimited lines (header lines excluded):
     rows, positive labels and their rate in percent, amount sum and mean over
     *all* rows, unparseable amounts, and the column-count check.  The label
-    is counted before the amount is parsed; a row too short to hold a field
-    is neither counted nor an error for it."""
+    is counted before the amount is parsed; an empty amount is an error; a row
+    too short to hold a field is neither counted nor an error for it."""
     low = [c.lower() for c in columns]
     label_idx = max((i for i, c in enumerate(low) if c in LABEL_NAMES), default=None)
     amount_idx = max((i for i, c in enumerate(low) if c == "amount"), default=None)
-    header_first = low[0] if low else ""
-    body = lines.filter(~first_field(value).isin(header_first, *HEADER_FIRST_FIELDS))
+    body = lines.filter(~is_header(lines, columns, value)) if columns else lines
     # quote-aware split by the CSV parser: every field as text; a short row
     # has NULLs past its end, a long row's extra fields are ignored
     text_schema = ", ".join(f"c{i} string" for i in range(len(columns)))
     rec = F.from_csv(F.col(value), text_schema, {"quote": quote, "mode": "PERMISSIVE"})
-    body = body.select(rec.alias("__f"))
+    body = body.select(rec.alias("__f"), field_count(value, quote).alias("__nf"))
 
     def field(i):
         return strip_quotes(F.col(f"__f.c{i}"))
@@ -51,7 +50,7 @@ def profile_text(lines: DataFrame, columns: list[str], expected: list[str] | Non
         amt_txt = field(amount_idx)
         amt = amt_txt.try_cast("double")
         amount_sum = F.coalesce(F.sum(amt), F.lit(0.0))
-        errors = count_where(amt_txt.isNotNull() & amt.isNull())
+        errors = count_where((F.col("__nf") > amount_idx) & amt.isNull())
     else:
         amount_sum, errors = F.lit(0.0), F.lit(0).cast("long")
     g = body.agg(F.count(F.lit(1)).alias("row_count"), positive.alias("fraud_count"),
@@ -78,23 +77,25 @@ def profile_file(spark: SparkSession, path: str, expected: list[str] | None = No
 
 
 def header_check(lines: DataFrame, expected: list[str], value: str = "value") -> DataFrame:
-    """Compare the header lines found in the text (every file's first line
-    is recognised by its first field) with the expected column list:
-    one row per name with expected/found position and a status of ``ok``,
-    ``moved``, ``missing`` or ``unexpected``."""
+    """Compare the first line of each file (``lines`` from ``read_lines``)
+    with the expected column list: one row per file and name with
+    expected/found position and a status of ``ok``, ``moved``, ``missing`` or
+    ``unexpected``.  Only lines of a file's first split are looked at; the
+    first of them is picked by its place, whatever it holds."""
     spark = lines.sparkSession
-    headers = lines.filter(first_field(value).isin(*HEADER_FIRST_FIELDS))
-    found = (headers.select(F.posexplode(split_fields(value)).alias("pos", "raw"))
-             .select(strip_quotes("raw").alias("column"), F.col("pos").alias("found_position"))
-             .groupBy("column").agg(F.min("found_position").alias("found_position")))
+    first = (lines.filter(F.col(HEAD)).withColumn("__at", F.monotonically_increasing_id())
+             .groupBy(FILE).agg(F.min_by(value, "__at").alias(value)))
+    found = (first.select(F.col(FILE).alias("file"), F.posexplode(split_fields(value)).alias("pos", "raw"))
+             .select("file", strip_quotes("raw").alias("column"), F.col("pos").alias("found_position")))
     exp = spark.createDataFrame([(c, i) for i, c in enumerate(expected)],
                                 "column string, expected_position int")
-    j = exp.join(found, on="column", how="full_outer")
+    wanted = first.select(F.col(FILE).alias("file")).crossJoin(F.broadcast(exp))  # the layout: a few names
+    j = wanted.join(found, on=["file", "column"], how="full_outer")
     status = (F.when(F.col("found_position").isNull(), "missing")
                .when(F.col("expected_position").isNull(), "unexpected")
                .when(F.col("found_position") == F.col("expected_position"), "ok")
                .otherwise("moved"))
-    return j.select("column", "expected_position", "found_position", status.alias("status"))
+    return j.select("file", "column", "expected_position", "found_position", status.alias("status"))
 
 
 def numeric_summary(df: DataFrame, c: str,

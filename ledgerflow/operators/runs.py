@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import fixed, round_half_up
-from .prefix import skyline
+from .prefix import ordered_prefix, skyline
 
 # Workload names of the result table, in display order.
 WORKLOADS = ("WL1_aggregation", "WL2_fraud", "WL3_join_window")
@@ -32,18 +32,27 @@ def full_size(runs: DataFrame, threshold: float = 0.99, tolerance: float = 0.01)
     return j.filter(cond).drop("__max", "__nfull")
 
 
-def fraction_bucket(c: str = "sample_fraction") -> F.Column:
-    """Fractions within 0.01 of each other compare equal: bucket by 2 dp."""
-    return F.round(F.col(c), 2)
+def match_fractions(runs: DataFrame, c: str = "sample_fraction", out: str = "fraction_key",
+                    tolerance: float = 0.01) -> DataFrame:
+    """Adds ``out``: fractions less than ``tolerance`` apart get the same key,
+    the smallest of them (a chain of near-equal fractions is one key).  Only
+    the distinct fractions - one row per sample size - are ordered."""
+    w = Window.orderBy("__f")
+    distinct = runs.select(F.col(c).alias("__f")).filter(F.col(c).isNotNull()).distinct()
+    # a difference of exactly the tolerance, up to rounding, is not near
+    new = F.coalesce(F.col("__f") - F.lag("__f").over(w) > tolerance - 1e-9, F.lit(True))
+    runs_of = distinct.withColumn("__new", new.cast("int")).withColumn("__g", F.sum("__new").over(w))
+    keys = runs_of.withColumn(out, F.min("__f").over(Window.partitionBy("__g"))).select("__f", out)
+    return runs.join(keys, runs[c] == keys["__f"], "left").drop("__f")
 
 
 def first_per_key(runs: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key: the least by ``order`` (an explicit, deterministic
-    "first").  ``min_by`` aggregates partially, so a key with many rows
-    does not land whole in one task."""
+    "first"; a NULL sorts last).  ``min_by`` aggregates partially, so a key
+    with many rows does not land whole in one task."""
     payload = F.struct(*[F.col(c) for c in runs.columns if c not in keys])
-    g = runs.groupBy(*keys).agg(F.min_by(payload, F.struct(*[F.col(c) for c in order]))
-                                .alias("__r"))
+    least = F.struct(*[x for i, c in enumerate(order) for x in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"c{i}"))])
+    g = runs.groupBy(*keys).agg(F.min_by(payload, least).alias("__r"))
     return g.select(*keys, "__r.*")
 
 
@@ -67,20 +76,43 @@ def speedup(runs: DataFrame, by: list[str], baseline: str = "hadoop",
 
 
 def scaling_curve(runs: DataFrame, x: str = "data_size_mb", y: str = "wall_time_sec") -> DataFrame:
-    """Points per (workload, engine) ordered by ``x`` with their position.
-    The window holds one row per run of one workload and engine (bounded by
-    the number of sample fractions), never a data-sized group."""
-    w = Window.partitionBy("workload", "engine").orderBy(x, y)
-    return successful(runs).select("workload", "engine", x, y,
-                                   F.row_number().over(w).alias("position"))
-
-
-def pivot_metric(runs: DataFrame, metric: str, workloads=WORKLOADS) -> DataFrame:
-    """(engine, fraction) x workload matrix of one metric; missing -> NULL."""
-    return (successful(runs)
-            .groupBy("engine", fraction_bucket().alias("sample_fraction"))
-            .pivot("workload", list(workloads)).agg(F.max(metric))
-            .withColumn("metric", F.lit(metric)))
+    """Points per (workload, engine) ordered by ``x`` (then ``y``) with their
+    position.  Equal points are counted first and the positions come from a
+    prefix scan over ranges of ``x``, so a group of any size is spread."""
+    pts = successful(runs).filter(F.col(x).isNotNull()).select("workload", "engine", x, y)
+    counts = pts.groupBy("workload", "engine", x).agg(F.count(F.lit(1)).alias("__c"))
+    at = ordered_prefix(counts, x, "__c", by=["workload", "engine"], bounds_from=pts).select(
+        F.col("workload").alias("__w"), F.col("engine").alias("__e"), F.col(x).alias("__x"), "prefix_excl")
+    j = pts.join(at, pts["workload"].eqNullSafe(at["__w"]) & pts["engine"].eqNullSafe(at["__e"])
+                 & (pts[x] == at["__x"]))
+    # points that share workload, engine and x are ordered among themselves
+    w = Window.partitionBy("workload", "engine", x).orderBy(y)
+    return j.select("workload", "engine", x, y,
+                    (F.col("prefix_excl") + F.row_number().over(w)).cast("int").alias("position"))
+
+
+def metric_long(runs: DataFrame, metrics: list[str]) -> DataFrame:
+    """(engine, fraction_key, workload, metric, value): the largest value of
+    each metric of the successful runs, for every workload there is, in one
+    aggregate."""
+    g = (match_fractions(successful(runs)).groupBy("engine", "fraction_key", "workload")
+         .agg(*[F.max(m).alias(m) for m in metrics]))
+    pairs = ", ".join(f"'{m}', {m}" for m in metrics)
+    return g.selectExpr("engine", "fraction_key", "workload",
+                        f"stack({len(metrics)}, {pairs}) as (metric, value)")
+
+
+def pivot_metric(runs: DataFrame, metrics: str | list[str], workloads=WORKLOADS) -> DataFrame:
+    """(engine, fraction) x the named workloads, one row per metric; missing
+    -> NULL.  ``unlisted`` has the largest value of workloads that were not
+    named, so nothing is lost unseen."""
+    metrics = [metrics] if isinstance(metrics, str) else list(metrics)
+    long = metric_long(runs, metrics)
+    cells = [F.max(F.when(F.col("workload") == w, F.col("value"))).alias(w) for w in workloads]
+    rest = F.max(F.when(~F.coalesce(F.col("workload").isin(list(workloads)), F.lit(False)), F.col("value")))
+    return (long.groupBy("engine", F.col("fraction_key").alias("sample_fraction"), "metric")
+            .agg(*cells, rest.alias("unlisted"))
+            .select("engine", "sample_fraction", *workloads, "unlisted", "metric"))
 
 
 def fit_log(runs: DataFrame, x: str = "data_size_mb", y: str = "peak_memory_mb",
@@ -104,9 +136,8 @@ def fit_curve(fit: DataFrame, points: int = 100, floor: float = 1e-6,
     i = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")
     pts = fit.select(*by, "slope", "intercept", "x_min", "x_max", i)
     xv = F.col("x_min") + F.col("i") * (F.col("x_max") - F.col("x_min")) / F.lit(points - 1)
-    return pts.select(*by, "i", xv.alias("x")).join(fit.select(*by, "slope", "intercept"), on=by) \
-        .select(*by, "i", "x", (F.col("slope") * F.ln(F.greatest(F.col("x"), F.lit(floor)))
-                               + F.col("intercept")).alias("y"))
+    return pts.withColumn("x", xv).select(
+        *by, "i", "x", (F.col("slope") * F.ln(F.greatest(F.col("x"), F.lit(floor))) + F.col("intercept")).alias("y"))
 
 
 def frontier(runs: DataFrame, minimise=("wall_time_sec", "peak_memory_mb"),
@@ -115,12 +146,20 @@ def frontier(runs: DataFrame, minimise=("wall_time_sec", "peak_memory_mb"),
     return skyline(runs, tuple(minimise), by=by)
 
 
-def time_matrix(runs: DataFrame, workloads=WORKLOADS, value: str = "wall_time_sec") -> DataFrame:
-    """engine x workload at full size; missing -> 0."""
+def time_long(runs: DataFrame, value: str = "wall_time_sec") -> DataFrame:
+    """(engine, workload, value) at full size: the least value per pair."""
     full = full_size(successful(runs))
-    firsts = first_per_key(full, ["engine", "workload"], [value])
-    return firsts.groupBy("engine").pivot("workload", list(workloads)) \
-        .agg(F.max(value)).fillna(0.0, subset=list(workloads))
+    return full.groupBy("engine", "workload").agg(F.min(value).alias(value))
+
+
+def time_matrix(runs: DataFrame, workloads=WORKLOADS, value: str = "wall_time_sec") -> DataFrame:
+    """engine x the named workloads at full size, missing -> 0; ``unlisted``
+    has the least value of workloads that were not named (``time_long`` has
+    them all)."""
+    t = time_long(runs, value)
+    cells = [F.coalesce(F.min(F.when(F.col("workload") == w, F.col(value))), F.lit(0.0)).alias(w) for w in workloads]
+    rest = F.min(F.when(~F.coalesce(F.col("workload").isin(list(workloads)), F.lit(False)), F.col(value)))
+    return t.groupBy("engine").agg(*cells, F.coalesce(rest, F.lit(0.0)).alias("unlisted"))
 
 
 def summary(runs: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ CTES = {
     "net": """select customer as Source, merchant as Target, amount as Weight,
        category as typeTrans, fraud, line_id, part_id, step
   from tb where category = 'R'""",
-    "runs": """select case when l_linestatus='F' then 'Spark_PySpark' else 'Hadoop_MapReduce' end as engine,
+    "plain_runs": """select case when l_linestatus='F' then 'Spark_PySpark' else 'Hadoop_MapReduce' end as engine,
        case l_returnflag when 'A' then 'WL1_aggregation' when 'N' then 'WL2_fraud'
                          else 'WL3_join_window' end as workload,
        round(cast(year(l_shipdate)-1994 as double)/7, 3) as sample_fraction,
@@ -42,9 +42,15 @@ CTES = {
        cast(count(*) as bigint) as output_rows,
        cast(case when year(l_shipdate)=1996 and l_returnflag='R' then 1 else 0 end as int) as exit_code
   from lineitem group by l_linestatus, l_returnflag, year(l_shipdate)""",
+    "runs": """select engine, case when kind = 'other' then 'WL9_custom' else workload end as workload,
+       case when kind = 'near' then round(sample_fraction + 0.004, 3) else sample_fraction end as sample_fraction,
+       data_size_mb, case when kind = 'near' then wall_time_sec + 1 when kind <> 'failed' then wall_time_sec end as wall_time_sec,
+       cpu_time_sec, peak_memory_mb, output_rows,
+       cast(case when kind = 'failed' then 1 else exit_code end as int) as exit_code
+  from plain_runs cross join (values ('plain'), ('near'), ('other'), ('failed')) k(kind)""",
 }
 
-_DEPS = {"net": ["tb"]}
+_DEPS = {"net": ["tb"], "runs": ["plain_runs"]}
 
 
 def with_(names: list[str] | str, body: str, extra: dict[str, str] | None = None) -> str:

@@ -10,6 +10,7 @@ from ..operators import aggregate as agg
 from ..operators import quality as qa
 from ..operators import runs as rn
 from ..operators import sampling as smp
+from ..operators.prefix import exact_quantiles, skyline
 from ..schemas import BANKSIM_TX, PAYSIM
 from ..session import scratch_path
 from ..sources import delimited as dl
@@ -35,9 +36,10 @@ def amount_summary(spark, d):
 
 
 def write_profile_csv(spark, d) -> str:
-    """PaySim-layout CSV of ``ta`` with an unparseable amount on some rows."""
+    """PaySim-layout CSV of ``ta`` with an unparseable or empty amount on some rows."""
     t = fx.ta(spark, d)
-    amount_txt = F.when(F.col("tx_id") % 97 == 0, F.lit("bad")).otherwise(F.col("amount").cast("string"))
+    amount_txt = (F.when(F.col("tx_id") % 97 == 0, F.lit("bad")).when(F.col("tx_id") % 89 == 0, F.lit(None))
+                  .otherwise(F.col("amount").cast("string")))
     df = t.select("step", "type", amount_txt.alias("amount"), F.col("account").alias("nameOrig"),
                   (F.col("amount") * 3).alias("oldbalanceOrg"), (F.col("amount") * 2).alias("newbalanceOrig"),
                   F.col("counterparty").alias("nameDest"), (F.col("amount") * 4).alias("oldbalanceDest"),
@@ -48,7 +50,7 @@ def write_profile_csv(spark, d) -> str:
     return path
 
 
-_GOOD_AMOUNT = "case when tx_id % 97 = 0 then null else amount end"
+_GOOD_AMOUNT = "case when tx_id % 97 = 0 or tx_id % 89 = 0 then null else amount end"
 
 
 @query("table_profile", with_("ta", f"""
@@ -56,7 +58,7 @@ select count(*) as row_count, cast(count_if(is_fraud = 1) as bigint) as fraud_co
        {r('(cast(count_if(is_fraud = 1) as double) / count(*)) * 100', FINE)} as fraud_rate_pct,
        {r(f'sum({_GOOD_AMOUNT})', MONEY)} as amount_sum,
        {r(f'sum({_GOOD_AMOUNT}) / count(*)', FINE)} as avg_amount,
-       cast(count_if(tx_id % 97 = 0) as bigint) as parse_errors,
+       cast(count_if(tx_id % 97 = 0 or tx_id % 89 = 0) as bigint) as parse_errors,
        11 as n_columns, 11 as expected_columns, true as column_count_ok
   from ta"""))
 def table_profile(spark, d):
@@ -86,11 +88,72 @@ _LAYOUTS = {"paysim": PAYSIM.fieldNames(), "banksim_tx": BANKSIM_TX.fieldNames()
 @query("schema_check", _schema_check_sql(PAYSIM.fieldNames(), _LAYOUTS))
 def schema_check(spark, d):
     lines = dl.read_lines(spark, write_profile_csv(spark, d))
-    parts = [qa.header_check(lines, exp).select(F.lit(name).alias("expected_layout"), "*")
+    # the sink writes the same header into each of its files
+    parts = [qa.header_check(lines, exp).drop("file").distinct().select(F.lit(name).alias("expected_layout"), "*")
              for name, exp in _LAYOUTS.items()]
     return parts[0].unionByName(parts[1])
 
 
+_GOOD = ["r0", "r1", "r2", "r3", "r4"]
+
+
+@query("header_check_files", """
+with f as (select 'good' as file, 'r' || r_regionkey as "column", r_regionkey as p from region
+           union all select 'turned', 'r' || r_regionkey, 4 - r_regionkey from region
+           union all select 'renamed', case when r_regionkey = 0 then r_name else 'r' || r_regionkey end, r_regionkey
+             from region),
+e as (select file, 'r' || i as "column", i as p from (select distinct file from f) cross join range(0, 5) t(i))
+select coalesce(e.file, f.file) as file, coalesce(e."column", f."column") as "column",
+       cast(e.p as integer) as expected_position, cast(f.p as integer) as found_position,
+       case when f.p is null then 'missing' when e.p is null then 'unexpected' when e.p = f.p then 'ok'
+            else 'moved' end as status
+  from e full outer join f on e.file = f.file and e."column" = f."column" """)
+def header_check_files(spark, d):
+    """Three files whose headers are made of the region table: as expected,
+    in reverse order, and with the first column renamed.  The data rows read
+    like headers on purpose."""
+    reg = fx.table(spark, d, "region")
+    root = scratch_path(spark, "headers")
+    plain = F.concat(F.lit("r"), F.col("r_regionkey").cast("string"))
+    variants = {"good": (plain, F.col("r_regionkey")), "turned": (plain, 4 - F.col("r_regionkey")),
+                "renamed": (F.when(F.col("r_regionkey") == 0, F.col("r_name")).otherwise(plain), F.col("r_regionkey"))}
+    for name, (col, place) in variants.items():
+        head = reg.agg(F.array_sort(F.collect_list(F.struct(place.alias("p"), col.alias("c")))).alias("h"))
+        line = F.array_join(F.transform("h", lambda x: x["c"]), ",")
+        head.select(F.explode(F.array(line, F.lit("r4,r3,r2,r1,r0"), F.lit("step,1,2,3,4"))).alias("value")) \
+            .coalesce(1).write.text(f"{root}/{name}")
+    got = qa.header_check(dl.read_lines(spark, [f"{root}/{v}" for v in variants]), _GOOD)
+    return got.withColumn("file", F.element_at(F.split("file", "/"), -2))
+
+
+_TYPE_OR_NULL = "case when tx_id % 7 = 0 then null else \"type\" end"
+
+
+@query("amount_quantiles_by_type", with_("ta", f"""
+select {_TYPE_OR_NULL} as type, {r('quantile_cont(amount, 0.1)', FINE)} as p10,
+       {r('quantile_cont(amount, 0.5)', FINE)} as p50, {r('quantile_cont(amount, 0.99)', FINE)} as p99
+  from ta group by 1"""))
+def amount_quantiles_by_type(spark, d):
+    t = fx.ta(spark, d).withColumn("type", F.when(F.col("tx_id") % 7 != 0, F.col("type")))
+    out = exact_quantiles(t, "amount", [0.1, 0.5, 0.99], by=["type"], prefix="p")
+    return present(out, {c: FINE for c in ("p10", "p50", "p99")})
+
+
+_BIG = "9007199254740993 + (tx_id * 7919) % 100003"
+
+
+@query("skyline_large_longs", with_("ta", f"""
+select tx_id, t, m from (select tx_id, tx_id % 1009 as t, case when tx_id % 501 = 0 then null else {_BIG} end as m from ta) a
+ where not exists (select 1 from (select tx_id % 1009 as t, case when tx_id % 501 = 0 then null else {_BIG} end as m from ta) b
+                    where b.t <= a.t and b.m <= a.m and (b.t < a.t or b.m < a.m))"""))
+def skyline_large_longs(spark, d):
+    """Two long measures beyond the range that doubles hold exactly; some
+    rows have no second measure."""
+    t = fx.ta(spark, d).select("tx_id", (F.col("tx_id") % 1009).alias("t"), F.expr(
+        f"case when tx_id % 501 = 0 then null else {_BIG} end").alias("m"))
+    return skyline(t, ("t", "m"))
+
+
 @query("source_footprint")
 def source_footprint(spark, d):
     return qa.footprint(spark, {t: f"{d.rstrip('/')}/{t}.parquet" for t in TABLES})
@@ -142,16 +205,22 @@ _NRUNS = """select case engine when 'Spark_PySpark' then 'spark' when 'Hadoop_Ma
        case workload when 'WL1_aggregation' then 'WL1: Daily Aggregation'
                      when 'WL2_fraud' then 'WL2: Fraud Proxy'
                      when 'WL3_join_window' then 'WL3: Join + Window' else workload end as workload_label,
-       wall_time_sec, cpu_time_sec, peak_memory_mb, cast(0 as double) as avg_memory_mb, data_size_mb,
+       coalesce(wall_time_sec, 0.0) as wall_time_sec, cpu_time_sec, peak_memory_mb, cast(0 as double) as avg_memory_mb, data_size_mb,
        cast(output_rows as double) as output_rows, sample_fraction,
        cast(0 as double) as tracemalloc_peak_mb, cast(0 as double) as peak_cpu_pct,
        cast(0 as double) as avg_cpu_pct, exit_code
   from runs"""
 _OK = "select * from nruns where exit_code = 0 and wall_time_sec > 0"
+# near-equal fractions share the least of their chain
+_KEYED = """select ok.*, k.fraction_key from ok left join (
+    select f, min(f) over (partition by g) as fraction_key from (
+      select f, sum(n) over (order by f) as g from (
+        select f, case when f - lag(f) over (order by f) <= 0.01 - 1e-9 then 0 else 1 end as n
+          from (select distinct sample_fraction as f from ok)))) k on ok.sample_fraction = k.f"""
 
 
 def _runs_sql(body: str, extra: dict | None = None) -> str:
-    ctes = {"nruns": _NRUNS, "ok": _OK}
+    ctes = {"nruns": _NRUNS, "ok": _OK, "keyed": _KEYED}
     ctes.update(extra or {})
     return with_("runs", body, extra=ctes)
 
@@ -191,12 +260,11 @@ def runs_full_size(spark, d):
 
 @query("runs_first_per_key", _runs_sql("""
 select engine, workload, fraction_key, wall_time_sec, peak_memory_mb from (
-  select *, round(sample_fraction, 2) as fraction_key,
-         row_number() over (partition by engine, workload, round(sample_fraction, 2)
-                            order by wall_time_sec, data_size_mb) as rn
-    from nruns) where rn = 1"""))
+  select *, row_number() over (partition by engine, workload, fraction_key
+                               order by wall_time_sec, data_size_mb) as rn
+    from keyed) where rn = 1"""))
 def runs_first_per_key(spark, d):
-    runs = _nruns(spark, d).withColumn("fraction_key", rn.fraction_bucket())
+    runs = rn.match_fractions(rn.successful(_nruns(spark, d)))
     first = rn.first_per_key(runs, ["engine", "workload", "fraction_key"],
                              ["wall_time_sec", "data_size_mb"])
     return first.select("engine", "workload", "fraction_key", "wall_time_sec", "peak_memory_mb")
@@ -217,10 +285,9 @@ def runs_speedup_full(spark, d):
     return present(rn.speedup(full, ["workload"]), {"speedup": FINE})
 
 
-@query("runs_speedup_by_fraction", _runs_sql(_speedup_sql(
-    "(select *, round(sample_fraction, 2) as fraction_key from ok)", "workload, fraction_key", True)))
+@query("runs_speedup_by_fraction", _runs_sql(_speedup_sql("keyed", "workload, fraction_key", True)))
 def runs_speedup_by_fraction(spark, d):
-    ok = rn.successful(_nruns(spark, d)).withColumn("fraction_key", rn.fraction_bucket())
+    ok = rn.match_fractions(rn.successful(_nruns(spark, d)))
     out = rn.speedup(ok, ["workload", "fraction_key"], require_both=True)
     return present(out, {"speedup": FINE})
 
@@ -236,20 +303,25 @@ def runs_scaling_curve(spark, d):
 _METRICS = ["wall_time_sec", "peak_memory_mb", "cpu_time_sec"]
 
 
+_LISTED = ", ".join(f"'{w}'" for w in rn.WORKLOADS)
+
+
 def _pivot_sql(metric: str) -> str:
     cols = ", ".join(f"max(case when workload = '{w}' then {metric} end) as {w}" for w in rn.WORKLOADS)
-    return (f"select engine, round(sample_fraction, 2) as sample_fraction, {cols}, '{metric}' as metric "
-            f"from ok group by engine, round(sample_fraction, 2)")
+    return (f"select engine, fraction_key as sample_fraction, {cols}, "
+            f"max(case when workload not in ({_LISTED}) then {metric} end) as unlisted, '{metric}' as metric "
+            f"from keyed group by engine, fraction_key")
 
 
 @query("runs_metric_pivot", _runs_sql("\nunion all\n".join(_pivot_sql(m) for m in _METRICS)))
 def runs_metric_pivot(spark, d):
-    runs = _nruns(spark, d)
-    parts = [rn.pivot_metric(runs, m) for m in _METRICS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return rn.pivot_metric(_nruns(spark, d), _METRICS)
+
+
+@query("runs_metric_long", _runs_sql("\nunion all\n".join(
+    f"select engine, fraction_key, workload, '{m}' as metric, max({m}) as value from keyed group by all" for m in _METRICS)))
+def runs_metric_long(spark, d):
+    return rn.metric_long(_nruns(spark, d), _METRICS)
 
 
 _FIT = """select engine, regr_slope(peak_memory_mb, ln(greatest(data_size_mb, 1e-6))) as slope,
@@ -287,7 +359,9 @@ def runs_pareto_frontier(spark, d):
 
 @query("runs_time_matrix", _runs_sql(
     "select engine, " + ", ".join(f"coalesce(min(case when workload = '{w}' then wall_time_sec end), 0.0) as {w}"
-                                   for w in rn.WORKLOADS) + " from fullsz group by engine",
+                                   for w in rn.WORKLOADS)
+    + f", coalesce(min(case when workload not in ({_LISTED}) then wall_time_sec end), 0.0) as unlisted"
+    + " from fullsz group by engine",
     {"fullsz": "select * from ok where case when (select count_if(sample_fraction >= 0.99) from ok) > 0 "
              "then sample_fraction >= 0.99 else sample_fraction >= (select max(sample_fraction) from ok) - 0.01 end"}))
 def runs_time_matrix(spark, d):

@@ -55,3 +55,21 @@ def test_successful_excludes_failed_runs(spark):
                        ("spark", "w", 1.0, 1.0, 0.0, 1.0, 1.0, 0),
                        ("spark", "w", 1.0, 1.0, 2.0, 1.0, 1.0, 0)])
     assert rn.successful(df).count() == 1
+
+
+def test_near_fractions_match_by_tolerance(spark):
+    df = _runs(spark, [("spark", "w", f, 1.0, 1.0, 1.0, 1.0, 0) for f in (0.104, 0.106, 0.25, 0.26, None)])
+    got = {r.sample_fraction: r.fraction_key for r in rn.match_fractions(df).collect()}
+    assert got == {0.104: 0.104, 0.106: 0.104, 0.25: 0.25, 0.26: 0.26, None: None}
+
+
+def test_failed_and_untimed_runs_do_not_come_first(spark):
+    df = _runs(spark, [("spark", "w", 1.0, 1.0, None, 1.0, 1.0, 0), ("spark", "w", 1.0, 1.0, 3.0, 1.0, 1.0, 0)])
+    assert rows(rn.first_per_key(df, ["engine"], ["wall_time_sec"]), "wall_time_sec") == [(3.0,)]
+
+
+def test_unlisted_workloads_are_not_lost(spark):
+    df = _runs(spark, [("spark", "NEW", 1.0, 1.0, 4.0, 1.0, 1.0, 0), ("spark", None, 1.0, 1.0, 9.0, 1.0, 1.0, 0)])
+    assert rows(rn.pivot_metric(df, "wall_time_sec"), "unlisted") == [(9.0,)]
+    assert rows(rn.time_matrix(df), "unlisted") == [(4.0,)]
+    assert rows(rn.metric_long(df, ["wall_time_sec"]), "workload", "value") == [("NEW", 4.0), (None, 9.0)]
