@@ -105,4 +105,8 @@ def round_half_up(c: str | Column, digits: int) -> Column:
     Used only to present doubles for cross-engine comparison; operators keep
     full precision."""
     scale = float(10 ** digits)
-    return (F.floor(col(c) * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).cast("double")
+    x = col(c).cast("double")
+    # beyond 2^53 / scale a double has no such digits; floor() returns a long
+    # and would saturate there, and turn NaN into 0
+    plain = F.isnan(x) | (F.abs(x) >= F.lit(2.0 ** 53 / scale))
+    return F.when(plain, x).otherwise(F.floor(x * F.lit(scale) + F.lit(0.5)) / F.lit(scale)).cast("double")

@@ -64,17 +64,17 @@ def latest_edge_per_pair(edges: DataFrame, src: str, dst: str, order: list[str],
 
 
 def enrich_pair(facts: DataFrame, edges: DataFrame, fact_src: str, fact_dst: str,
-                edge_src: str = "Source", edge_dst: str = "Target",
-                order: list[str] | None = None,
+                order: list[str], edge_src: str = "Source", edge_dst: str = "Target",
                 values: dict[str, tuple[str, object]] | None = None) -> DataFrame:
-    """Pair lookup: attach the latest edge matching (fact_src, fact_dst).
+    """Pair lookup: attach the edge matching (fact_src, fact_dst) that is the
+    greatest by ``order`` (a total order of a pair's edges, else the pick
+    among ties depends on the layout).
 
     ``values`` maps output column -> (edge column, default on miss).  Facts
     without an edge keep their row with the defaults; edges without facts
     are dropped.
     """
     values = values or {"dim_type": ("typeTrans", "NONE"), "dim_weight": ("Weight", 0.0)}
-    order = order or [edge_dst]
     edge_cols = [v[0] for v in values.values()]
     latest = latest_edge_per_pair(edges, edge_src, edge_dst, order, edge_cols)
     latest = latest.select(F.col(edge_src).alias("__ps"), F.col(edge_dst).alias("__pd"),

@@ -5,6 +5,7 @@ rows depend on the layout)."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,8 @@ DEFAULT_FRACTIONS = (0.1, 0.25, 0.5, 1.0)
 
 def key_hash(keys: list[str], seed: int = DEFAULT_SEED) -> F.Column:
     """32-bit unsigned hash of ``seed:key`` (first 8 hex digits of md5)."""
-    key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    # a NULL holds its place, so ("a", NULL) and (NULL, "a") differ
+    key = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("\0")) for k in keys])
     digest = F.md5(F.concat(F.lit(f"{seed}:"), key))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
@@ -57,16 +59,42 @@ def ladder_counts(df: DataFrame, keys: list[str], fractions=DEFAULT_FRACTIONS,
         .withColumn("sampled_ratio", F.col("sampled_rows") / F.col("total_rows"))
 
 
+def _description(spark: SparkSession, path: str):
+    """(seed, fractions) that a ladder was written with; None without one."""
+    try:
+        r = spark.read.schema("seed long, fractions array<double>").json(f"{path.rstrip('/')}/_ladder").first()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    return (r.seed, tuple(r.fractions)) if r else None
+
+
 def write_ladder(df: DataFrame, keys: list[str], path: str, fractions=DEFAULT_FRACTIONS,
                  seed: int = DEFAULT_SEED) -> None:
-    """Write every row once, partitioned by its rung; an existing ladder is
-    left as it is (``mode('ignore')``)."""
+    """Write every row once, partitioned by its rung, and the seed and rungs
+    beside it.  A ladder that exists with the same seed and rungs is left as
+    it is; with others it is an error."""
+    spark = df.sparkSession
+    want = (seed, tuple(sorted(float(f) for f in fractions)))
+    have = _description(spark, path)
+    if have is not None:
+        if have != want:
+            raise ValueError(f"{path} holds a ladder of seed and rungs {have}, not {want}")
+        return
     with_rung(df, keys, fractions, seed).filter(F.col("rung").isNotNull()) \
-        .write.mode("ignore").partitionBy("rung").parquet(path)
+        .write.mode("overwrite").partitionBy("rung").parquet(path)
+    # last, so that a ladder with a description is whole
+    spark.createDataFrame([(seed, list(want[1]))], "seed long, fractions array<double>") \
+        .coalesce(1).write.json(f"{path.rstrip('/')}/_ladder")
 
 
 def read_rung(spark: SparkSession, path: str, fraction: float) -> DataFrame:
-    """The sample at ``fraction``: partitions with rung <= fraction (pruned)."""
+    """The sample at ``fraction``, which must be a rung of the ladder:
+    partitions with rung <= fraction (pruned)."""
+    have = _description(spark, path)
+    if have is None or float(fraction) not in have[1]:
+        raise ValueError(f"{fraction} is no rung of {path}: {have and have[1]}")
     return spark.read.parquet(path).filter(F.col("rung") <= F.lit(float(fraction))).drop("rung")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..session import scratch_path
-from ..streaming.incremental import start_daily_stream
+from ..streaming.incremental import close_days, start_daily_stream
 from .oracle import r, with_
 from .registry import FINE, MONEY, present, query
 
@@ -18,15 +18,16 @@ select 'PAYSIM' as dataset, account, cast(trunc(step / 24) as bigint) as day, "t
        cast(count_if(is_fraud = 1) as bigint) as fraud_count
   from ta
  where step is not null and account is not null
-   and trunc(step / 24) < (select max(trunc(step / 24)) from ta)
  group by all"""))
 def daily_agg_streaming(spark, d):
-    """``ta`` lands as files; the stream emits every day closed by the
-    one-day watermark (every day but the last)."""
+    """``ta`` lands as files, then a closing record; the stream emits every
+    day once."""
     src = scratch_path(spark, "stream_src")
-    fx.ta(spark, d).write.parquet(src)
+    ta = fx.ta(spark, d)
+    ta.write.parquet(src)
+    close_days(spark, src, ta.schema, fx.TA_LAYOUT, ta.agg(F.max("step")).first()[0] or 0)
     sink, ckpt = scratch_path(spark, "stream_sink"), scratch_path(spark, "stream_ckpt")
-    q = start_daily_stream(spark, src, fx.ta(spark, d).schema, fx.TA_LAYOUT, sink, ckpt,
+    q = start_daily_stream(spark, src, ta.schema, fx.TA_LAYOUT, sink, ckpt,
                            trigger_once=True)
     q.awaitTermination()
     out = spark.read.parquet(sink)
