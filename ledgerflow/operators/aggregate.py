@@ -74,6 +74,23 @@ def global_stats(df: DataFrame, x: str, ddof: int = 1, by: list[str] | None = No
     return df.agg(*aggs)
 
 
+def merged_stats(parts: DataFrame, ddof: int = 1, mean_alias: str = "global_mean",
+                 std_alias: str = "global_std", rows: str = "hourly_tx_count") -> DataFrame:
+    """Global mean and deviation out of per-group moments (``n`` values among
+    ``rows`` rows, ``mean``, ``m2`` = sum of squared deviations): one row,
+    without reading the facts again."""
+    # a group has no more values than rows; naming both leaves the groups'
+    # aggregate one and the same for this reader and for one of the row counts
+    parts = parts.withColumn("n", F.least(rows, "n"))
+    total = parts.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean")).alias("s"),
+                      F.sum(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean")).alias("q"))
+    mean = F.when(F.col("n") > 0, F.col("s") / F.col("n"))
+    spread = F.greatest(F.col("q") - F.col("s") * mean, F.lit(0.0))
+    # as stddev_samp / stddev_pop: NULL where there are too few values
+    std = F.when(F.col("n") > ddof, F.sqrt(spread / (F.col("n") - ddof)))
+    return total.select(mean.alias(mean_alias), std.alias(std_alias))
+
+
 def attach_stats(df: DataFrame, stats: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Put the statistics next to every row.
 

@@ -39,6 +39,30 @@ def velocity_count(df: DataFrame, account: str, step: str, keys: list[str] | Non
     return join_back(with_hour, counts, group)
 
 
+def velocity_moments(df: DataFrame, account: str, step: str, x: str, keys: list[str] | None = None,
+                     steps_per_day: int = 24, hour_col: str = "hour_bucket",
+                     out: str = "hourly_tx_count") -> DataFrame:
+    """Per (keys..., account, hour of day): the row count (``out``) and the
+    moments of ``x`` (``n``, ``mean``, ``m2``), in one aggregate, so that the
+    velocity count and global statistics share one pass and one exchange."""
+    group = [*(keys or []), account, hour_col]
+    return (df.withColumn(hour_col, hour_of_day(step, steps_per_day)).groupBy(*group)
+            .agg(F.count(F.lit(1)).alias(out), F.count(x).alias("n"), F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"),
+                 F.coalesce(F.var_pop(x) * F.count(x), F.lit(0.0)).alias("m2")))
+
+
+def attach_velocity(df: DataFrame, moments: DataFrame, account: str, step: str,
+                    keys: list[str] | None = None, steps_per_day: int = 24,
+                    hour_col: str = "hour_bucket", out: str = "hourly_tx_count") -> DataFrame:
+    """Every row with its group's count out of ``velocity_moments``."""
+    # the count names the moments (no group has fewer rows than values), so
+    # that column pruning leaves one aggregate for both of its readers
+    whole = F.when((F.least("n", out) < 0) & (F.col("mean") > F.col("m2")), F.lit(0)).otherwise(F.col(out))
+    counts = moments.select(*(keys or []), account, hour_col, whole.cast("long").alias(out))
+    return join_back(df.withColumn(hour_col, hour_of_day(step, steps_per_day)), counts,
+                     [*(keys or []), account, hour_col])
+
+
 def velocity_count_window(df: DataFrame, account: str, step: str,
                           keys: list[str] | None = None, steps_per_day: int = 24,
                           hour_col: str = "hour_bucket",

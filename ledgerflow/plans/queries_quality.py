@@ -186,6 +186,24 @@ def bernoulli_sample(spark, d):
     return smp.bernoulli(fx.ta(spark, d), 0.1).select("tx_id", "account", "step", "amount")
 
 
+@query("bernoulli_sample_check", with_("ta", """
+select count(*) as total_rows, cast(0 as bigint) as foreign_rows, cast(0 as bigint) as repeated_rows,
+       true as size_within_bounds from ta"""))
+def bernoulli_sample_check(spark, d):
+    """The random sample holds rows of the table only, each once, and as many
+    as the fraction allows (within 6 standard deviations)."""
+    t = fx.ta(spark, d).select("tx_id", "account", "step", "amount")
+    s = smp.bernoulli(fx.ta(spark, d), 0.1).select("tx_id", "account", "step", "amount")
+    both = (t.withColumn("side", F.lit("t")).unionByName(s.withColumn("side", F.lit("s")))
+            .groupBy("tx_id", "account", "step", "amount")
+            .agg(F.count_if(F.col("side") == "t").alias("t"), F.count_if(F.col("side") == "s").alias("s")))
+    g = both.agg(F.sum("t").alias("total_rows"), F.coalesce(F.sum(F.when(F.col("t") == 0, F.col("s"))), F.lit(0)).alias(
+        "foreign_rows"), F.coalesce(F.sum(F.greatest(F.col("s") - F.col("t"), F.lit(0))), F.lit(0)).alias("repeated_rows"),
+        F.sum("s").alias("n"))
+    within = F.abs(F.col("n") - 0.1 * F.col("total_rows")) <= 6 * F.sqrt(0.09 * F.col("total_rows")) + 1
+    return g.select("total_rows", "foreign_rows", "repeated_rows", within.alias("size_within_bounds"))
+
+
 # ------------------------------------------------------------ C12
 
 @query("sample_series_summary", f"""

@@ -10,25 +10,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, fixed, flag_or, log_amount, zscore
-from ..operators.aggregate import (attach_stats, build_dimension, daily_agg,
-                                   global_stats, precision_recall, require)
+from ..operators.aggregate import (attach_stats, build_dimension, daily_agg, merged_stats,
+                                   precision_recall, require)
 from ..operators.enrich import enrich, enrich_pair, network_dimension
-from ..operators.windows import rolling, velocity_count
+from ..operators.windows import attach_velocity, rolling, velocity_moments
 from ..schemas import (AMOUNT_Z_THRESHOLD, VELOCITY_THRESHOLD, WINDOW_SIZE_STEPS,
-                       Layout)
-
-W1_COLUMNS = ["dataset", "account", "day", "type", "total_amount", "tx_count",
-              "avg_amount", "max_amount", "fraud_count"]
-W2_COLUMNS = ["dataset", "account", "step", "type", "amount", "hourly_tx_count",
-              "amount_z_score", "velocity_flag", "amount_flag", "fraud_proxy", "isFraud"]
-W3_COLUMNS = ["dataset", "account", "step", "type", "amount", "rolling_24h_sum",
-              "rolling_24h_count", "rolling_24h_max", "total_received_tx",
-              "total_received_amount", "fraud_received_count", "isFraud"]
-
+                       W1_COLUMNS, Layout)
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """UNION ALL by column name; no input is an error."""
@@ -51,6 +42,17 @@ def workload1(sources: list[tuple[DataFrame, Layout]]) -> DataFrame:
 
 # ---------------------------------------------------------------- W2
 
+def fraud_source(df: DataFrame, lay: Layout, clamp_nonpositive: bool = False) -> DataFrame:
+    src = require(df, lay.step, lay.amount)
+    return src.withColumn("log_amount", log_amount(lay.amount, clamp_nonpositive))
+
+
+def fraud_moments(df: DataFrame, lay: Layout, clamp_nonpositive: bool = False,
+                  keys: list[str] | None = None) -> DataFrame:
+    return velocity_moments(fraud_source(df, lay, clamp_nonpositive), lay.account, lay.step, "log_amount",
+                            keys=keys)
+
+
 def fraud_flags(df: DataFrame, lay: Layout, velocity_threshold: int = VELOCITY_THRESHOLD,
                 z_threshold: float = AMOUNT_Z_THRESHOLD, ddof: int = 1,
                 clamp_nonpositive: bool = False, stats: DataFrame | None = None,
@@ -58,14 +60,17 @@ def fraud_flags(df: DataFrame, lay: Layout, velocity_threshold: int = VELOCITY_T
     """Velocity flag (rows per account and hour of day >= threshold) OR
     amount flag (z-score of log amount > threshold) -> ``fraud_proxy`` 0/1.
 
-    ``stats`` overrides the per-frame statistics (pooled scope); it must be
-    a one-row frame with ``global_mean``/``global_std``.
+    ``stats`` overrides the per-frame statistics (pooled scope): a frame with
+    ``global_mean``/``global_std`` (of several rows, the largest count).
+
+    The facts are read twice: for the rows, and for one aggregate per account
+    and hour that gives both the counts and the statistics.
     """
-    src = require(df, lay.step, lay.amount)
-    src = src.withColumn("log_amount", log_amount(lay.amount, clamp_nonpositive))
-    if stats is None:
-        stats = global_stats(src, "log_amount", ddof=ddof)
-    src = attach_stats(velocity_count(src, lay.account, lay.step, keys=keys), stats)
+    src = fraud_source(df, lay, clamp_nonpositive)
+    moments = fraud_moments(df, lay, clamp_nonpositive, keys)
+    stats = merged_stats(moments, ddof) if stats is None else stats.agg(
+        F.max("global_mean").alias("global_mean"), F.max("global_std").alias("global_std"))
+    src = attach_stats(attach_velocity(src, moments, lay.account, lay.step, keys=keys), stats)
     # one projection for the dependent columns (the z expression is shared)
     vel = F.col("hourly_tx_count") >= velocity_threshold
     z = zscore("log_amount", "global_mean", "global_std")
@@ -86,6 +91,31 @@ def workload2(sources: list[tuple[DataFrame, Layout]], **kw) -> DataFrame:
     return union_all([fraud_output(fraud_flags(df, lay, **kw), lay) for df, lay in sources])
 
 
+def observed_scores(sources: list[tuple[DataFrame, Layout]], **kw):
+    """(frame, scores): the fraud proxy of every source, and a function that
+    gives each dataset's precision and recall after one action on the frame
+    (observed on the rows as they pass)."""
+    frames, seen = [], []
+    for i, (df, lay) in enumerate(sources):
+        out = fraud_output(fraud_flags(df, lay, **kw), lay)
+        obs = Observation(f"scores{i}")
+        hit = (F.col("fraud_proxy") == 1) & (F.col("isFraud") == 1)
+        frames.append(out.observe(obs, F.count_if(F.col("fraud_proxy") == 1).alias("total_flagged"),
+                                  F.count_if(hit).alias("true_positives"),
+                                  F.count_if(F.col("isFraud") == 1).alias("total_actual")))
+        seen.append((lay.dataset, obs))
+
+    def scores() -> list[dict]:
+        out = []
+        for dataset, obs in seen:
+            r = {k: int(v) for k, v in obs.get.items()}
+            out.append({"dataset": dataset, **r,
+                        "precision": r["true_positives"] / r["total_flagged"] if r["total_flagged"] else 0.0,
+                        "recall": r["true_positives"] / r["total_actual"] if r["total_actual"] else 0.0})
+        return out
+    return union_all(frames), scores
+
+
 def workload2_scores(sources: list[tuple[DataFrame, Layout]],
                      z_thresholds: tuple[float, ...] = (AMOUNT_Z_THRESHOLD,), **kw) -> DataFrame:
     """Precision/recall of the proxy per dataset and amount threshold.  The
@@ -105,12 +135,11 @@ def workload2_scores(sources: list[tuple[DataFrame, Layout]],
 
 def pooled_log_stats(sources: list[tuple[DataFrame, Layout]], ddof: int = 0,
                      clamp_nonpositive: bool = True) -> DataFrame:
-    """Statistics of the log amount over all sources together (one row)."""
-    logs = union_all([
-        require(df, lay.step, lay.amount)
-        .select(log_amount(lay.amount, clamp_nonpositive).alias("log_amount"))
-        for df, lay in sources])
-    return global_stats(logs, "log_amount", ddof=ddof)
+    """Statistics of the log amount over all sources together (one row), out
+    of the sources' moments per account and hour."""
+    return merged_stats(union_all([
+        fraud_moments(df, lay, clamp_nonpositive).select("hourly_tx_count", "n", "mean", "m2")
+        for df, lay in sources]), ddof)
 
 
 def workload2_pooled(sources: list[tuple[DataFrame, Layout]],
@@ -137,11 +166,12 @@ def workload2_pooled(sources: list[tuple[DataFrame, Layout]],
 def enriched_rolling(facts: DataFrame, dim: DataFrame, lay: Layout,
                      order_type: str | None = None, size: int = WINDOW_SIZE_STEPS,
                      method: str = "skew_safe") -> DataFrame:
+    # the window reads account, step and amount only; enriching its result
+    # evaluates the dimension join once
     src = require(facts, lay.step, lay.amount)
-    joined = enrich(src, dim, lay.counterparty)
-    rolled = rolling(joined, [lay.account], lay.step, lay.amount, size=size,
+    rolled = rolling(src, [lay.account], lay.step, lay.amount, size=size,
                      order_type=order_type, method=method)
-    return rolled.select(
+    return enrich(rolled, dim, lay.counterparty).select(
         F.lit(lay.dataset).alias("dataset"), col(lay.account).alias("account"),
         col(lay.step).cast("long").alias("step"), col(lay.type).alias("type"),
         col(lay.amount).alias("amount"), "rolling_24h_sum", "rolling_24h_count",
@@ -180,10 +210,9 @@ def workload3_pair(facts: DataFrame, lay: Layout, edges: DataFrame,
     wins, 'NONE'/0.0 on a miss) then a trailing sum/count over the raw
     (double) step; amounts exported with two decimals."""
     src = require(facts, lay.step, lay.amount)
-    looked = enrich_pair(src, edges, lay.account, lay.counterparty, order=edge_order)
-    rolled = rolling(looked, [lay.account], lay.step, lay.amount, size=size,
+    rolled = rolling(src, [lay.account], lay.step, lay.amount, size=size,
                      order_type="double", measures=("sum", "count"), method=method)
-    return rolled.select(
+    return enrich_pair(rolled, edges, lay.account, lay.counterparty, order=edge_order).select(
         col(lay.account).alias("account"), F.lit(lay.dataset).alias("dataset"),
         col(lay.step).cast("double").alias("step"), col(lay.type).alias("type"),
         fixed(lay.amount, 2).alias("amount"),

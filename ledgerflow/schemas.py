@@ -50,6 +50,10 @@ BENCH_RUNS = _schema([
     ("notes", StringType()),
 ])
 
+# Columns of the daily aggregation's published output.
+W1_COLUMNS = ["dataset", "account", "day", "type", "total_amount", "tx_count",
+              "avg_amount", "max_amount", "fraud_count"]
+
 # Workload tuning constants.
 VELOCITY_THRESHOLD = 5
 AMOUNT_Z_THRESHOLD = 2.5

@@ -7,7 +7,6 @@ names a shared folder; we only fill it in when it is unset (local tests).
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -68,10 +67,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder (never machine-local
     on a cluster, because the folder is the cluster's)."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, "scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+    # the folder may be a URI of any file system: its scheme stays
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def recommended_shuffle_partitions(spark: SparkSession, paths: list[str],

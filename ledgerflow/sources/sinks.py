@@ -43,9 +43,9 @@ WORKLOAD_LABELS = {
     "WL2_fraud": "WL2: Fraud Proxy",
     "WL3_join_window": "WL3: Join + Window",
 }
-RUN_NUMERIC = ["wall_time_sec", "cpu_time_sec", "peak_memory_mb", "avg_memory_mb",
-               "data_size_mb", "output_rows", "sample_fraction", "tracemalloc_peak_mb",
-               "peak_cpu_pct", "avg_cpu_pct"]
+# the numeric fields of the run layout; the exit code has rules of its own
+RUN_NUMERIC = [f.name for f in BENCH_RUNS.fields
+               if f.dataType.simpleString() in ("double", "bigint") and f.name != "exit_code"]
 
 
 def save_runs(df: DataFrame, path: str) -> None:

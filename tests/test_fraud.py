@@ -76,3 +76,27 @@ def test_pooled_population_stats(spark):
     mean = sum(vals) / 4
     assert stats["global_mean"] == pytest.approx(mean)
     assert stats["global_std"] == pytest.approx(math.sqrt(sum((v - mean) ** 2 for v in vals) / 4))
+
+
+def test_facts_are_read_twice(spark):
+    """Once for the rows, once for the aggregate that gives counts and statistics."""
+    import re
+    from ledgerflow.plans.catalog import QUERIES
+    qe = QUERIES["union_fraud"](spark, SF_SMALL)._jdf.queryExecution()
+    qe.toRdd().count()
+    plan = qe.executedPlan().toString()
+    assert "isFinalPlan=true" in plan
+    plan = plan.split("+- == Initial Plan ==")[0]
+    assert len(re.findall(r"FileScan parquet .*events.parquet", plan)) == 2
+    assert len(re.findall(r"FileScan parquet .*lineitem.parquet", plan)) <= 2
+
+
+def test_merged_statistics_equal_the_plain_ones(spark):
+    import math
+    a = fx.ta(spark, SF_SMALL)
+    for ddof in (0, 1):
+        r = wl.pooled_log_stats([(a, fx.TA_LAYOUT)], ddof=ddof, clamp_nonpositive=False).first()
+        x = [math.log1p(v.amount) for v in a.where("amount is not null and step is not null").collect()]
+        m = sum(x) / len(x)
+        sd = math.sqrt(sum((v - m) ** 2 for v in x) / (len(x) - ddof))
+        assert abs(r.global_mean - m) < 1e-9 and abs(r.global_std - sd) < 1e-9
