@@ -21,7 +21,8 @@ from ..sources import delimited as dl
 from ..sources import sinks
 from . import workloads as wl
 from .oracle import r, with_
-from .registry import FINE, MONEY, present, query
+from .queries import _W3_ROUND as W3_ROUND
+from .registry import FINE, MONEY, ORACLE, present, query
 
 W1_ROUND = {"total_amount": MONEY, "avg_amount": FINE}
 
@@ -266,6 +267,27 @@ def workload_row_counts(spark, d):
                          .select(F.lit(k).alias("workload"), "output_rows") for k, o in outs.items()])
 
 
+# ------------------------------------------------------------ W2 and W3 over the delimited files
+
+def _csv_sources(spark, d):
+    from ..schemas import BANKSIM_LAYOUT, PAYSIM_LAYOUT
+    return ((dl.read_paysim(spark, write_paysim_csv(spark, d)), PAYSIM_LAYOUT),
+            (dl.read_banksim_tx(spark, write_banksim_csv(spark, d)), BANKSIM_LAYOUT))
+
+
+@query("union_fraud_csv", ORACLE["union_fraud"])
+def union_fraud_csv(spark, d):
+    return present(wl.workload2(list(_csv_sources(spark, d))), {"amount_z_score": FINE})
+
+
+@query("union_enriched_csv", ORACLE["union_enriched"])
+def union_enriched_csv(spark, d):
+    pay, bank = _csv_sources(spark, d)
+    net = dl.read_banksim_net(spark, write_network_csv(spark, d))
+    out = wl.workload3(hourly=pay, daily=bank, edges=net, network_key="Target")
+    return present(out, W3_ROUND)
+
+
 # ------------------------------------------------------------ A10
 
 @query("formatted_export", with_("ta", """

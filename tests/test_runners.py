@@ -32,3 +32,26 @@ def test_runners_end_to_end(spark):
 def test_runner_with_one_source(spark):
     d, out = _data_dir(spark, with_bank=False), scratch_path(spark, "out1")
     assert runners.run_workload3(spark, d, out) == fx.ta(spark, SF_SMALL).count()
+
+
+def test_observed_scores_equal_the_scoring_pass(spark):
+    from ledgerflow.plans import workloads as wl
+    parts = [(fx.ta(spark, SF_SMALL), fx.TA_LAYOUT), (fx.tb(spark, SF_SMALL), fx.TB_LAYOUT)]
+    out, scores = wl.observed_scores(parts, z_threshold=1.5)
+    out.write.format("noop").mode("overwrite").save()
+    want = {r.dataset: r for r in wl.workload2_scores(parts, z_thresholds=(1.5,)).collect()}
+    for got in scores():
+        w = want[got["dataset"]]
+        assert (got["total_flagged"], got["true_positives"], got["total_actual"]) == (
+            w.total_flagged, w.true_positives, w.total_actual)
+        assert abs(got["precision"] - w.precision) < 1e-12 and abs(got["recall"] - w.recall) < 1e-12
+
+
+def test_ingest_report_counts_what_is_dropped(spark):
+    d = scratch_path(spark, "report")
+    os.makedirs(d)
+    os.rename(qio.write_damaged(spark, SF_SMALL), os.path.join(d, runners.PAYSIM_FILE))
+    r = runners.ingest_report(spark, d).collect()
+    n = fx.ta(spark, SF_SMALL).count()
+    assert len(r) == 1 and r[0].source == "paysim" and r[0].n_good + r[0].n_dropped == n
+    assert r[0].n_dropped == r[0].too_few_fields + r[0].too_many_fields + r[0].bad_value > 0
