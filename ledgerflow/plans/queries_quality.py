@@ -11,11 +11,12 @@ from ..operators import quality as qa
 from ..operators import runs as rn
 from ..operators import sampling as smp
 from ..operators.prefix import exact_quantiles, skyline
-from ..schemas import BANKSIM_TX, PAYSIM
+from ..schemas import BANKSIM_NET, BANKSIM_TX, PAYSIM
 from ..session import scratch_path
 from ..sources import delimited as dl
 from ..sources import sinks
 from .oracle import r, with_
+from .queries_io import write_banksim_csv, write_network_csv
 from .registry import FINE, MONEY, present, query
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -68,6 +69,29 @@ def table_profile(spark, d):
     return present(out, {"fraud_rate_pct": FINE, "amount_sum": MONEY, "avg_amount": FINE})
 
 
+def _profile_sql(source: str, table: str, amount: str, n: int) -> str:
+    total = f"sum({amount})" if amount else "0.0"
+    return f"""select '{source}' as source, count(*) as row_count, cast(count_if(fraud = 1) as bigint) as fraud_count,
+       {r('(cast(count_if(fraud = 1) as double) / count(*)) * 100', FINE)} as fraud_rate_pct,
+       {r(total, MONEY)} as amount_sum, {r(f'{total} / count(*)', FINE)} as avg_amount, cast(0 as bigint) as parse_errors,
+       {n} as n_columns, {n} as expected_columns, true as column_count_ok from {table}"""
+
+
+@query("table_profile_quoted", with_("net", _profile_sql("banksim_tx", "tb", "amount", 10) + "\nunion all\n"
+                                     + _profile_sql("banksim_net", "net", "", 5)))
+def table_profile_quoted(spark, d):
+    """Profiles of the two quoted layouts: label column ``fraud``; the network
+    file has no amount."""
+    parts = []
+    for name, write, schema in (("banksim_tx", write_banksim_csv, BANKSIM_TX), ("banksim_net", write_network_csv, BANKSIM_NET)):
+        path = write(spark, d)
+        cols = qa.read_header(spark, path, quote="'")
+        prof = qa.profile_text(dl.read_lines(spark, path), cols, expected=schema.fieldNames())
+        parts.append(present(prof, {"fraud_rate_pct": FINE, "amount_sum": MONEY, "avg_amount": FINE})
+                     .select(F.lit(name).alias("source"), "*"))
+    return parts[0].unionByName(parts[1])
+
+
 def _schema_check_sql(found: list[str], layouts: dict[str, list[str]]) -> str:
     fv = ", ".join(f"('{c}', {i})" for i, c in enumerate(found))
     parts = []
