@@ -127,7 +127,23 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int")))
 
 
-@query("op6_minhash_neardup")
+OP6_SQL = f"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+                                                      '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select doc_id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)) as g from d),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 85 * (x.n + y.n - i)),
+e as (select a, b from l union all select b, a from l),
+reach(a, b) as (select doc_id, doc_id from d union select r.a, e.b from reach r join e on r.b = e.a),
+c as (select a, min(b) as component_id from reach group by a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, c.component_id, d.doc_id = c.component_id as kept
+from d join c on c.a = d.doc_id left join n on n.doc_id = d.doc_id
+"""
+
+
+@query("op6_minhash_neardup", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
