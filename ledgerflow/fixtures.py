@@ -33,19 +33,27 @@ TB_LAYOUT = Layout("BANKSIM", account="customer", step="step", type_="category",
 NET_EDGE_ORDER = ["step", "line_id", "part_id", "Weight"]
 
 
-_SCHEMAS: dict[str, object] = {}
+_SCHEMAS: dict[str, tuple] = {}
+
+
+def _modified(spark: SparkSession, path: str) -> int:
+    """Modification time of a file or folder on whatever file system has it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet table; its schema is read once per path and then passed to
-    the reader, so later plans skip the footer-reading job."""
+    """Parquet table; its schema is read once per path and modification time
+    and then passed to the reader, so later plans skip the footer-reading job
+    and a rewritten table is read with its own schema."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    schema = _SCHEMAS.get(path)
-    if schema is None:
+    at = _modified(spark, path)
+    known = _SCHEMAS.get(path)
+    if known is None or known[0] != at:
         df = spark.read.parquet(path)
-        _SCHEMAS[path] = df.schema
+        _SCHEMAS[path] = (at, df.schema)
         return df
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(known[1]).parquet(path)
 
 
 def _hour_step(ts: str) -> F.Column:

@@ -27,3 +27,14 @@ def test_projection_does_not_change_row_set(spark):
     n = out.count()
     assert out.select("account").count() == n
     assert out.groupBy("account").count().agg(F.sum("count")).collect()[0][0] == n
+
+
+def test_a_rewritten_table_is_read_with_its_own_schema(spark, tmp_path):
+    import time
+    from ledgerflow import fixtures as fx
+    path = f"{tmp_path}/t.parquet"
+    spark.range(3).write.parquet(path)
+    assert fx.table(spark, str(tmp_path), "t").columns == ["id"]
+    time.sleep(1.1)
+    spark.range(3).selectExpr("id", "id * 2 as two").write.mode("overwrite").parquet(path)
+    assert fx.table(spark, str(tmp_path), "t").columns == ["id", "two"]
