@@ -18,8 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not d:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        d = "file://" + tempfile.mkdtemp(prefix="llm-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="llm-ckpt-"))
+        return sc.getCheckpointDir()
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
