@@ -33,7 +33,8 @@ def test_ladder_is_nested_and_written_once(spark):
 def test_full_size_fallback(spark):
     runs = normalise_runs(fx.runs(spark, SF_SMALL))
     ok = rn.successful(runs)
-    assert {r.sample_fraction for r in rn.full_size(ok).collect()} == {1.0}
+    # the fixture repeats each run at nearly the same fraction
+    assert {r.sample_fraction for r in rn.full_size(ok).collect()} == {1.0, 1.004}
     part = ok.filter(F.col("sample_fraction") < 0.99)
     mx = part.agg(F.max("sample_fraction")).collect()[0][0]
     got = {r.sample_fraction for r in rn.full_size(part).collect()}
