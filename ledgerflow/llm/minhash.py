@@ -36,6 +36,7 @@ from .text import Words, buffers, byte_class, mix64, slices, word_slices
 
 BANDS, ROWS = 40, 6
 GROUP = 400_000  # shingles of one comparison group
+BROADCAST_STARS = 1_000_000
 SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()),
                     ("f2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 SKETCH_DDL = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
@@ -208,10 +209,13 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
              .where(f"100L * least(n_a, n_b) >= {percent}L * greatest(n_a, n_b)")
              .select(F.col("a").alias("centre"), F.col("b").alias("node"), "n_a", "n_b"))
     sized = cut(sized)
-    width = sized.groupBy("centre").agg(
-        F.ceil((F.sum("n_b") + F.max("n_a")) / GROUP).cast("long").alias("salts"))
-    dealt = sized.join(width, "centre").select(
-        "centre", "node", F.expr("pmod(xxhash64(node), salts)").alias("salt"))
+    width = cut(sized.groupBy("centre").agg(
+        F.ceil((F.sum("n_b") + F.max("n_a")) / GROUP).cast("long").alias("salts")))
+    # only large stars are looked up: fewer than the shingles compared / GROUP
+    large = width.where("salts > 1").select(F.col("centre").alias("large"), "salts")
+    large = F.broadcast(large) if large.count() <= BROADCAST_STARS else large
+    dealt = sized.join(large, F.col("centre") == F.col("large"), "left").select(
+        "centre", "node", F.expr("pmod(xxhash64(node), coalesce(salts, 1L))").alias("salt"))
     own = width.select("centre", F.col("centre").alias("node"),
                        F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     to = (dealt.unionByName(own).groupBy("node")
