@@ -143,7 +143,7 @@ def with_roles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                     "size", "digest", "refers_to"))
 
 
-def write_archives(pages: DataFrame, folder: str, level: int = 1, **cols) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, level: int = 6, **cols) -> DataFrame:
     """Write the pages' records; returns (archive) - one monolithic gzip file
     per task.  Runs now (the files are written once)."""
     schema = pa.schema([("archive", pa.string())])
@@ -167,7 +167,7 @@ def write_archives(pages: DataFrame, folder: str, level: int = 1, **cols) -> Dat
     return cut(with_roles(pages, **cols).mapInArrow(run, "archive string"))
 
 
-def normalise(archives: DataFrame, folder: str, level: int = 1) -> DataFrame:
+def normalise(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
     """Rewrite gzip archives of any form record by record; returns (archive,
     sidecar, n_records).  Runs now."""
     schema = pa.schema([("archive", pa.string()), ("sidecar", pa.string()), ("n_records", pa.int64())])
