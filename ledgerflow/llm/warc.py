@@ -39,6 +39,7 @@ from .common import cut, shared_dir
 
 MIN_REVISIT = 1000
 READ = 1 << 20
+SPLIT_BYTES = 64 << 20  # of archives, for one reading task
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"  # pages carry no fetch time
 RECORD_DDL = ("page_id long, url string, payload binary, payload_bytes long, payload_digest string, "
@@ -169,8 +170,9 @@ def write_archives(pages: DataFrame, folder: str, level: int = 6, **cols) -> Dat
 
 def normalise(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
     """Rewrite gzip archives of any form record by record; returns (archive,
-    sidecar, n_records).  Runs now."""
-    schema = pa.schema([("archive", pa.string()), ("sidecar", pa.string()), ("n_records", pa.int64())])
+    sidecar, n_records, n_bytes).  Runs now."""
+    schema = pa.schema([("archive", pa.string()), ("sidecar", pa.string()), ("n_records", pa.int64()),
+                        ("n_bytes", pa.int64())])
 
     def run(batches):
         fs, base = file_system(folder)
@@ -191,11 +193,11 @@ def normalise(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
                             "id": head.get("warc-record-id"), "target": head.get("warc-target-uri")}) + "\n").encode())
                         offset += len(member)
                         n += 1
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([path + ".idx"]), pa.array([n])],
-                                                 schema=schema)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path]), pa.array([path + ".idx"]), pa.array([n]), pa.array([offset])], schema=schema)
 
     spread = archives.repartition(max(1, archives.sparkSession.sparkContext.defaultParallelism), "archive")
-    return cut(spread.mapInArrow(run, "archive string, sidecar string, n_records long"))
+    return cut(spread.mapInArrow(run, "archive string, sidecar string, n_records long, n_bytes long"))
 
 
 def offsets(normal: DataFrame, folder: str) -> DataFrame:
@@ -263,7 +265,10 @@ def read_records(normal: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t.type) for c, t in zip(zip(*out), schema)], schema=schema)
 
-    where = offsets(normal, folder).repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    # tasks by the bytes of the archives, not of their index
+    total = normal.agg(F.sum("n_bytes")).first()[0] or 0
+    n = max(normal.sparkSession.sparkContext.defaultParallelism, -(-total // SPLIT_BYTES))
+    where = offsets(normal, folder).repartitionByRange(n, "archive", "offset").sortWithinPartitions("archive", "offset")
     return where.mapInArrow(run, RECORD_DDL)
 
 
