@@ -5,8 +5,9 @@ check on the full shingle sets.
 1. ``sketch``: one hash per shingle; its top bits choose a bin, the bin keeps
    its minimum.  An empty bin takes the value of a bin drawn by a hash chain
    that depends on the bin and the attempt only (optimal densification), so
-   equal bins stay equal with probability J.  ``BANDS`` bands of ``ROWS``
-   bins: a pair with J >= 0.85 shares no bucket with probability below 1e-8.
+   equal bins stay equal with probability J.  Bands of ``ROWS`` bins, as many
+   as the threshold needs (``banding``): a pair at the threshold or above
+   shares no bucket with probability ``MISS`` at most.
 2. Equal sets collapse to one representative (128-bit fingerprint).
 3. Every bucket links its members to two centres (the smallest node and a
    pseudo-random one) instead of to each other: at most two edges per member.
@@ -26,6 +27,8 @@ that share an id but not a text stand for one document.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import components, cut, fresh
 from .text import Words, buffers, byte_class, mix64, slices, word_slices
 
-BANDS, ROWS = 40, 6
+ROWS, MISS = 6, 6e-9
 GROUP = 400_000  # shingles of one comparison group
 BROADCAST_STARS = 1_000_000
 SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()),
@@ -42,6 +45,13 @@ SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", p
 SKETCH_DDL = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
 
 
+def banding(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
+    """The fewest bands in which a pair of J = ``percent`` / 100 shares no
+    bucket with probability ``miss`` at most (85: 40, 80: 63)."""
+    none = math.log1p(-min(percent / 100, 1 - 1e-9) ** rows)
+    return math.ceil(math.log(miss) / none)
+
+
 def shingle_hashes(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(doc, hash), sorted and distinct, of all shingles of a slice; a text of
     fewer than ``size`` words has its whole sequence as the one shingle."""
@@ -227,9 +237,10 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    size: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+                    size: int = 5, percent: int = 85, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``.
     Links: 100 * intersection >= ``percent`` * union of the shingle sets."""
+    bands = banding(percent, rows)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = cut(docs.mapInArrow(sketcher(size, bands, rows), SKETCH_DDL))
     linkable = sketch.where("n_shingles > 0 and doc_id is not null")
@@ -284,11 +295,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     F.coalesce(F.coalesce("via_rep", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept")))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: of the row(s) with
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates (J of ``percent``
+    / 100 or more): of the row(s) with
     the group's smallest id, one.  Rows with a null id stay."""
     keep, = fresh(docs, "__keep")
-    wanted = (near_duplicates(docs, id_col, text_col).where("kept and doc_id is not null")
+    wanted = (near_duplicates(docs, id_col, text_col, percent=percent).where("kept and doc_id is not null")
               .select(F.col("doc_id").alias(keep)).distinct())
     named = docs.join(wanted, docs[id_col].cast("long") == F.col(keep), "left_semi").dropDuplicates([id_col])
     return named.unionByName(docs.where(F.col(id_col).isNull()))

@@ -145,7 +145,7 @@ from d join c on c.a = d.doc_id left join n on n.doc_id = d.doc_id
 
 @query("op6_minhash_neardup", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), percent=85)
 
 
 OP7_SQL = """

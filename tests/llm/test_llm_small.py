@@ -275,6 +275,23 @@ def test_large_star_is_dealt_over_groups(spark, monkeypatch):
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+def test_pipeline_drops_copies_between_80_and_85(spark):
+    rng = np.random.default_rng(21)
+    words = np.array([f"p{i}" for i in range(3000)])
+    texts = []
+    for k in range(40):
+        base = rng.choice(words, 54, replace=False)
+        copy = base.copy()
+        copy[8 + k % 38] = f"new{k}"  # 5 of 50 shingles: J = 45 / 55
+        texts += [" ".join(base), " ".join(copy)]
+    df = docs(spark, texts)
+    want = brute_components(list(enumerate(texts)), 80)
+    assert len(set(want.values())) == 40 and len(set(brute_components(list(enumerate(texts))).values())) == 80
+    got = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()}
+    assert got == set(want.values())
+    assert (minhash.banding(85), minhash.banding(80)) == (40, 63)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99)], "u long, v long")
     got = {r.node: r.comp for r in common.components(edges).collect()}
