@@ -17,7 +17,10 @@ check on the full shingle sets.
 5. Buckets whose members are not yet in one component get other centres, and
    only members outside the centre's component are compared, until a round
    finds no link.
-6. Components by star contraction; nothing is collected to the driver.
+6. Buckets that still hold several components are compared in full: dealt
+   into blocks, every two blocks in a task, so that every two texts that share
+   a bucket are compared or in one component.
+7. Components by star contraction; nothing is collected to the driver.
 
 Defined cases: null or wordless text - no shingles, linked with nothing, its
 own component; null doc_id - linked with nothing, component null, kept;
@@ -39,6 +42,7 @@ from .text import Words, buffers, byte_class, mix64, slices, word_slices
 
 ROWS, MISS = 6, 6e-9
 GROUP = 400_000  # shingles of one comparison group
+BLOCK = 1024  # texts of a bucket's block, about
 BROADCAST_STARS = 1_000_000
 SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()),
                     ("f2", pa.int64()), ("bands", pa.list_(pa.int64()))])
@@ -180,15 +184,57 @@ def confirmer(percent: int):
     return run
 
 
+def all_pairs(percent: int):
+    """The linked texts of a group, all compared with each other: one edge per
+    text to the first of those that links reach."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(key, table):
+        nodes = table.column("node").to_numpy()
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("hashes").to_pylist()]
+        m, n = len(sets), np.array([len(x) for x in sets])
+        _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row, col = np.repeat(np.arange(m), n), (np.cumsum(often > 1) - 1)[at]
+        shared = often[at] > 1  # a shingle of one text is in no intersection
+        order = np.argsort(col[shared], kind="stable")
+        row, col = row[shared][order], col[shared][order]
+        both = np.zeros((m, m), np.float32)
+        width = 4096
+        for s in range(0, int(col[-1]) + 1 if len(col) else 0, width):
+            a, b = np.searchsorted(col, [s, s + width])
+            part = np.zeros((m, width), np.float32)
+            part[row[a:b], col[a:b] - s] = 1
+            both += part @ part.T
+        linked = np.zeros((m, m), bool)
+        for i in range(m):
+            one = both[i].astype(np.int64)
+            linked[i] = (one > 0) & (100 * one >= percent * (n[i] + n - one))
+        u, v, seen = [], [], np.zeros(m, bool)
+        for i in range(m):
+            todo = [] if seen[i] else [i]
+            seen[i] = True
+            while todo:
+                new = np.flatnonzero(linked[todo.pop()] & ~seen)
+                seen[new] = True
+                todo.extend(new.tolist())
+                u += [int(nodes[i])] * len(new)
+                v += nodes[new].tolist()
+        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=schema)
+    return run
+
+
 def bucket_pairs(members: DataFrame, turn: int) -> DataFrame:
     """Star edges of every bucket that holds more than one component:
     (centre, node), centre and node in different components, distinct."""
-    mask = F.xxhash64("key", F.lit(turn)).bitwiseAND((1 << 62) - 1)
-    mixed = F.col("node").bitwiseXOR(mask)
+    def drawn(salt):
+        mask = F.xxhash64("key", F.lit(turn), F.lit(salt)).bitwiseAND((1 << 62) - 1)
+        return lambda c: c.bitwiseXOR(mask)
+
+    first, other = drawn(1) if turn else (lambda c: c), drawn(2)
     hubs = (members.groupBy("key")
-            .agg(F.min("node").alias("c1"), F.min(mixed).alias("c2"), F.min("comp").alias("lo"),
-                 F.max("comp").alias("hi")).where("lo <> hi")
-            .select(F.col("key").alias("hub_key"), "c1", F.col("c2").bitwiseXOR(mask).alias("c2")))
+            .agg(F.min(first(F.col("node"))).alias("c1"), F.min(other(F.col("node"))).alias("c2"),
+                 F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+            .select(F.col("key").alias("hub_key"), first(F.col("c1")).alias("c1"), other(F.col("c2")).alias("c2")))
     centre = F.explode(F.array_distinct(F.array("c1", "c2")))
     return (members.join(hubs, F.col("key") == F.col("hub_key"))
             .select("node", centre.alias("centre")).where("node <> centre")
@@ -230,10 +276,37 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, pe
                        F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     to = (dealt.unionByName(own).groupBy("node")
           .agg(F.collect_list(F.struct("centre", "salt")).alias("groups")))
-    to = cut(to)
+    return sent(cut(to), docs, size).applyInArrow(confirmer(percent), "u long, v long").distinct()
+
+
+def sent(to: DataFrame, docs: DataFrame, size: int):
+    """The sets of the texts, by the groups (centre, salt) that ``to`` sends them to."""
     texts = likely(docs, to).join(to, F.col("doc_id") == F.col("node")).select("node", "text", "groups")
     sets = texts.mapInArrow(set_sender(size), "centre long, salt long, node long, hashes binary")
-    return sets.groupBy("centre", "salt").applyInArrow(confirmer(percent), "u long, v long").distinct()
+    return sets.groupBy("centre", "salt")
+
+
+def rest(members: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """Links (u, v) inside the buckets that hold several components after the
+    stars, every two texts compared; None if there are no such buckets.  Of
+    buckets with the same members one is compared."""
+    split = (members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+             .select(F.col("key").alias("k")))
+    sized = cut(members.join(split, F.col("key") == F.col("k")).select("key", "node").distinct().join(nodes, "node"))
+    whole = (sized.groupBy("key")
+             .agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.bit_xor(F.xxhash64("node")).alias("x1"),
+                  F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2")).where("c > 2")  # a pair is a star
+             .groupBy("c", "s", "x1", "x2").agg(F.min("key").alias("k"))
+             .select("k", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(2 * F.col("s") / GROUP)).cast("long").alias("blocks")))
+    whole = cut(whole)
+    if whole.isEmpty():
+        return None
+    groups = F.expr("transform(sequence(0L, blocks - 1), j -> struct(key as centre, "
+                    "least(own, j) * blocks + greatest(own, j) as salt))")
+    to = (sized.join(whole, F.col("key") == F.col("k"))
+          .withColumn("own", F.expr("pmod(xxhash64(node, key), blocks)"))
+          .select("node", groups.alias("g")).groupBy("node").agg(F.flatten(F.collect_list("g")).alias("groups")))
+    return sent(cut(to), docs, size).applyInArrow(all_pairs(percent), "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -284,6 +357,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         members = cut(buckets.join(comps.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left")
                       .select("node", "key", F.coalesce("comp", "node").alias("comp")))
         turn += 1
+    more = rest(members, sizes, docs, size, percent)
+    if more is not None:
+        comps = components(links.union(cut(more)))
     c1 = comps.select(F.col("node").alias("x"), F.col("comp").alias("via_rep"))
     placed = (rows_.select(F.col("doc_id").alias("d"), F.col("f1").alias("h1"), F.col("f2").alias("h2"), "rep")
               .distinct().join(c1, F.col("rep") == F.col("x"), "left")

@@ -275,6 +275,29 @@ def test_large_star_is_dealt_over_groups(spark, monkeypatch):
     assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
 
 
+@pytest.mark.parametrize("block", [1024, 40])
+def test_planted_pairs_in_a_family_below_the_threshold(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = np.random.default_rng(22)
+    base = [f"f{i}" for i in range(1004)]
+    texts = []
+    for k in range(200):  # any two near 0.82, each fifth beside a copy at 0.85 or more
+        copy = list(base)
+        for j in rng.choice(np.arange(5, 1000), 10, replace=False):
+            copy[j] = f"own{k}x{j}"
+        texts.append(" ".join(copy))
+        if k % 5 == 0:
+            for j in range(4):
+                copy[100 + 200 * j] = f"more{k}x{j}"
+            texts.append(" ".join(copy))
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    want = brute_components(list(enumerate(texts)))
+    assert 100 < len(set(want.values())) < len(texts)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(spark, texts)).collect()}
+    assert got == want
+
+
 def test_pipeline_drops_copies_between_80_and_85(spark):
     rng = np.random.default_rng(21)
     words = np.array([f"p{i}" for i in range(3000)])
