@@ -7,8 +7,8 @@ From the bits a query gets an unbiased estimate of its inner product with
 every vector, whose error is, but for a probability that falls like
 exp(-c * EPSILON^2), within EPSILON * sqrt((1 - ip^2) / ip^2 / (dim - 1)).
 A vector is reranked, with its original components in double precision, only
-where the estimate's lower distance bound is not above the query's k-th
-smallest upper bound.
+where the estimate's lower distance bound is not above the k-th smallest of
+the least upper bounds of the block's distinct ids.
 
 Vectors are dealt into blocks by a hash and queries into blocks of their own;
 a task compares one vector block with one query block and returns the best k
@@ -17,8 +17,8 @@ the centroid is the mean of all vectors.
 
 Defined cases: null, all-zero, empty and non-finite vectors, and rows without
 an id, take no part; vectors of different length are never compared; rows
-that repeat an id count once, at their smallest distance; a query without
-candidates has no row.
+that repeat an id count once, at their smallest distance (exact repeats are
+dropped before coding); a query without candidates has no row.
 """
 
 from __future__ import annotations
@@ -90,17 +90,20 @@ def _searcher(dim: int, centre: np.ndarray, k: int, epsilon: float):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out_q, out_v, out_s = [], [], []
         if left.num_rows and right.num_rows:
+            left = left.sort_by("vec_id")
             ids, x = left.column("vec_id").to_numpy(), matrix(left.column("vec"), dim)
             bits = np.frombuffer(b"".join(left.column("bits").to_pylist()), np.uint8).reshape(len(ids), -1)
             norm, ip = left.column("norm").to_numpy(), left.column("ip").to_numpy()
+            own, starts = np.unique(ids, return_index=True)
             qids, q = right.column("query_id").to_numpy(), matrix(right.column("vec"), dim)
             for s in range(0, len(qids), 256):
                 low, high = bounds(bits, norm, ip, q[s: s + 256], centre, rot, epsilon)
+                high = np.minimum.reduceat(high, starts, axis=1)  # an id's rows count once
                 for i in range(len(low)):
-                    other = ids != qids[s + i]
+                    other, ends = ids != qids[s + i], high[i][own != qids[s + i]]
                     limit = np.inf
-                    if int(other.sum()) > k:
-                        limit = np.partition(high[i][other], k - 1)[k - 1]
+                    if len(ends) > k:
+                        limit = np.partition(ends, k - 1)[k - 1]
                     pick = np.flatnonzero(other & (low[i] <= limit))
                     dist = exact(q[s + i], x[pick])
                     best = np.lexsort((ids[pick], dist))
@@ -120,7 +123,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     condition on vec_id."""
     rows = (vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("vec"))
             .where(F.col("vec_id").isNotNull() & usable(F.col("vec")))
-            .withColumn("dim", F.size("vec")))
+            .groupBy("vec_id", "vec").agg(F.size("vec").alias("dim")))
+    rows = cut(rows)
     shapes = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"),
                                      F.sum(is_query.cast("long")).alias("q")).orderBy("dim").collect()
     parts = [_of_dim(rows.where(F.col("dim") == s.dim).drop("dim"), s.dim, s.n, s.q, is_query, k, epsilon)

@@ -185,6 +185,19 @@ def test_neighbours_with_ties_and_bad_vectors(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 100 == 0).collect() == []
 
 
+def test_repeats_of_a_near_vector_hide_no_other(spark):
+    rng = np.random.default_rng(23)
+    x = rng.standard_normal((300, 64))
+    near = x[0] + 0.01 * rng.standard_normal(64)
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
+    rows += [(500, [float(a) for a in near])] * 20
+    rows += [(501, [float(a) for a in near + 0.001 * rng.standard_normal(64)]) for _ in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in ann.nearest(df, F.col("vec_id") == 0).collect())
+    assert got == [w[:3] for w in brute_neighbours(rows, lambda i: i == 0)]
+    assert len(got) == 10
+
+
 def test_most_vectors_are_not_reranked():
     rng = np.random.default_rng(6)
     x = rng.standard_normal((4000, 128))
