@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, langid, minhash, mix, pii, quality, shard, toxicity, warc
-from .common import crc_text
+from . import ann, decontam, langid, lexical, licenses, minhash, mix, periodic, pii, quality, shard, toxicity, warc
+from .common import crc_text, cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -205,3 +205,90 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (docs.select("doc_id", (F.pmod(crc_text("doc_id"), F.lit(4)) == 2).alias("held_out"),
                         langid.predict_column(spark, model).alias("p"))
             .select("doc_id", "held_out", "p.lang_pred", "p.score"))
+
+
+def places_sql(phrase: str) -> str:
+    """The starts (from 1) of a phrase in the word list ``w``."""
+    test = " and ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split()))
+    return f"list_filter(range(1, len(w) + 1), lambda i: {test})"
+
+
+BASE = [t for t in licenses.TEMPLATES if t.base]
+HIT_SQL = [f"case when regexp_matches(joined, ' {licenses.pattern(t)}') then {{'l': '{t.label}', 's': {licenses.weight(t)!r}::double}} end"
+           for t in licenses.TEMPLATES]
+
+OP11_SQL = f"""
+with d as (select doc_id, {words_sql('text')} as w from documents),
+p as (select *, ' ' || array_to_string(w, ' ') || ' ' as joined,
+             [{', '.join(places_sql(t.markup) for t in BASE)}] as places from d),
+m as (select *, flatten(places) as starts, list_filter([{', '.join(HIT_SQL)}], lambda x: x is not null) as hits from p)
+select doc_id, len(w)::bigint as n_words, len(starts)::bigint as n_base,
+       (list_min(starts) - 1)::bigint as first_word, (list_max(starts) - 1)::bigint as last_word,
+       array_to_string(list_sort(list_distinct(list_filter(
+         [{', '.join(f"case when len(places[{k}]) > 0 then '{t.label}' end" for k, t in enumerate(BASE, 1))}],
+         lambda x: x is not null))), ',') as base_labels,
+       array_to_string(list_sort(list_distinct(list_transform(hits, lambda x: x.l))), ',') as labels,
+       coalesce(list_max(list_transform(hits, lambda x: x.s)), 0.0)::double as score
+from m
+"""
+
+
+@query("op11_license_templates", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+OP12_SQL = f"""
+with d as (select row_number() over () as row_no, doc_id, {words_sql('text')} as w from documents),
+c as (select count(*) filter (len(w) > 0) as n_docs, sum(len(w)) as n_terms from d),
+t as (select row_no, term, count(*) as tf from (select row_no, unnest(w) as term from d) group by all),
+q as (select item_id, term, count(*) as repeats from
+        (select item_id, unnest({words_sql('text')}) as term from (select distinct item_id, text from benchmark)) group by all),
+k as (select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)))::bigint as weight
+      from (select term, count(*) as df from t where term in (select term from q) group by term), c),
+m as (select row_no, doc_id, (75 + (25 * len(w) * n_docs) // n_terms)::bigint as m from d, c where len(w) > 0),
+s as (select item_id, row_no, doc_id, sum(repeats * weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint as score
+      from q join k using (term) join t using (term) join m using (row_no) group by all)
+select item_id, row_number() over (partition by item_id order by score desc, doc_id nulls first)::integer as rank, doc_id, score
+from s where score > 0 qualify rank <= 20
+"""
+
+
+@query("op12_presence_mask_search", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = cut(lexical.build_index(table(spark, sf_dir, "documents", "doc_id", "text")))
+    return lexical.search(index, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+VISIBLE_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP13_SQL = f"""
+with h as (select row_number() over () as row_no, doc_id, {VISIBLE_SQL} as w,
+                  {crc32_sql("hex(encode(coalesce(doc_id::varchar, '0')))")} as h from documents),
+g as (select *, len(w)::bigint as n, h // 10 as g, doc_id is not null and h % 10 = 0 and len(w) > 0 as again from h),
+a as (select *, g % n as a, 1 + (n - g % n) // (3 + g % 8) as p from g where again),
+d as (select row_no, doc_id, n, w from g where not again union all
+      select row_no, doc_id, n, list_transform(range(0, n), lambda i: w[case when i < a then i else a + (i - a) % p end + 1]) from a),
+win as (select row_no, n, unnest(range(0, n - 15)) as i, w from d where n >= 24),
+x as (select row_no, n, i, md5(array_to_string(w[i + 1 : i + 16], ' ')) as x from win),
+e as (select a.row_no, a.i, b.i - a.i as q from x a join x b on a.row_no = b.row_no and a.x = b.x and a.i < b.i
+      where 3 * (b.i - a.i) <= a.n),
+o as (select *, i - row_number() over (partition by row_no, q order by i) as island from e),
+r as (select row_no, min(i) as s, count(*) + 15 + q as l, q from o group by row_no, q, island having count(*) + 15 + q >= greatest(24, 3 * q)),
+u as (select row_no, s, l, min(q) as q from r group by row_no, s, l),
+runs as (select row_no, count(*) as n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' order by s, q) as listed from u group by row_no),
+best as (select * from u qualify row_number() over (partition by row_no order by l::decimal(38, 0) / q desc, s, q) = 1),
+gone as (select distinct row_no, unnest(range(s + q, s + l)) as i from u),
+words as (select row_no, unnest(range(0, n)) as i, unnest(w) as word from d where row_no in (select row_no from u)),
+kept as (select row_no, string_agg(word, ' ' order by i) as text from words anti join gone using (row_no, i) group by row_no)
+select d.doc_id, coalesce(n_runs, 0)::bigint as n_runs, best.s::bigint as start, best.l::bigint as length,
+       best.q::bigint as period, (1000 * best.l // best.q)::bigint as exponent_milli,
+       sha256(coalesce(listed, '')) as runs_sha256,
+       sha256(coalesce(kept.text, array_to_string(d.w, ' '))) as collapsed_sha256
+from d left join runs using (row_no) left join best using (row_no) left join kept using (row_no)
+"""
+
+
+@query("op13_periodic_runs", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -2,7 +2,8 @@
 
 Texts stay in Arrow's byte buffers: no Python string per word.  A batch is
 worked off in slices of a few MB of text, so memory is bounded by the slice
-or by one text, whichever is longer.
+or by one text, whichever is longer: about six bytes a byte of text and 24 a
+word (words are hashed piece by piece).
 """
 
 from __future__ import annotations
@@ -54,13 +55,50 @@ def powers(n: int, base: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+PIECE_BYTES = 1 << 20
+_BASE = 0x2545F4914F6CDD1D
+
+
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of byte spans, worked off in pieces of about
+    ``PIECE_BYTES``, so that the eight-byte arrays stay small however long a
+    text is."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    if not len(starts):
+        return out
+    inv = pow(_BASE, -1, 1 << 64)
+    widest = min(len(data), PIECE_BYTES)
+    up, down = powers(widest, _BASE), powers(widest, inv)
+    i = 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = max(int(np.searchsorted(ends, lo + widest, side="right")), i + 1)
+        if int(ends[j - 1]) - lo <= widest:
+            part = data[lo: int(ends[j - 1])]
+            run = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[:len(part)], out=run[1:])
+            s = starts[i:j] - lo
+            out[i:j] = (run[ends[i:j] - lo] - run[s]) * down[s]
+        else:  # one word longer than a piece
+            total = 0
+            for s in range(lo, int(ends[i]), widest):
+                part = data[s: min(s + widest, int(ends[i]))]
+                one = int(((part.astype(np.uint64) + np.uint64(1)) * up[:len(part)]).sum(dtype=np.uint64))
+                total += one * pow(_BASE, s - lo, 1 << 64)
+            out[i] = np.uint64(total % (1 << 64))
+        i = j
+    return out
+
+
 class Words:
     """Words of a slice of texts: byte spans, hashes, and ``first`` (of each
     text the index of its first word; one more entry at the end)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, hashes: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, table: np.ndarray, hashes: bool = True,
+                 lower: bool = True):
         n = len(data)
-        data = lower_table()[data]
+        if lower:
+            data = lower_table()[data]
         inside = table[data]
         edge = np.zeros(n + 1, dtype=bool)
         edge[offsets] = True  # a text's end also ends a word
@@ -72,10 +110,7 @@ class Words:
         self.ends = np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.starts, offsets)
         if hashes:
-            base, inv = 0x2545F4914F6CDD1D, pow(0x2545F4914F6CDD1D, -1, 1 << 64)
-            run = np.zeros(n + 1, dtype=np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(n, base)[:n], out=run[1:])
-            h = (run[self.ends] - run[self.starts]) * powers(n, inv)[self.starts] if n else run[:0]
+            h = _word_hashes(data, self.starts, self.ends)
             self.hash = mix64(h + (self.ends - self.starts).astype(np.uint64) * np.uint64(_MULT))
 
     @property
@@ -108,8 +143,9 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES):
         a = b
 
 
-def word_slices(texts: pa.Array, table: np.ndarray, hashes: bool = True):
+def word_slices(texts: pa.Array, table: np.ndarray, hashes: bool = True, lower: bool = True,
+                limit: int = SLICE_BYTES):
     """(a, b, Words) over a batch of texts, slice by slice."""
     off, data = buffers(texts)
-    for a, b in slices(off):
-        yield a, b, Words(data[off[a]: off[b]], off[a: b + 1] - off[a], table, hashes)
+    for a, b in slices(off, limit):
+        yield a, b, Words(data[off[a]: off[b]], off[a: b + 1] - off[a], table, hashes, lower)
