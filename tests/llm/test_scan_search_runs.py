@@ -250,7 +250,7 @@ def test_runs_equal_brute_force(least, times):
     f, g = "0", "01"
     for _ in range(12):
         f, g = g, g + f  # many runs
-    check_runs([*texts, " ".join(a), " ".join(g), " ".join(["x"] * 3000)], least, times)
+    check_runs([*texts, " ".join(a), " ".join(g), " ".join(["x"] * 600)], least, times)
 
 
 def test_blocks_of_comparisons_do_not_matter(monkeypatch):
@@ -293,4 +293,4 @@ def test_run_digest_on_awkward_rows(spark):
     assert (long.start, long.length, long.period) == (0, 80_000, 2)
     assert periodic.digest(table(spark, AWKWARD).limit(0)).collect() == []
     both = table(spark, AWKWARD).withColumn("q", periodic.runs_column(F.col("text")))
-    assert both.where("size(q.runs) > 0").count() == 2 and "LICENSE" in both.columns
+    assert both.where("size(q.runs) > 0").count() == 3 and "LICENSE" in both.columns
