@@ -311,23 +311,24 @@ def listed(runs: Column) -> Column:
     return F.concat(F.array_join(line, "\n"), F.when(F.size(runs) > 0, "\n").otherwise(""))
 
 
-def looped(text: Column, doc_id: Column) -> Column:
-    """The contract's texts: of a tenth of the ids (by CRC-32) the words from
-    one place on are repeated words of a stretch that starts there."""
-    h = F.crc32(doc_id.cast("string").cast("binary"))
-    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    n = F.size(words).cast("long")
-    g = F.floor(h / 10).cast("long")
-    a = F.pmod(g, n)
-    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))).cast("long")
-    again = F.concat(F.slice(words, F.lit(1), a.cast("int")), F.transform(
-        F.sequence(a, n - 1), lambda i: F.get(words, (a + F.pmod(i - a, p)).cast("int"))))
-    return F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), F.array_join(again, " ")).otherwise(text)
+def looped(docs: DataFrame) -> DataFrame:
+    """The contract's texts of ``docs`` (doc_id, text): of a tenth of the ids
+    (by CRC-32) the words from one place on are a stretch that starts there,
+    over and over.  The words are a column of their own, read several times."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.select("doc_id", "text", F.floor(h / 10).cast("long").alias("g"), F.when(
+        F.pmod(h, F.lit(10)) == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("words"))
+    n = F.size("words")
+    a = F.pmod("g", n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.pmod("g", F.lit(8))))).cast("int")
+    again = F.flatten(F.array_repeat(F.slice("words", a + 1, p), F.ceil((n - a) / p).cast("int")))
+    whole = F.concat(F.slice("words", F.lit(1), a), F.slice(again, F.lit(1), n - a))
+    return chosen.select("doc_id", F.when(n > 0, F.array_join(whole, " ")).otherwise(F.col("text")).alias("text"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's report of ``docs`` (doc_id, text)."""
-    found = docs.select("doc_id", runs_column(looped(F.col("text"), F.col("doc_id"))).alias("p"))
+    found = looped(docs).select("doc_id", runs_column(F.col("text")).alias("p"))
     runs = F.col("p.runs")
     return (found.select("doc_id", runs.alias("runs"), strongest(runs).alias("best"), "p.collapsed")
             .select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
