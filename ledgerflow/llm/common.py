@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +32,40 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+BROADCAST_ROWS = 1_000_000  # narrow rows of numbers, counted before they are broadcast
+
+
+class Scratch:
+    """Tables that a job writes to the shared folder: ``keep`` writes a table
+    and reads it again (its lineage is cut), over the table that the same name
+    held before; ``free`` leaves nothing but an empty file of it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, f"{shared_dir(spark)}/work-{uuid.uuid4().hex[:12]}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        return self.spark.read.parquet(f"{self.root}/{name}")
+
+    def free(self, *names: str) -> None:
+        for name in names:
+            self.keep(self.spark.createDataFrame([], "freed int"), name)
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], n_rows: int, how: str = "inner",
+              salts: int = 8) -> DataFrame:
+    """``rows`` joined with ``table`` (one row per key, ``n_rows`` in all) on
+    columns of the same names.  A table of ``BROADCAST_ROWS`` at most is
+    broadcast, so ``rows`` stay where they are; a larger one is dealt
+    ``salts`` times, so that one key's rows lie in several tasks."""
+    if n_rows <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), keys, how)
+    salt, = fresh(rows.join(table.limit(0), keys, how), "__salt")
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    spread = table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(spread, [*keys, salt], how).drop(salt)
+
+
 def share(spark: SparkSession, model):
     """Broadcast a model's fields; returns a function that rebuilds it in a
     task (the class travels by value, its fields as plain data)."""
@@ -114,31 +149,35 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     smallest node of the component, for every node that has an edge.
 
     Alternating large-star / small-star rounds: every round re-hangs edges on
-    smaller nodes by a group minimum (partially aggregated) and a join; each
-    round is checkpointed.  Only one checksum row reaches the driver.
+    smaller nodes by a group minimum (partially aggregated), looked up without
+    moving the edges while the minima are few, else dealt so that a node of
+    many edges lies in several tasks.  Each round's edges are written and the
+    round before freed.  Only one checksum row reaches the driver.
     """
-    cur = cut(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
-              .where("u <> v").distinct())
+    work = Scratch(edges.sparkSession)
+    cur = work.keep(edges.select(F.greatest(u, v).cast("long").alias("u"), F.least(u, v).cast("long").alias("v"))
+                    .where("u <> v").distinct(), "edges0")
 
     def mark(df: DataFrame):
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
                      .first())
 
-    before = mark(cur)
-    while True:
+    before, turn = mark(cur), 0
+    while before[0]:
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(
-            F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(low, both["u"] == low["k"]).where("v > u").select(
-            F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
-        small = large.join(low2, large["u"] == low2["k"]).select("u", "v", "m")
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = work.keep(looked_up(both, low, ["u"], 2 * before[0]).where("v > u").select(
+            F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        small = looked_up(large, large.groupBy("u").agg(F.min("v").alias("m")), ["u"], before[0])
         hung = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             small.select("u", F.col("m").alias("v")))
-        cur = cut(hung.where("u <> v").distinct())
+        turn += 1
+        cur = work.keep(hung.where("u <> v").distinct(), f"edges{turn % 2}")
         now = mark(cur)
         if now == before:
             break
         before = now
+    if turn:
+        work.free("large")
     return cur.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(
         cur.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())

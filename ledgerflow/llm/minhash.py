@@ -16,16 +16,27 @@ check on the full shingle sets.
    centre's set, so that no group holds more than about ``GROUP`` shingles.
 5. Buckets whose members are not yet in one component get other centres, and
    only members outside the centre's component are compared, until a round
-   finds no link.
-6. Buckets that still hold several components are compared in full: dealt
-   into blocks, every two blocks in a task, so that every two texts that share
-   a bucket are compared or in one component.
+   finds no link.  Settled buckets leave; components are merged, not found
+   again from all links.
+6. Buckets that still hold several components are compared in full
+   (``rest``): buckets that overlap form a family, and a family's texts are
+   compared with each other once, dealt into blocks, every two blocks in a
+   task.  Where buckets overlap so little that the family as a whole would
+   cost more sets sent than its buckets one by one, the buckets are taken.
+   Either way every two texts that share a bucket are compared or in one
+   component.
 7. Components by star contraction; nothing is collected to the driver.
 
+Tables between steps are written to the shared folder and freed when the next
+step is written.
+
 Defined cases: null or wordless text - no shingles, linked with nothing, its
 own component; null doc_id - linked with nothing, component null, kept;
-repeated rows - the same component, each kept if its id is the smallest; rows
-that share an id but not a text stand for one document.
+very long texts - their whole sets, in memory one slice of texts or one text at
+a time; repeated rows - the same component, each kept if its id is the
+smallest; rows that share an id but not a text stand for one document; an empty
+table gives none; other columns are not read by ``near_duplicates`` and kept by
+``keep_first``, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,13 +48,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, fresh
+from .common import Scratch, components, fresh, looked_up
 from .text import Words, buffers, byte_class, mix64, slices, word_slices
 
 ROWS, MISS = 6, 6e-9
 GROUP = 400_000  # shingles of one comparison group
-BLOCK = 1024  # texts of a bucket's block, about
-BROADCAST_STARS = 1_000_000
+BLOCK, BLOCK_SHINGLES = 2048, 1_000_000  # texts and shingles of a family's block, about
 SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()),
                     ("f2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 SKETCH_DDL = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>"
@@ -138,7 +148,7 @@ def sketcher(size: int, bands: int, rows: int):
 def set_sender(size: int):
     """Rows (node, groups) with text -> one row per group with the text's set."""
     table = byte_class("visible")
-    schema = pa.schema([("centre", pa.int64()), ("salt", pa.int64()), ("node", pa.int64()),
+    schema = pa.schema([("centre", pa.int64()), ("salt", pa.int64()), ("side", pa.int32()), ("node", pa.int64()),
                         ("hashes", pa.binary())])
 
     def run(batches):
@@ -152,7 +162,7 @@ def set_sender(size: int):
                 for i in range(b - a):
                     blob = h[ends[i]: ends[i + 1]].tobytes()
                     for g in groups[a + i].as_py():
-                        out.append((g["centre"], g["salt"], node[a + i].as_py(), blob))
+                        out.append((g["centre"], g["salt"], g["side"], node[a + i].as_py(), blob))
                         held += len(blob)
                         if held > 8 << 20:
                             yield pa.RecordBatch.from_arrays(
@@ -185,30 +195,35 @@ def confirmer(percent: int):
 
 
 def all_pairs(percent: int):
-    """The linked texts of a group, all compared with each other: one edge per
-    text to the first of those that links reach."""
+    """The linked texts of a group: those of side 0 compared with those of
+    side 1, or with each other where there is one side only.  One edge per text
+    to the first of those that links reach."""
     schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(key, table):
         nodes = table.column("node").to_numpy()
         sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("hashes").to_pylist()]
+        side = table.column("side").to_numpy()
         m, n = len(sets), np.array([len(x) for x in sets])
+        top = np.flatnonzero(side == 0) if (side == 0).any() else np.arange(m)
+        left = np.flatnonzero(side == 1) if (side == 0).any() and (side == 1).any() else top
         _, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
         row, col = np.repeat(np.arange(m), n), (np.cumsum(often > 1) - 1)[at]
         shared = often[at] > 1  # a shingle of one text is in no intersection
         order = np.argsort(col[shared], kind="stable")
         row, col = row[shared][order], col[shared][order]
-        both = np.zeros((m, m), np.float32)
-        width = 4096
+        both = np.zeros((len(top), len(left)), np.float32)
+        width = 2048
         for s in range(0, int(col[-1]) + 1 if len(col) else 0, width):
             a, b = np.searchsorted(col, [s, s + width])
             part = np.zeros((m, width), np.float32)
             part[row[a:b], col[a:b] - s] = 1
-            both += part @ part.T
+            both += part[top] @ part[left].T
         linked = np.zeros((m, m), bool)
-        for i in range(m):
+        for i, r in enumerate(top):
             one = both[i].astype(np.int64)
-            linked[i] = (one > 0) & (100 * one >= percent * (n[i] + n - one))
+            ok = left[(one > 0) & (100 * one >= percent * (n[r] + n[left] - one))]
+            linked[r, ok] = linked[ok, r] = True
         u, v, seen = [], [], np.zeros(m, bool)
         for i in range(m):
             todo = [] if seen[i] else [i]
@@ -223,29 +238,35 @@ def all_pairs(percent: int):
     return run
 
 
-def bucket_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """Star edges of every bucket that holds more than one component:
-    (centre, node), centre and node in different components, distinct."""
-    def drawn(salt):
-        mask = F.xxhash64("key", F.lit(turn), F.lit(salt)).bitwiseAND((1 << 62) - 1)
-        return lambda c: c.bitwiseXOR(mask)
+def hubs_of(members: DataFrame, turn: int) -> DataFrame:
+    """Two centres of every bucket that holds more than one component."""
+    def least(salt):
+        mask = F.xxhash64("key", F.lit(turn), F.lit(salt)).bitwiseAND((1 << 62) - 1) if salt else F.lit(0).cast("long")
+        return F.min(F.struct(F.col("node").bitwiseXOR(mask).alias("order"), "node", "comp", "low", "high"))
+
+    return (members.groupBy("key")
+            .agg(least(1 if turn else 0).alias("c1"), least(2).alias("c2"),
+                 F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "c1", "c2"))
+
 
-    first, other = drawn(1) if turn else (lambda c: c), drawn(2)
-    hubs = (members.groupBy("key")
-            .agg(F.min(first(F.col("node"))).alias("c1"), F.min(other(F.col("node"))).alias("c2"),
-                 F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-            .select(F.col("key").alias("hub_key"), first(F.col("c1")).alias("c1"), other(F.col("c2")).alias("c2")))
-    centre = F.explode(F.array_distinct(F.array("c1", "c2")))
-    return (members.join(hubs, F.col("key") == F.col("hub_key"))
-            .select("node", centre.alias("centre")).where("node <> centre")
-            .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-            .distinct())
+def star_pairs(stars: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of a bucket's centre and a member, a < b, that
+    lie in different components and whose set sizes allow the threshold."""
+    c = F.explode(F.array("c1", "c2")).alias("c")
+    first = F.col("node") < F.col("c.node")
+    return (stars.select("node", "comp", "low", "high", c).where(f"""node <> c.node and comp <> c.comp
+                and 100L * high >= {percent}L * c.low and 100L * c.high >= {percent}L * low""")
+            .select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"),
+                    F.when(first, F.col("high")).otherwise(F.col("c.high")).alias("n_a"),
+                    F.when(first, F.col("c.high")).otherwise(F.col("high")).alias("n_b")).distinct())
 
 
-def likely(docs: DataFrame, wanted: DataFrame, bits: int = 1 << 23) -> DataFrame:
+def likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose id may be a ``node`` of ``wanted``, by a bit map
-    of hashed ids (at most ``bits`` / 64 rows, so it may be broadcast): only
-    their texts are shuffled by the join that follows."""
+    of hashed ids: only their texts are shuffled by the join that follows.
+    Eight bits an id; the map, which is broadcast, stays under 32 MiB (from
+    32 million ids on it lets more texts pass)."""
+    bits = 1 << min(28, max(16, (8 * wanted.count()).bit_length()))
     h = F.pmod(F.xxhash64(F.col("node")), F.lit(bits))
     marks = (wanted.select(F.shiftright(h, 6).cast("int").alias("slot"),
                            F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {bits}) & 63 as int))").alias("bit"))
@@ -255,128 +276,180 @@ def likely(docs: DataFrame, wanted: DataFrame, bits: int = 1 << 23) -> DataFrame
             .where("(shiftrightunsigned(mask, cast(at & 63 as int)) & 1) = 1").select("doc_id", "text"))
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough.  The
-    smaller node of a pair is the centre; pairs whose set sizes rule the
-    threshold out are not compared."""
-    na = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"))
-    nb = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"))
-    sized = (pairs.join(na, "a").join(nb, "b")
-             .where(f"100L * least(n_a, n_b) >= {percent}L * greatest(n_a, n_b)")
-             .select(F.col("a").alias("centre"), F.col("b").alias("node"), "n_a", "n_b"))
-    sized = cut(sized)
-    width = cut(sized.groupBy("centre").agg(
-        F.ceil((F.sum("n_b") + F.max("n_a")) / GROUP).cast("long").alias("salts")))
+def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, work: Scratch) -> DataFrame:
+    """The pairs (a, b, n_a, n_b) whose full shingle sets are similar enough,
+    as (u, v).  The smaller node of a pair is the centre."""
+    sized = pairs.withColumnsRenamed({"a": "centre", "b": "node"})
+    width = work.keep(sized.groupBy("centre").agg(
+        F.ceil((F.sum("n_b") + F.max("n_a")) / GROUP).cast("long").alias("salts")), "width")
     # only large stars are looked up: fewer than the shingles compared / GROUP
-    large = width.where("salts > 1").select(F.col("centre").alias("large"), "salts")
-    large = F.broadcast(large) if large.count() <= BROADCAST_STARS else large
-    dealt = sized.join(large, F.col("centre") == F.col("large"), "left").select(
+    large = width.where("salts > 1")
+    dealt = looked_up(sized, large, ["centre"], large.count(), "left").select(
         "centre", "node", F.expr("pmod(xxhash64(node), coalesce(salts, 1L))").alias("salt"))
     own = width.select("centre", F.col("centre").alias("node"),
                        F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     to = (dealt.unionByName(own).groupBy("node")
-          .agg(F.collect_list(F.struct("centre", "salt")).alias("groups")))
-    return sent(cut(to), docs, size).applyInArrow(confirmer(percent), "u long, v long").distinct()
+          .agg(F.collect_list(F.struct("centre", "salt", F.lit(0).alias("side"))).alias("groups")))
+    return sent(work.keep(to, "to"), docs, size).applyInArrow(confirmer(percent), "u long, v long").distinct()
 
 
 def sent(to: DataFrame, docs: DataFrame, size: int):
     """The sets of the texts, by the groups (centre, salt) that ``to`` sends them to."""
     texts = likely(docs, to).join(to, F.col("doc_id") == F.col("node")).select("node", "text", "groups")
-    sets = texts.mapInArrow(set_sender(size), "centre long, salt long, node long, hashes binary")
+    sets = texts.mapInArrow(set_sender(size), "centre long, salt long, side int, node long, hashes binary")
     return sets.groupBy("centre", "salt")
 
 
-def rest(members: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame | None:
+def rest_groups(members: DataFrame, work: Scratch) -> DataFrame:
+    """Which groups (``groups`` of centre, salt, side) the texts of buckets
+    that hold several components are sent to, so that every two texts of a
+    bucket meet: (node, groups)."""
+    def blocks(count, shingles):
+        return F.greatest(F.ceil(F.col(count) / BLOCK), F.ceil(F.col(shingles) / BLOCK_SHINGLES)).cast("long")
+
+    own = work.keep(members.groupBy("key", "node").agg(F.max("high").alias("n")), "rest-members")
+    buckets = (own.groupBy("key")
+               .agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.min("node").alias("hub"),
+                    F.bit_xor(F.xxhash64("node")).alias("x1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2"))
+               .where("c > 2")  # a pair is a star
+               .groupBy("c", "s", "x1", "x2").agg(F.min("key").alias("key"), F.min("hub").alias("hub"))  # the same members
+               .select("key", "hub", blocks("c", "s").alias("blocks"), (F.col("c") * blocks("c", "s")).alias("sends")))
+    buckets = work.keep(buckets, "rest-buckets")
+    n_buckets = buckets.count()
+    own = looked_up(own, buckets, ["key"], n_buckets)
+    family = components(own.select(F.col("node").alias("u"), F.col("hub").alias("v")))
+    family = work.keep(family.select("node", F.col("comp").alias("family")), "rest-family")
+    by_bucket = (buckets.join(family.withColumnRenamed("node", "hub"), "hub").groupBy("family")
+                 .agg(F.sum("sends").alias("sends")))
+    sizes = own.groupBy("node").agg(F.max("n").alias("n")).join(family, "node")
+    whole = (sizes.groupBy("family").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+             .select("family", blocks("c", "s").alias("all_blocks"), (F.col("c") * blocks("c", "s")).alias("all_sends"))
+             .join(by_bucket, "family")
+             .select("family", F.when(F.col("all_sends") <= F.col("sends"), F.col("all_blocks")).alias("all_blocks")))
+    whole = work.keep(whole, "rest-whole")
+    n_whole = whole.count()
+    placed = looked_up(family, whole, ["family"], n_whole)
+    one = placed.where("all_blocks is not null").select(
+        "node", F.col("family").alias("centre"), F.col("all_blocks").alias("blocks"), F.lit(0).alias("kind"))
+    several = own.join(placed.where("all_blocks is null").select("node"), "node").select(
+        "node", F.col("key").alias("centre"), "blocks", F.lit(1).alias("kind"))
+    groups = F.expr("transform(sequence(0L, blocks - 1), j -> struct(centre as centre, "
+                    "2 * (least(own, j) * blocks + greatest(own, j)) + kind as salt, int(own > j) as side))")
+    return (one.unionByName(several).withColumn("own", F.expr("pmod(xxhash64(node, centre), blocks)"))
+            .select("node", groups.alias("g")).groupBy("node").agg(F.flatten(F.collect_list("g")).alias("groups")))
+
+
+def rest(members: DataFrame, docs: DataFrame, size: int, percent: int, work: Scratch) -> DataFrame:
     """Links (u, v) inside the buckets that hold several components after the
-    stars, every two texts compared; None if there are no such buckets.  Of
-    buckets with the same members one is compared."""
-    split = (members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-             .select(F.col("key").alias("k")))
-    sized = cut(members.join(split, F.col("key") == F.col("k")).select("key", "node").distinct().join(nodes, "node"))
-    whole = (sized.groupBy("key")
-             .agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"), F.bit_xor(F.xxhash64("node")).alias("x1"),
-                  F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x2")).where("c > 2")  # a pair is a star
-             .groupBy("c", "s", "x1", "x2").agg(F.min("key").alias("k"))
-             .select("k", F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(2 * F.col("s") / GROUP)).cast("long").alias("blocks")))
-    whole = cut(whole)
-    if whole.isEmpty():
-        return None
-    groups = F.expr("transform(sequence(0L, blocks - 1), j -> struct(key as centre, "
-                    "least(own, j) * blocks + greatest(own, j) as salt))")
-    to = (sized.join(whole, F.col("key") == F.col("k"))
-          .withColumn("own", F.expr("pmod(xxhash64(node, key), blocks)"))
-          .select("node", groups.alias("g")).groupBy("node").agg(F.flatten(F.collect_list("g")).alias("groups")))
-    return sent(cut(to), docs, size).applyInArrow(all_pairs(percent), "u long, v long").distinct()
+    stars, every two texts compared."""
+    to = work.keep(rest_groups(members, work), "rest-to")
+    return sent(to, docs, size).applyInArrow(all_pairs(percent), "u long, v long").distinct()
+
+
+def merged(comps: DataFrame | None, links: DataFrame, work: Scratch, name: str) -> tuple[DataFrame, int]:
+    """Components (node, comp) after further links between nodes, and their
+    number of rows."""
+    if comps is None:
+        comps = work.keep(components(links), name)
+        return comps, comps.count()
+    n = comps.count()
+    for end in ("u", "v"):
+        at = comps.withColumnsRenamed({"node": end, "comp": "at"})
+        links = (looked_up(links, at, [end], n, "left").withColumn(end, F.coalesce("at", end)).drop("at"))
+    new = work.keep(components(links).select(F.col("node").alias("comp"), F.col("comp").alias("now")), "merged")
+    old = looked_up(comps, new, ["comp"], new.count(), "left").select("node", F.coalesce("now", "comp").alias("comp"))
+    others = new.withColumnRenamed("comp", "node").join(comps, "node", "left_anti").select("node", F.col("now").alias("comp"))
+    comps = work.keep(old.unionByName(others), name)
+    return comps, comps.count()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     size: int = 5, percent: int = 85, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``.
     Links: 100 * intersection >= ``percent`` * union of the shingle sets."""
-    bands = banding(percent, rows)
+    bands, work = banding(percent, rows), Scratch(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = cut(docs.mapInArrow(sketcher(size, bands, rows), SKETCH_DDL))
+    sketch = work.keep(docs.mapInArrow(sketcher(size, bands, rows), SKETCH_DDL)
+                       .withColumn("row", F.monotonically_increasing_id()), "sketch")
     linkable = sketch.where("n_shingles > 0 and doc_id is not null")
-    reps = linkable.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    r = reps.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "rep")
-    rows_ = cut(linkable.select("doc_id", "n_shingles", "f1", "f2")
-                .join(r, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")))
-                .select("doc_id", "n_shingles", "f1", "f2", "rep"))
+    copies = work.keep(linkable.groupBy("f1", "f2").agg(F.count(F.lit(1)).alias("c"),
+                                                        F.min(F.struct("doc_id", "row")).alias("r"))
+                       .where("c > 1").select("f1", "f2", F.col("r.doc_id").alias("rep"), F.col("r.row").alias("lead")),
+                       "copies")
+    n_copies = copies.count()
+
+    def tagged(*cols: str) -> DataFrame:
+        """Rows with their set's representative; one row of each set is in the lead."""
+        return looked_up(linkable.select(*cols, "f1", "f2", "row"), copies, ["f1", "f2"], n_copies, "left").select(
+            *cols, F.coalesce("rep", "doc_id").alias("rep"), F.expr("coalesce(lead, row) = row").alias("leads"))
+
     # one document whose rows differ in text ties their classes together
-    same_id = (rows_.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
+    same_id = (tagged("doc_id").groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
                .where("lo <> hi").select("doc_id"))
-    ties = rows_.join(same_id, "doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    nodes = rows_.where("doc_id = rep").select(F.col("doc_id").alias("node"),
-                                               F.col("n_shingles").alias("n"), "f1", "f2").distinct()
-    head = nodes.withColumnsRenamed({"f1": "g1", "f2": "g2"})
-    buckets = (linkable.join(head, (F.col("doc_id") == F.col("node")) & (F.col("f1") == F.col("g1"))
-                             & (F.col("f2") == F.col("g2")))
-               .select("node", F.explode("bands").alias("key")))
-    buckets = cut(buckets)
-    crowded = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("key").alias("k"))
-    buckets = cut(buckets.join(crowded, F.col("key") == F.col("k")).select("node", "key"))
-    sizes = nodes.groupBy("node").agg(F.max("n").alias("n"))
-    links, tested, turn = ties, None, 0
-    members = buckets.withColumn("comp", F.col("node"))
+    ties = work.keep(tagged("doc_id").join(same_id, "doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+                     .distinct(), "ties")
+    entries = tagged("doc_id", "n_shingles", "bands").where("leads").select(
+        F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    crowded = work.keep(entries.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+                        .where("lo <> hi").select("key"), "crowded")
+    # an id whose rows differ in text has sets of several sizes
+    members = work.keep(looked_up(entries, crowded, ["key"], crowded.count()).groupBy("node", "key")
+                        .agg(F.min("n").alias("low"), F.max("n").alias("high"))
+                        .withColumn("comp", F.col("node")), "members")
+    mixed = (members.groupBy("node").agg(F.min("low").alias("all_low"), F.max("high").alias("all_high"))
+             .where("all_low <> all_high"))
+    mixed = work.keep(mixed, "mixed")
+    n_mixed = mixed.count()
+    if n_mixed:
+        members = looked_up(members, mixed, ["node"], n_mixed, "left").select(
+            "node", "key", "comp", F.coalesce("all_low", "low").alias("low"), F.coalesce("all_high", "high").alias("high"))
+    comps, tested, turn, stars = None, None, 0, None
     while True:
-        pairs = bucket_pairs(members, turn)
+        hubs = work.keep(hubs_of(members, turn), "hubs")
+        n_hubs = hubs.count()
+        if not n_hubs:
+            stars = None
+            break
+        stars = work.keep(looked_up(members, hubs, ["key"], n_hubs), f"stars{turn % 2}")
+        pairs = star_pairs(stars, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            comp = comps.select(F.col("node").alias("x"), "comp")
-            pairs = (pairs.join(comp, F.col("a") == F.col("x"), "left").drop("x")
-                     .withColumnRenamed("comp", "comp_a")
-                     .join(comp, F.col("b") == F.col("x"), "left")
-                     .where("coalesce(comp_a, a) <> coalesce(comp, b)").select("a", "b"))
-        pairs = cut(pairs)
-        found = cut(confirmed(pairs, sizes, docs, size, percent))
-        tested = pairs if tested is None else tested.union(pairs)
-        links = links.union(found)
+        pairs = work.keep(pairs, f"pairs{turn}")
+        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
+        found = work.keep(confirmed(pairs, docs, size, percent, work), "found")
         if turn and found.isEmpty():
             break
-        comps = components(links)
-        members = cut(buckets.join(comps.withColumnRenamed("node", "x"), F.col("node") == F.col("x"), "left")
-                      .select("node", "key", F.coalesce("comp", "node").alias("comp")))
+        comps, n_comps = merged(comps, found if turn else found.union(ties), work, f"comps{turn % 2}")
+        members = looked_up(stars.drop("comp", "c1", "c2"), comps, ["node"], n_comps, "left").withColumn(
+            "comp", F.coalesce("comp", "node"))
         turn += 1
-    more = rest(members, sizes, docs, size, percent)
-    if more is not None:
-        comps = components(links.union(cut(more)))
-    c1 = comps.select(F.col("node").alias("x"), F.col("comp").alias("via_rep"))
-    placed = (rows_.select(F.col("doc_id").alias("d"), F.col("f1").alias("h1"), F.col("f2").alias("h2"), "rep")
-              .distinct().join(c1, F.col("rep") == F.col("x"), "left")
-              .select("d", "h1", "h2", F.coalesce("via_rep", "rep").alias("via_rep")))
-    return (sketch.select("doc_id", "n_shingles", "f1", "f2")
-            .join(placed, (F.col("doc_id") == F.col("d")) & (F.col("f1") == F.col("h1"))
-                  & (F.col("f2") == F.col("h2")), "left")
-            .select("doc_id", "n_shingles", F.coalesce("via_rep", "doc_id").alias("component_id"),
-                    F.coalesce(F.coalesce("via_rep", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept")))
+    if stars is not None:
+        members = stars.drop("c1", "c2")
+        comps, _ = merged(comps, work.keep(rest(members, docs, size, percent, work), "found"), work, "comps-last")
+    elif comps is None:
+        comps, _ = merged(None, ties, work, "comps-last")
+    work.free("members", "crowded", "stars0", "stars1", "to", *(("rest-members", "rest-to") if stars is not None else ()))
+    via = looked_up(tagged("doc_id", "n_shingles").drop("leads"),
+                    comps.select(F.col("node").alias("rep"), F.col("comp").alias("via")), ["rep"], comps.count(), "left")
+    one = F.coalesce("via", "rep")
+    other = sketch.where("not (n_shingles > 0 and doc_id is not null)").select(
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = via.select("doc_id", "n_shingles", one.alias("component_id"))
+    return (linked.unionByName(other)
+            .withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85) -> DataFrame:
     """``docs`` with one row of each group of near duplicates (J of ``percent``
-    / 100 or more): of the row(s) with
-    the group's smallest id, one.  Rows with a null id stay."""
-    keep, = fresh(docs, "__keep")
-    wanted = (near_duplicates(docs, id_col, text_col, percent=percent).where("kept and doc_id is not null")
-              .select(F.col("doc_id").alias(keep)).distinct())
-    named = docs.join(wanted, docs[id_col].cast("long") == F.col(keep), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    / 100 or more): of the row(s) with the group's smallest id, the one that
+    comes first as JSON.  Rows with a null id stay."""
+    keep, row, rows = fresh(docs, "__keep", "__row", "__rows")
+    found = near_duplicates(docs, id_col, text_col, percent=percent).where("kept and doc_id is not null")
+    work = Scratch(docs.sparkSession)
+    wanted = work.keep(found.groupBy(F.col("doc_id").alias(keep)).agg(F.count(F.lit(1)).alias(rows)), "wanted")
+    named = docs.join(wanted, docs[id_col].cast("long") == F.col(keep))
+    once = named.where(F.col(rows) == 1).select(*docs.columns)
+    again = (named.where(F.col(rows) > 1).select(keep, F.struct(*docs.columns).alias(row)).groupBy(keep)
+             .agg(F.min_by(row, F.to_json(row)).alias(row)).select(f"{row}.*"))
+    out = once if wanted.where(F.col(rows) > 1).isEmpty() else once.unionByName(again)
+    return out.unionByName(docs.where(F.col(id_col).isNull()))

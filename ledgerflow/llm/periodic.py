@@ -319,7 +319,7 @@ def looped(docs: DataFrame) -> DataFrame:
     chosen = docs.select("doc_id", "text", F.floor(h / 10).cast("long").alias("g"), F.when(
         F.pmod(h, F.lit(10)) == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("words"))
     n = F.size("words")
-    a = F.pmod("g", n).cast("int")
+    a = F.pmod("g", F.greatest(n, F.lit(1))).cast("int")
     p = (1 + F.floor((n - a) / (3 + F.pmod("g", F.lit(8))))).cast("int")
     again = F.flatten(F.array_repeat(F.slice("words", a + 1, p), F.ceil((n - a) / p).cast("int")))
     whole = F.concat(F.slice("words", F.lit(1), a), F.slice(again, F.lit(1), n - a))

@@ -311,6 +311,32 @@ def test_planted_pairs_in_a_family_below_the_threshold(spark, monkeypatch, block
     assert got == want
 
 
+@pytest.mark.parametrize("m, block", [(60, 2048), (240, 2048), (240, 100)])
+def test_a_family_is_sent_once_a_block(spark, monkeypatch, m, block):
+    """Sets sent per text in the full comparison of a family: one for every
+    block, however many buckets its texts share."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    members = spark.range(m).selectExpr("id as node", "explode(sequence(0L, 62L)) as key").where(
+        "pmod(xxhash64(node, key), 3) = 0").selectExpr("node", "key", "300L as high")
+    work = common.Scratch(spark)
+    sent = {r.node: len(r.groups) for r in minhash.rest_groups(members, work).collect()}
+    assert sent == dict.fromkeys(range(m), -(-m // block))
+    # buckets in a chain meet in their own groups, not all together
+    chain = spark.range(3000).selectExpr("id as node", "explode(array(id div 3, 1000 + (id + 1) div 3)) as key", "3000L as high")
+    got = minhash.rest_groups(chain, work).selectExpr("node", "explode(groups) as g").selectExpr("node", "g.centre", "g.salt")
+    meet = got.join(got.withColumnRenamed("node", "other"), ["centre", "salt"]).where("node < other").distinct()
+    whole = chain.groupBy("key").count().where("count > 2").select("key")
+    want = chain.join(whole, "key").join(chain.selectExpr("node as other", "key"), "key").where("node < other")
+    assert want.select("node", "other").subtract(meet.select("node", "other")).isEmpty()
+    assert meet.count() < 20_000
+
+
+def test_one_row_of_an_id_is_kept_whatever_the_order(spark):
+    rows = [(7, f"words {k} of one id", "en", "s", k) for k in range(6)] + [(8, None, "en", "s", 1)] * 2
+    got = [minhash.keep_first(spark.createDataFrame(x, DOC).repartition(3)).collect() for x in (rows, rows[::-1])]
+    assert got[0] and sorted(map(str, got[0])) == sorted(map(str, got[1])) and len(got[0]) == 2
+
+
 def test_pipeline_drops_copies_between_80_and_85(spark):
     rng = np.random.default_rng(21)
     words = np.array([f"p{i}" for i in range(3000)])
