@@ -82,13 +82,18 @@ def merged_stats(parts: DataFrame, ddof: int = 1, mean_alias: str = "global_mean
     # a group has no more values than rows; naming both leaves the groups'
     # aggregate one and the same for this reader and for one of the row counts
     parts = parts.withColumn("n", F.least(rows, "n"))
-    total = parts.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean")).alias("s"),
-                      F.sum(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean")).alias("q"))
-    mean = F.when(F.col("n") > 0, F.col("s") / F.col("n"))
-    spread = F.greatest(F.col("q") - F.col("s") * mean, F.lit(0.0))
+    # first the mean (one row, so it may be broadcast), then the deviations from
+    # it: no difference of large sums, however far the mean lies from zero.  Both
+    # read every moment, so the groups' aggregate is one exchange for both
+    total = parts.agg(F.sum("n").alias("__n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("__mean"),
+                      F.sum("m2").alias("__within"))
+    apart = F.col("mean") - F.col("__mean")
+    spread = (parts.crossJoin(F.broadcast(total))
+              .agg(F.max("__n").alias("n"), F.max("__mean").alias("mean"), F.max("__within").alias("within"),
+                   F.sum(F.col("m2") + F.col("n") * apart * apart).alias("spread")))
     # as stddev_samp / stddev_pop: NULL where there are too few values
-    std = F.when(F.col("n") > ddof, F.sqrt(spread / (F.col("n") - ddof)))
-    return total.select(mean.alias(mean_alias), std.alias(std_alias))
+    std = F.when(F.col("n") > ddof, F.sqrt(F.greatest("spread", "within") / (F.col("n") - ddof)))
+    return spread.select(F.col("mean").alias(mean_alias), std.alias(std_alias))
 
 
 def attach_stats(df: DataFrame, stats: DataFrame, by: list[str] | None = None) -> DataFrame:

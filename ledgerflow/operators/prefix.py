@@ -41,9 +41,9 @@ def same(a: DataFrame, b: DataFrame, pairs: list[tuple[str, str]]) -> Column:
 def ordered_prefix(df: DataFrame, order: str, value: str, by: list[str] | None = None,
                    how: str = "sum", n_ranges: int | None = None,
                    bounds_from: DataFrame | None = None) -> DataFrame:
-    """Adds ``prefix_incl`` / ``prefix_excl``: the sum (or min) of ``value``
+    """Adds ``prefix_incl`` / ``prefix_excl``: the sum (or min, or max) of ``value``
     over rows of the same ``by`` group whose ``order`` is <= / < the row's
-    (for a group's first row ``prefix_excl`` is 0 for a sum, NULL for a min).
+    (for a group's first row ``prefix_excl`` is 0 for a sum, else NULL).
     ``df`` must be unique on (by, order); ``order`` must be numeric and
     non-NULL.  ``bounds_from`` (a frame with an ``order`` column, e.g. the
     rows before they were de-duplicated) gives the range bounds without
@@ -57,7 +57,7 @@ def ordered_prefix(df: DataFrame, order: str, value: str, by: list[str] | None =
     rid = range_id(F.col(order), F.col("__bounds"))
     ranged = df.crossJoin(F.broadcast(bounds)).withColumn("__rid", rid).drop("__bounds")
     keys = [*by, "__rid"]
-    agg = F.sum if how == "sum" else F.min
+    agg = {"sum": F.sum, "min": F.min, "max": F.max}[how]
     w = Window.partitionBy(*keys).orderBy(order)
     local = (ranged.withColumn("__incl", agg(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
              .withColumn("__excl", agg(value).over(w.rowsBetween(Window.unboundedPreceding, -1))))
@@ -72,7 +72,8 @@ def ordered_prefix(df: DataFrame, order: str, value: str, by: list[str] | None =
         incl = F.coalesce("__before", zero) + F.col("__incl")
         excl = F.coalesce("__before", zero) + F.coalesce("__excl", zero)
     else:
-        incl, excl = F.least("__before", "__incl"), F.least("__before", "__excl")
+        pick = F.least if how == "min" else F.greatest  # NULLs do not count
+        incl, excl = pick("__before", "__incl"), pick("__before", "__excl")
     return joined.select(*df.columns, incl.alias("prefix_incl"), excl.alias("prefix_excl"))
 
 

@@ -3,6 +3,8 @@ an expected layout, numeric column summary, and input footprint."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,18 +113,19 @@ def numeric_summary(df: DataFrame, c: str,
 
 
 def footprint(spark: SparkSession, tables: dict[str, str], glob: str = "*.parquet") -> DataFrame:
-    """Files, bytes and MB feeding each named table.  The ``binaryFile``
-    source lists the files with their length (one row per file; the file
-    content is never read because it is not selected)."""
-    parts = []
-    for name, path in tables.items():
-        files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
-                 .option("recursiveFileLookup", True).load(path).select("path", "length"))
-        parts.append(files.agg(F.count(F.lit(1)).alias("n_files"),
-                               F.sum("length").alias("total_bytes"))
-                     .select(F.lit(name).alias("table"), "n_files", "total_bytes",
-                             (F.col("total_bytes") / (1024 * 1024)).alias("size_mb")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Files, bytes and MB feeding each named table (0 files where a folder
+    holds none), in one listing of all of them.  The ``binaryFile`` source
+    lists the files with their length (one row per file; the file content is
+    never read because it is not selected); a file belongs to the longest of
+    the paths that it is or lies below."""
+    names = {n: re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "", p).rstrip("/") for n, p in tables.items()}
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
+             .option("recursiveFileLookup", True).load(list(dict.fromkeys(tables.values()))).select("path", "length"))
+    wanted = spark.createDataFrame(list(names.items()), "table string, root string")  # as many as are named
+    below = F.col("path").endswith(F.col("root")) | F.contains(F.col("path"), F.concat("root", F.lit("/")))
+    owned = files.join(F.broadcast(wanted), below).groupBy("path").agg(
+        F.max("length").alias("length"), F.max_by("root", F.length("root")).alias("root"))
+    sums = owned.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"))
+    n, size = (F.coalesce(c, F.lit(0).cast("long")) for c in ("n", "bytes"))
+    return F.broadcast(wanted).join(sums, "root", "left").select(
+        "table", n.alias("n_files"), size.alias("total_bytes"), (size / (1024 * 1024)).alias("size_mb"))

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import fixed, round_half_up
+from .enrich import join_back
 from .prefix import ordered_prefix, skyline
 
+PIECE = 100_000  # equal points that one row stands for
+
 # Workload names of the result table, in display order.
 WORKLOADS = ("WL1_aggregation", "WL2_fraud", "WL3_join_window")
 
@@ -35,14 +38,17 @@ def full_size(runs: DataFrame, threshold: float = 0.99, tolerance: float = 0.01)
 def match_fractions(runs: DataFrame, c: str = "sample_fraction", out: str = "fraction_key",
                     tolerance: float = 0.01) -> DataFrame:
     """Adds ``out``: fractions less than ``tolerance`` apart get the same key,
-    the smallest of them (a chain of near-equal fractions is one key).  Only
-    the distinct fractions - one row per sample size - are ordered."""
-    w = Window.orderBy("__f")
+    the smallest of them (a chain of near-equal fractions is one key).
+
+    Two running maxima over value ranges, no window over all values: the
+    greatest smaller fraction is a fraction's neighbour, which tells where a
+    key starts; the greatest start so far is the fraction's key."""
     distinct = runs.select(F.col(c).alias("__f")).filter(F.col(c).isNotNull()).distinct()
+    beside = ordered_prefix(distinct.withColumn("__x", F.col("__f")), "__f", "__x", how="max")
     # a difference of exactly the tolerance, up to rounding, is not near
-    new = F.coalesce(F.col("__f") - F.lag("__f").over(w) > tolerance - 1e-9, F.lit(True))
-    runs_of = distinct.withColumn("__new", new.cast("int")).withColumn("__g", F.sum("__new").over(w))
-    keys = runs_of.withColumn(out, F.min("__f").over(Window.partitionBy("__g"))).select("__f", out)
+    starts = F.coalesce(F.col("__f") - F.col("prefix_excl") > tolerance - 1e-9, F.lit(True))
+    started = beside.select("__f", F.when(starts, F.col("__f")).alias("__x"))
+    keys = ordered_prefix(started, "__f", "__x", how="max", bounds_from=distinct).select("__f", F.col("prefix_incl").alias(out))
     return runs.join(keys, runs[c] == keys["__f"], "left").drop("__f")
 
 
@@ -76,19 +82,25 @@ def speedup(runs: DataFrame, by: list[str], baseline: str = "hadoop",
 
 
 def scaling_curve(runs: DataFrame, x: str = "data_size_mb", y: str = "wall_time_sec") -> DataFrame:
-    """Points per (workload, engine) ordered by ``x`` (then ``y``) with their
-    position.  Equal points are counted first and the positions come from a
-    prefix scan over ranges of ``x``, so a group of any size is spread."""
-    pts = successful(runs).filter(F.col(x).isNotNull()).select("workload", "engine", x, y)
-    counts = pts.groupBy("workload", "engine", x).agg(F.count(F.lit(1)).alias("__c"))
-    at = ordered_prefix(counts, x, "__c", by=["workload", "engine"], bounds_from=pts).select(
-        F.col("workload").alias("__w"), F.col("engine").alias("__e"), F.col(x).alias("__x"), "prefix_excl")
-    j = pts.join(at, pts["workload"].eqNullSafe(at["__w"]) & pts["engine"].eqNullSafe(at["__e"])
-                 & (pts[x] == at["__x"]))
-    # points that share workload, engine and x are ordered among themselves
-    w = Window.partitionBy("workload", "engine", x).orderBy(y)
-    return j.select("workload", "engine", x, y,
-                    (F.col("prefix_excl") + F.row_number().over(w)).cast("int").alias("position"))
+    """Points per (workload, engine) ordered by ``x`` (then ``y``, NULL first)
+    with their position.  Equal points are counted first; the positions are a
+    prefix scan over ``x`` plus one over ``y`` among the points of an x, both
+    over value ranges, so neither a group nor one x of any size is in one task.
+    Equal points are counted out again in pieces of ``PIECE`` points."""
+    by = ["workload", "engine"]
+    pts = (successful(runs).filter(F.col(x).isNotNull()).select(*by, x, y)
+           .withColumn("__y", F.coalesce(F.col(y).cast("double"), F.lit(float("-inf")))))
+    counts = pts.groupBy(*by, x, y, "__y").agg(F.count(F.lit(1)).alias("__c"))
+    of_x = counts.groupBy(*by, x).agg(F.sum("__c").alias("__c"))
+    before_x = ordered_prefix(of_x, x, "__c", by=by, bounds_from=pts).select(*by, x, F.col("prefix_excl").alias("__bx"))
+    before_y = ordered_prefix(counts, "__y", "__c", by=[*by, x], bounds_from=pts).select(
+        *by, x, y, "__c", F.col("prefix_excl").alias("__by"))
+    placed = join_back(before_y, before_x, [*by, x])
+    last = F.floor((F.col("__c") - 1) / PIECE)
+    pieces = placed.withColumn("__p", F.explode(F.sequence(F.lit(0).cast("long"), last))).repartition(*by, x, y, "__p")
+    first = F.col("__p") * PIECE
+    each = pieces.withColumn("__k", F.explode(F.sequence(first + 1, F.least(first + PIECE, F.col("__c")))))
+    return each.select(*by, x, y, (F.col("__bx") + F.col("__by") + F.col("__k")).cast("int").alias("position"))
 
 
 def metric_long(runs: DataFrame, metrics: list[str]) -> DataFrame:

@@ -405,6 +405,20 @@ def rolling_24_fractional(spark, d):
     return present(out, _ROLL_ROUND)
 
 
+@query("rolling_24_one_account", with_("ta", f"""
+select tx_id, step + tx_id % 1000 / 1000.0::double as step, amount, {r('sum(amount) over w', MONEY)} as rolling_24h_sum,
+       count(*) over w as rolling_24h_count, max(amount) over w as rolling_24h_max
+  from ta where step is not null and amount is not null
+window w as (order by step + tx_id % 1000 / 1000.0::double range between 24 preceding and current row)"""))
+def rolling_24_one_account(spark, d):
+    """All transactions as one account's, with fractional steps: the trailing
+    window is split inside the account and inside a window length."""
+    src = agg.require(fx.ta(spark, d), "step", "amount").select(
+        "tx_id", (F.col("step") + F.col("tx_id") % 1000 / F.lit(1000.0)).alias("step"), "amount", F.lit("all").alias("account"))
+    out = win.rolling(src, ["account"], "step", "amount", order_type="double")
+    return present(out.drop("account"), {"rolling_24h_sum": MONEY})
+
+
 _W3_ROUND = {"rolling_24h_sum": MONEY, "total_received_amount": MONEY}
 
 

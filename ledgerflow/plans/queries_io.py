@@ -177,6 +177,30 @@ def malformed_quarantine(spark, d):
     return dl.quarantine_summary(bad)
 
 
+@query("ingest_both_sides", with_("ta", """
+select coalesce(reason, 'good') as outcome, case when reason is null then account end as account,
+       case when reason is null then step end as step, case when reason is null then amount end as amount,
+       case when reason is null then length(account) else null end as n_account,
+       case when reason is not null then account end as line_account,
+       (select cast(count(*) as bigint) from s x where x.reason is not distinct from s.reason) as n_counted from s""",
+    extra={"s": f"select *, {_DAMAGE} as reason from ta"}))
+def ingest_both_sides(spark, d):
+    """Typed records and quarantined lines of one pass, with the counts that
+    were observed on its write."""
+    from ..schemas import PAYSIM
+    got = dl.ingest(spark, write_damaged(spark, d), PAYSIM, scratch_path(spark, "ingest"))
+    n = F.create_map(*[F.lit(x) for r in dl.REASONS for x in (r, got.counts[r])])
+    text, number = F.lit(None).cast("string"), F.lit(got.counts["n_good"]).cast("long")
+    good = got.good.select(F.lit("good").alias("outcome"), F.col("nameOrig").alias("account"), F.col("step").cast("long").alias("step"),
+                           "amount", F.length("nameOrig").cast("long").alias("n_account"), text.alias("line_account"),
+                           number.alias("n_counted"))
+    bad = got.bad.select(F.col("reason").alias("outcome"), text.alias("account"), F.lit(None).cast("long").alias("step"),
+                         F.lit(None).cast("double").alias("amount"), F.lit(None).cast("long").alias("n_account"),
+                         F.get(dl.split_fields("raw", None), F.lit(3)).alias("line_account"),
+                         n[F.col("reason")].cast("long").alias("n_counted"))
+    return good.unionByName(bad)
+
+
 # ------------------------------------------------------------ A6, A7, G4
 
 @query("mixed_record_router", with_(["ta", "net"], f"""
@@ -194,6 +218,38 @@ def mixed_record_router(spark, d):
         F.coalesce("paysim.amount", "banksim_tx.amount", "banksim_net.Weight").alias("amount"))
 
 
+def write_apostrophes(spark, d) -> str:
+    """Two layouts in one folder, with apostrophes inside fields: plain
+    ones in PaySim lines, escaped ones in the quoted fields of network lines,
+    which hold a comma too."""
+    path = scratch_path(spark, "apostrophes")
+    t, n = fx.ta(spark, d), fx.net(spark, d)
+    mark = F.when(F.col("tx_id") % 3 == 0, F.lit("O'")).when(F.col("tx_id") % 3 == 1, F.lit("x'y'")).otherwise(F.lit(""))
+    money = F.col("amount").cast("string")
+    pay = F.concat_ws(",", F.col("step").cast("string"), "type", money, F.concat(mark, F.col("account")), money, money,
+                      F.concat(F.col("counterparty"), mark), money, money, F.col("is_fraud").cast("string"), F.lit("0"))
+    q = lambda c: F.concat(F.lit("'"), c, F.lit("'"))
+    net = F.concat_ws(",", q(F.concat(F.lit("d\\'A, "), F.col("Source"))), q(F.col("Target")), q(F.col("Weight").cast("string")),
+                      q(F.col("typeTrans")), q(F.col("fraud").cast("string")))
+    t.select(pay.alias("value")).unionByName(n.select(net.alias("value"))).write.mode("overwrite").text(path)
+    return path
+
+
+_MARK = "case when tx_id % 3 = 0 then 'O' || chr(39) when tx_id % 3 = 1 then 'x' || chr(39) || 'y' || chr(39) else '' end"
+
+
+@query("router_apostrophes", with_(["ta", "net"], f"""
+select 'paysim' as layout, {_MARK} || account as account, counterparty || {_MARK} as counterparty, amount from ta
+union all
+select 'banksim_net', 'd' || chr(39) || 'A, ' || Source, Target, Weight from net"""))
+def router_apostrophes(spark, d):
+    tagged = dl.tag_records(dl.read_lines(spark, write_apostrophes(spark, d)), dl.default_layouts())
+    return tagged.filter(~F.col("malformed")).select(
+        "layout", F.coalesce("paysim.nameOrig", "banksim_net.Source").alias("account"),
+        F.coalesce("paysim.nameDest", "banksim_net.Target").alias("counterparty"),
+        F.coalesce("paysim.amount", "banksim_net.Weight").alias("amount"))
+
+
 # Sources named like header fields, and damaged records, per input file.
 _ODD_NET = """select case when line_id % 5 = 0 then 'step' when line_id % 7 = 0 then 'source' else Source end as Source,
        Target, Weight, typeTrans, fraud, line_id from net"""
@@ -263,8 +319,9 @@ def workload_row_counts(spark, d):
     outs = {"WL1_aggregation": wl.workload1([a, b]),
             "WL2_fraud": wl.workload2([a, b]),
             "WL3_join_window": wl.workload3(hourly=a, daily=b, edges=fx.net(spark, d))}
-    return wl.union_all([o.agg(F.count(F.lit(1)).alias("output_rows"))
-                         .select(F.lit(k).alias("workload"), "output_rows") for k, o in outs.items()])
+    # counted on a write of all columns: nothing of a workload is pruned away
+    counted = [(k, sinks.write_counted(o, scratch_path(spark, k), fmt="noop")) for k, o in outs.items()]
+    return spark.createDataFrame(counted, "workload string, output_rows long")
 
 
 # ------------------------------------------------------------ W2 and W3 over the delimited files

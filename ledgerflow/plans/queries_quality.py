@@ -178,6 +178,22 @@ def skyline_large_longs(spark, d):
     return skyline(t, ("t", "m"))
 
 
+@query("written_footprint", with_(["ta", "net"], """
+select 'ta_lines' as "table", count(distinct step % 7) as n_files, cast(16 * count(*) as bigint) as total_bytes,
+       16 * count(*) / 1048576.0::double as size_mb from ta where step is not null
+union all
+select 'net_lines', count(distinct line_id % 3), cast(16 * count(*) as bigint), 16 * count(*) / 1048576.0::double from net"""))
+def written_footprint(spark, d):
+    """Footprint of files that the query writes itself: lines of 16 bytes, one
+    file per value of a bucket."""
+    root = scratch_path(spark, "footprint")
+    t, n = fx.ta(spark, d).filter(F.col("step").isNotNull()), fx.net(spark, d)
+    for name, df, key, bucket in (("ta_lines", t, "tx_id", F.col("step") % 7), ("net_lines", n, "line_id", F.col("line_id") % 3)):
+        (df.select(F.lpad(F.col(key).cast("string"), 15, "0").alias("value"), bucket.alias("bucket")).repartition("bucket")
+         .write.partitionBy("bucket").text(f"{root}/{name}"))
+    return qa.footprint(spark, {x: f"{root}/{x}" for x in ("ta_lines", "net_lines")}, glob="*.txt")
+
+
 @query("source_footprint")
 def source_footprint(spark, d):
     return qa.footprint(spark, {t: f"{d.rstrip('/')}/{t}.parquet" for t in TABLES})

@@ -3,6 +3,12 @@ files exist, run a workload, write the result as delimited text with a
 header, return the row count (observed on the write itself - the plan runs
 once).
 
+Every source is read and parsed once, into ``<output>/ingest/<source>``: a
+Parquet table partitioned by outcome.  Its partition ``good`` feeds the
+workload (typed columns, so a workload that reads a source twice does not parse
+it twice); the other partitions are the quarantine, one per reason, with the
+raw lines.
+
 Fixed values: the source file names of the three inputs.
 """
 
@@ -27,20 +33,37 @@ def _path(data_dir: str, name: str) -> str:
     return data_dir.rstrip("/") + "/" + name
 
 
-def _sources(spark: SparkSession, data_dir: str):
-    """(PaySim frames, BankSim frames) for the files that exist."""
-    pay = dl.load_available_or_none(spark, [_path(data_dir, PAYSIM_FILE)], dl.read_paysim)
-    bank = dl.load_available_or_none(spark, [_path(data_dir, BANKSIM_FILE)], dl.read_banksim_tx)
-    return pay, bank
+# source -> file, layout, quote
+SOURCES = {"paysim": (PAYSIM_FILE, PAYSIM, '"'), "banksim_tx": (BANKSIM_FILE, BANKSIM_TX, "'"),
+           "banksim_net": (NETWORK_FILE, BANKSIM_NET, "'")}
+
+
+def ingest_sources(spark: SparkSession, data_dir: str, output_dir: str,
+                   names: tuple[str, ...] = tuple(SOURCES)) -> dict[str, dl.Ingested]:
+    """The named sources whose files exist, each parsed in one pass into typed
+    records and quarantined lines below ``output_dir``."""
+    out = {}
+    for name in names:
+        file, schema, quote = SOURCES[name]
+        found = dl.load_available_or_none(
+            spark, [_path(data_dir, file)],
+            lambda s, p: dl.ingest(s, p, schema, _path(output_dir, f"ingest/{name}"), quote))
+        out |= {name: x for x in found}
+    if not out:
+        raise dl.NoInput(f"no input data found in {data_dir}")
+    return out
+
+
+def _facts(sources: dict[str, dl.Ingested]):
+    layouts = {"paysim": PAYSIM_LAYOUT, "banksim_tx": BANKSIM_LAYOUT}
+    return [(sources[n].good, lay) for n, lay in layouts.items() if n in sources]
 
 
 def ingest_report(spark: SparkSession, data_dir: str):
     """(source, n_good, n_dropped, one count per reason) of every source file
     that exists: which records the workloads do not see."""
-    known = [("paysim", PAYSIM_FILE, PAYSIM, '"'), ("banksim_tx", BANKSIM_FILE, BANKSIM_TX, "'"),
-             ("banksim_net", NETWORK_FILE, BANKSIM_NET, "'")]
     parts = []
-    for name, file, schema, quote in known:
+    for name, (file, schema, quote) in SOURCES.items():
         def count(s, p, schema=schema, quote=quote):
             return dl.ingest_counts(s, p, schema, quote)
         parts += [c.select(F.lit(name).alias("source"), "*")
@@ -58,8 +81,7 @@ def _write(df, output_dir: str, name: str, files: int | None) -> int:
 def run_workload1(spark: SparkSession, data_dir: str, output_dir: str,
                   files: int | None = None) -> int:
     """Daily aggregation over every available source."""
-    pay, bank = _sources(spark, data_dir)
-    parts = [(df, PAYSIM_LAYOUT) for df in pay] + [(df, BANKSIM_LAYOUT) for df in bank]
+    parts = _facts(ingest_sources(spark, data_dir, output_dir, ("paysim", "banksim_tx")))
     return _write(wl.workload1(parts), output_dir, "workload1_aggregation", files)
 
 
@@ -67,8 +89,7 @@ def run_workload2(spark: SparkSession, data_dir: str, output_dir: str,
                   files: int | None = None, **kw) -> tuple[int, list[dict]]:
     """Fraud proxy over every available source; returns the row count and
     the precision/recall of each dataset, all observed on the one write."""
-    pay, bank = _sources(spark, data_dir)
-    parts = [(df, PAYSIM_LAYOUT) for df in pay] + [(df, BANKSIM_LAYOUT) for df in bank]
+    parts = _facts(ingest_sources(spark, data_dir, output_dir, ("paysim", "banksim_tx")))
     out, scores = wl.observed_scores(parts, **kw)
     n = _write(out, output_dir, "workload2_fraud", files)
     return n, scores()
@@ -78,13 +99,14 @@ def run_workload3(spark: SparkSession, data_dir: str, output_dir: str,
                   files: int | None = None, network_key: str = "Source") -> int:
     """Enrichment + trailing window: PaySim with its own counterparty
     dimension; BankSim only when both its transactions and network exist."""
-    pay, bank = _sources(spark, data_dir)
-    net = dl.load_available_or_none(spark, [_path(data_dir, NETWORK_FILE)], dl.read_banksim_net)
+    found = {n: x.good for n, x in ingest_sources(spark, data_dir, output_dir).items()}
     parts = []
-    for df in pay:
-        parts.append(wl.workload3(hourly=(df, PAYSIM_LAYOUT)))
-    if bank and net:
-        parts.append(wl.workload3(daily=(bank[0], BANKSIM_LAYOUT), edges=net[0],
+    if "paysim" in found:
+        parts.append(wl.workload3(hourly=(found["paysim"], PAYSIM_LAYOUT)))
+    if "banksim_tx" in found and "banksim_net" in found:
+        parts.append(wl.workload3(daily=(found["banksim_tx"], BANKSIM_LAYOUT), edges=found["banksim_net"],
                                   network_key=network_key))
+    if not parts:
+        raise dl.NoInput(f"{BANKSIM_FILE} and {NETWORK_FILE} go together")
     return _write(wl.union_all(parts), output_dir, "workload3_join_window", files)
 

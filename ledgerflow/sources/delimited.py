@@ -11,9 +11,10 @@ split by the text source, so large files are read in parallel splits.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.errors import AnalysisException
@@ -31,14 +32,23 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                         (F.col("_metadata.file_block_start") == 0).alias(HEAD))
 
 
-def split_fields(value: str = "value", quote: str | None = "'") -> F.Column:
-    """Fields of a delimited line.  With ``quote`` a comma inside a quoted
-    field does not split (a comma splits only when an even number of quote
-    characters follows it)."""
+def _field(quote: str | None) -> str:
+    """One field with the comma before it.  A quote opens a quoted field only
+    where the field starts (a backslash escapes), and the field ends with the
+    quote that a comma or the line's end follows; every other quote is a
+    character of its field.  Possessive, so linear in the line's length."""
     if not quote:
-        return F.split(F.col(value), ",")
-    q = "\\" + quote if quote in ".^$*+?()[]{}|\\" else quote
-    return F.split(F.col(value), f",(?=(?:[^{q}]*{q}[^{q}]*{q})*[^{q}]*$)")
+        return ",[^,]*"
+    q = "\\" + quote if quote in ".^$*+?()[]{}|\\-" else quote
+    inside = f"[^{q}\\\\]*+(?:\\\\.[^{q}\\\\]*+)*+"
+    return f",(?:{q}{inside}{q}(?=,|$)|[^,]*)"
+
+
+def split_fields(value: str = "value", quote: str | None = "'") -> F.Column:
+    """Fields of a delimited line, quotes and all.  A comma inside a quoted
+    field does not split."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), F.col(value)), F.lit(_field(quote)), F.lit(0))
+    return F.transform(found, lambda x: F.substring(x, F.lit(2), F.length(x)))
 
 
 def first_field(value: str = "value") -> F.Column:
@@ -137,6 +147,43 @@ def ingest_counts(spark: SparkSession, paths: str | list[str], schema: StructTyp
                       *[F.count_if(F.col("reason") == r).alias(r) for r in REASONS])
 
 
+@dataclass(frozen=True)
+class Ingested:
+    """What ``ingest`` wrote: the typed records, the quarantined lines (raw,
+    reason), and how many of each (``n_good``, ``n_dropped``, one per reason)."""
+    good: DataFrame
+    bad: DataFrame
+    counts: dict[str, int]
+
+
+def ingest(spark: SparkSession, paths: str | list[str], schema: StructType, out: str,
+           quote: str = '"') -> Ingested:
+    """Read and parse delimited text once, into a Parquet table at ``out``
+    that is partitioned by ``outcome``: ``good``, or why a line is malformed.
+    Both sides and the counts come from that one write (the counts are observed
+    on it); whoever reads the good side next reads typed columns, not text."""
+    lines = drop_headers(read_lines(spark, paths), [schema.fieldNames()])
+    tagged = with_reason(parse_lines(lines, schema, quote, keep_raw=True), schema, quote)
+    good = F.col("reason").isNull()
+    # the parsed record and the line go through a generator, as in split_malformed
+    row = F.struct(*[F.when(good, F.col(f"__r.{f.name}")).alias(f.name) for f in schema.fields],
+                   F.when(~good, F.col("value")).alias(RAW), F.coalesce("reason", F.lit(GOOD)).alias(OUTCOME))
+    rows = tagged.select(F.explode(F.array(row)).alias("__w")).select("__w.*")
+    obs = Observation()
+    names = {"n_good": F.col(OUTCOME) == GOOD, "n_dropped": F.col(OUTCOME) != GOOD,
+             **{r: F.col(OUTCOME) == r for r in REASONS}}
+    (rows.observe(obs, *[F.count_if(c).alias(n) for n, c in names.items()])
+     .write.mode("overwrite").partitionBy(OUTCOME).parquet(out))
+    whole = StructType([*schema.fields, StructField(RAW, StringType()), StructField(OUTCOME, StringType())])
+    written = spark.read.schema(whole).parquet(out)
+    return Ingested(written.filter(F.col(OUTCOME) == GOOD).select(*schema.fieldNames()),
+                    written.filter(F.col(OUTCOME) != GOOD).select(F.col(RAW).alias("raw"), F.col(OUTCOME).alias("reason")),
+                    {n: int(obs.get[n]) for n in names})
+
+
+RAW, OUTCOME, GOOD = "_raw", "outcome", "good"
+
+
 def read_paysim(spark, paths):
     from ..schemas import PAYSIM
     return read_typed(spark, paths, PAYSIM)
@@ -153,13 +200,9 @@ def read_banksim_net(spark, paths):
 
 
 def field_count(value: str = "value", quote: str | None = "'") -> F.Column:
-    """Number of fields, commas inside quoted fields not counted: quoted
-    segments are removed, then the remaining commas counted (linear time)."""
-    v = F.col(value)
-    if quote:
-        q = "\\" + quote if quote in ".^$*+?()[]{}|\\" else quote
-        v = F.regexp_replace(v, f"{q}[^{q}]*{q}", "")
-    return F.length(v) - F.length(F.regexp_replace(v, ",", "")) + 1
+    """Number of fields of a delimited line, as ``split_fields`` finds them:
+    an apostrophe inside a field (O'Neil) opens nothing."""
+    return F.regexp_count(F.concat(F.lit(","), F.col(value)), F.lit(_field(quote)))
 
 
 def tag_records(lines: DataFrame, layouts: list[tuple[str, StructType, F.Column]],

@@ -83,3 +83,55 @@ def test_velocity_count_with_hot_account(spark):
     a = win.velocity_count(df, "acct", "step")
     b = win.velocity_count_window(df, "acct", "step")
     assert rows(a, "rid", "hourly_tx_count") == rows(b, "rid", "hourly_tx_count")
+
+
+def _dense(spark, n, seed=3):
+    """Rows of two accounts (one of them NULL), most in the first, with
+    fractional steps, repeated steps, NULL steps and NULL amounts."""
+    import random
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        step = None if i % 97 == 0 else round(rng.random() * 90, 3) if i % 3 else float(rng.randrange(90))
+        out.append((i, None if i % 11 == 0 else "hot", step, None if i % 13 == 0 else round(rng.random() * 100, 2)))
+    return spark.createDataFrame(out, "id long, acct string, step double, amount double")
+
+
+@pytest.mark.parametrize("block, group", [(4, 2), (7, 64), (256, 64)])
+def test_split_account_equals_window(spark, monkeypatch, block, group):
+    monkeypatch.setattr(win, "HOT_STEPS", 10)
+    monkeypatch.setattr(win.split_rolling, "__defaults__", (block, group))
+    df = _dense(spark, 1500)
+    got = win.rolling(df, ["acct"], "step", "amount", order_type="double")
+    want = win.rolling(df, ["acct"], "step", "amount", order_type="double", method="window")
+    cols = ["id", "acct", "step", "amount", "rolling_24h_count", "rolling_24h_max", "s"]
+    a, b = (rows(x.withColumn("s", F.round("rolling_24h_sum", 6)), *cols) for x in (got, want))
+    assert a == b and len(a) == 1500
+
+
+def test_split_account_without_partition_columns_or_rows(spark, monkeypatch):
+    monkeypatch.setattr(win, "HOT_STEPS", 10)
+    df = _dense(spark, 400).withColumn("kind", F.col("id") % 2)
+    for keys in (["kind"], ["acct", "kind"]):
+        got = win.rolling(df, keys, "step", "amount", size=3, order_type="double", measures=("sum", "count", "max"))
+        want = win.rolling(df, keys, "step", "amount", size=3, order_type="double", method="window")
+        assert rows(got, "id", "rolling_24h_count", "rolling_24h_max") == rows(want, "id", "rolling_24h_count", "rolling_24h_max")
+    assert win.rolling(df.limit(0), ["acct"], "step", "amount", order_type="double").count() == 0
+
+
+def test_sums_of_a_split_account_do_not_cancel(spark, monkeypatch):
+    """A huge early amount leaves the precision of later frames alone."""
+    monkeypatch.setattr(win, "HOT_STEPS", 10)
+    df = spark.range(2000).selectExpr("'a' as acct", "id / 10.0D as step", "if(id = 0, 1e18D, 0.01D) as amount")
+    got = win.rolling(df, ["acct"], "step", "amount", size=5, order_type="double").filter("step > 10")
+    assert got.filter("abs(rolling_24h_sum - 0.01 * rolling_24h_count) > 1e-12").count() == 0 and got.count() > 1800
+
+
+def test_one_account_is_spread_over_tasks(spark):
+    """All rows in one account and one window length: no partition of the
+    block windows holds more than a few blocks."""
+    df = spark.range(60_000).selectExpr("'a' as acct", "id / 5000.0D as __ord", "1.0D as __s", "1L as __c", "1.0D as __m")
+    out = win.split_rolling(df, ["acct"], "__ord", 24)
+    assert out.filter("__c <> round(__ord * 5000) + 1").count() == 0
+    sizes = [r.n for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 1 and max(sizes) < 2 * sorted(sizes)[len(sizes) // 2] + 2000
