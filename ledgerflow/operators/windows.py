@@ -130,11 +130,15 @@ def rolling(df: DataFrame, partition: list[str], order: str, value: str,
         F.sum(value).alias("__s"), F.count(F.lit(1)).alias("__c"), F.max(value).alias("__m"))
 
     # 2. frames over time buckets; accounts too dense for one bucket by position
-    if isinstance(base.schema[ord_col].dataType, IntegralType):
+    bucket = F.floor(F.col(ord_col) / F.lit(width)).alias("__bucket")
+    many = F.count(F.lit(1)).alias("__n")
+    # one narrow job (row counts, added up before the shuffle) tells whether any
+    # account can be dense; most tables have none and keep the shorter plan
+    if (isinstance(base.schema[ord_col].dataType, IntegralType)
+            or base.groupBy(*partition, bucket).agg(many).filter(F.col("__n") > HOT_STEPS).isEmpty()):
         rolled = _halo_rolling(per_step, partition, ord_col, size, width)
     else:
-        bucket = F.floor(F.col(ord_col) / F.lit(width)).alias("__bucket")
-        dense = (per_step.groupBy(*partition, bucket).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > HOT_STEPS)
+        dense = (per_step.groupBy(*partition, bucket).agg(many).filter(F.col("__n") > HOT_STEPS)
                  .select(*partition).distinct().withColumn("__dense", F.lit(True)))
         tagged = join_back(per_step, dense, partition)
         rolled = (_halo_rolling(tagged.filter(F.col("__dense").isNull()), partition, ord_col, size, width)

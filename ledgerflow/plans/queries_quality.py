@@ -133,21 +133,18 @@ select coalesce(e.file, f.file) as file, coalesce(e."column", f."column") as "co
             else 'moved' end as status
   from e full outer join f on e.file = f.file and e."column" = f."column" """)
 def header_check_files(spark, d):
-    """Three files whose headers are made of the region table: as expected,
-    in reverse order, and with the first column renamed.  The data rows read
-    like headers on purpose."""
-    reg = fx.table(spark, d, "region")
+    """Three folders of files that hold all transactions below their headers:
+    the header as expected, in reverse order, and with the first column renamed
+    to a region's name.  Some data rows read like headers on purpose."""
     root = scratch_path(spark, "headers")
-    plain = F.concat(F.lit("r"), F.col("r_regionkey").cast("string"))
-    variants = {"good": (plain, F.col("r_regionkey")), "turned": (plain, 4 - F.col("r_regionkey")),
-                "renamed": (F.when(F.col("r_regionkey") == 0, F.col("r_name")).otherwise(plain), F.col("r_regionkey"))}
-    for name, (col, place) in variants.items():
-        head = reg.agg(F.array_sort(F.collect_list(F.struct(place.alias("p"), col.alias("c")))).alias("h"))
-        line = F.array_join(F.transform("h", lambda x: x["c"]), ",")
-        head.select(F.explode(F.array(line, F.lit("r4,r3,r2,r1,r0"), F.lit("step,1,2,3,4"))).alias("value")) \
-            .coalesce(1).write.text(f"{root}/{name}")
+    name = fx.table(spark, d, "region").where("r_regionkey = 0").select("r_name").first()[0]
+    odd = F.col("tx_id") % 5
+    rows = fx.ta(spark, d).select(*[F.when(odd == 0, F.lit(c)).otherwise(F.col("tx_id").cast("string")) for c in _GOOD])
+    variants = {"good": _GOOD, "turned": _GOOD[::-1], "renamed": [name, *_GOOD[1:]]}
+    for variant, names in variants.items():
+        rows.toDF(*names).write.option("header", True).csv(f"{root}/{variant}")
     got = qa.header_check(dl.read_lines(spark, [f"{root}/{v}" for v in variants]), _GOOD)
-    return got.withColumn("file", F.element_at(F.split("file", "/"), -2))
+    return got.withColumn("file", F.element_at(F.split("file", "/"), -2)).distinct()
 
 
 _TYPE_OR_NULL = "case when tx_id % 7 = 0 then null else \"type\" end"
