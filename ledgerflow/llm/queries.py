@@ -122,8 +122,8 @@ def toxicity_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> toxicit
 @query("op5_kneser_ney_toxicity")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    score = toxicity.score_column(spark, toxicity_model(docs, spark, sf_dir))
-    return (docs.select("doc_id", (F.pmod(crc_text("doc_id"), F.lit(3)) == 1).alias("held_out"), score.alias("score"))
+    return (toxicity.with_score(docs, toxicity_model(docs, spark, sf_dir))
+            .select("doc_id", (F.pmod(crc_text("doc_id"), F.lit(3)) == 1).alias("held_out"), "score")
             .withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int")))
 
 

@@ -1,8 +1,10 @@
 """Edge cases of the corpus operators on small tables: nulls, empty and long
 texts, ties, repeated rows, empty tables, clashing column names."""
 
+import math
 import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -221,12 +223,97 @@ def test_toxicity(spark):
     labels = spark.createDataFrame([(i, int(i >= 300)) for i in range(360)] + [(0, None), (None, 1), (1, 0)],
                                    "doc_id long, toxic int")
     model = toxicity.fit(df, labels, train=F.col("__id") % 3 != 1)
-    got = [r.s for r in df.select(toxicity.score_column(spark, model).alias("s"), "doc_id").orderBy("doc_id").collect()]
+    got = [r.s for r in toxicity.with_score(df, model, "s").orderBy("doc_id").collect()]
     assert max(got[:300]) < 0.7 and np.mean(np.array(got[300:360]) >= 0.7) > 0.95
     assert got[360] == got[361] == got[362] < 0.5
     assert toxicity.drop_toxic(df, model).columns == df.columns
     none = toxicity.fit(df, labels.limit(0))
-    assert df.select(toxicity.score_column(spark, none).alias("s")).agg(F.max("s")).first()[0] < 0.01
+    assert toxicity.with_score(df, none, "s").agg(F.max("s")).first()[0] < 0.01
+    assert toxicity.with_score(df.limit(0), model).count() == 0
+
+
+def toxic_evidence(texts, label, train):
+    """Both log-likelihoods of every text, in plain Python."""
+    def up(k):
+        return k + toxicity.SIGMAS * math.sqrt(k + 1)
+
+    token = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+             for t in texts]
+    ratio = {}
+    for order in (1, 2):
+        held, ctx = [Counter(), Counter()], [defaultdict(set), defaultdict(set)]
+        everywhere = defaultdict(set)
+        for i, w in enumerate(token):
+            c = label.get(i) if i in train else None
+            grams = [(tuple(w[j: j + order]), w[j - 1] if j else None) for j in range(len(w) - order + 1)]
+            for x, left in grams:
+                everywhere[x].add(left)
+                if c is not None:
+                    ctx[c][x].add(left)
+            if c is not None:
+                held[c].update({x for x, _ in grams})
+        mass = [sum(held[0].values()), sum(held[1].values())]
+        over = [{}, {}]
+        for x in held[0] | held[1]:
+            for c in (0, 1):
+                explained = up(toxicity.LIFT * mass[c] / mass[1 - c] * up(held[1 - c][x]))
+                over[c][x] = max(min(held[c][x], len(ctx[c][x])) - explained, 0)
+        shared = max(0.1, 1 - sum(sum(o.values()) for o in over) / sum(mass))
+        terms = sum(map(len, everywhere.values()))
+        for x in over[0]:
+            if over[0][x] + over[1][x] > 0:
+                back = shared * len(everywhere[x]) / terms
+                ratio[x] = math.log(over[1][x] / mass[1] + back) - math.log(over[0][x] / mass[0] + back)
+    out = []
+    for w in token:
+        z = sum(ratio[tuple(w[j - 1: j + 1])] if j and tuple(w[j - 1: j + 1]) in ratio else ratio.get((w[j],), 0.0)
+                for j in range(len(w)))
+        out.append(z / max(len(w), 1))
+    return out, ratio
+
+
+def test_toxicity_matches_both_likelihoods_in_plain_python(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(40)]
+    texts, label = [], {}
+    for i in range(300):
+        w = list(rng.choice(words, 30))
+        if i % 3 == 0:
+            w[7:7] = ["Vile", "w1"]
+        elif i % 2 == 0:
+            w[3:3] = ["kind", "w2", "w3"]
+        texts.append(" ".join(w))
+        label[i] = int(i % 3 == 0)
+    copies = ["copied passage " + texts[0]] * 30  # repeats of one passage are no evidence
+    label |= {300 + i: 1 for i in range(30)}
+    texts += copies + ["", None, "kind vile w1 w2 w3"]
+    df = docs(spark, texts)
+    labels = spark.createDataFrame(list(label.items()), "doc_id long, toxic int")
+    train = {i for i in label if i % 5}
+    want, ratio = toxic_evidence(texts, label, train)
+    assert any(r > 0 for r in ratio.values()) and any(r < 0 for r in ratio.values())  # both classes speak
+    assert {len(x) for x in ratio} == {1, 2}
+    monkeypatch.setattr(toxicity, "SKETCH", 1 << 16)  # exact normalisers
+    for block_rows in (2_000_000, max(1, len(ratio) // 3)):
+        monkeypatch.setattr(toxicity, "BLOCK_ROWS", block_rows)
+        model = toxicity.fit(df, labels, train=F.col("__id") % 5 != 0)
+        assert model.rows == len(ratio)
+        rows = toxicity.with_evidence(df, model, "z", F.col("text"), F.lit(-1)).orderBy("doc_id").collect()
+        assert np.allclose([r.z for r in rows], want, rtol=1e-9, atol=1e-12)
+
+
+def test_toxicity_finds_a_fixed_phrase_of_common_words(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(60)]
+    texts = [list(rng.choice(words, 50)) for _ in range(600)]
+    for i in range(0, 600, 6):
+        texts[i][20:20] = ["w1", "w2", "w3", "w4"]
+    df = docs(spark, [" ".join(t) for t in texts])
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(600)], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels, train=F.col("__id") % 5 != 0)
+    held = toxicity.with_score(df, model).where("doc_id % 5 = 0").collect()
+    assert np.mean([r.score >= 0.7 for r in held if r.doc_id % 6 == 0]) > 0.9
+    assert np.mean([r.score < 0.7 for r in held if r.doc_id % 6]) > 0.95
 
 
 # ------------------------------------------------------------ op6
