@@ -68,14 +68,28 @@ def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], n_rows: int, h
 
 def share(spark: SparkSession, model):
     """Broadcast a model's fields; returns a function that rebuilds it in a
-    task (the class travels by value, its fields as plain data)."""
+    task (the class travels by value, its fields as plain data).  Its ``drop``
+    gives the broadcast up, once nothing reads it any more."""
     fields, kind = spark.sparkContext.broadcast(model.__dict__), type(model)
 
     def get():
         out = object.__new__(kind)
         out.__dict__.update(fields.value)
         return out
-    return get
+    return Shared(get, fields)
+
+
+class Shared:
+    """A shared model: called, it is rebuilt."""
+
+    def __init__(self, get, fields):
+        self.get, self.fields = get, fields
+
+    def __call__(self):
+        return self.get()
+
+    def drop(self) -> None:
+        self.fields.destroy()
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -8,30 +8,40 @@ the index is built without a shuffle.
 
 A search sends the test windows to every segment in blocks of at most
 ``BLOCK_WORDS`` words (one pass per block, so the broadcast is bounded
-whatever the benchmark's size).  In a segment a window with a term that has
+whatever the benchmark's size; a block's hits are written and its broadcast
+given up before the next is sent).  In a segment a window with a term that has
 no postings is out; the others start from their rarest term's postings,
 shifted by the term's offset, and are intersected with the next rarest
 term's shifted postings, and so on.
 
+A proximity match is a window's terms in order, inside one document, with at
+most ``SLOP`` other words among them.  It is sought from every place of the
+rarest term: the terms after it at their first places, the terms before it at
+their last, which is the tightest match that holds that place.
+
 Defined cases: a null text has no words and is never hit; a test item without
 words has no window; an item with fewer words than the window is one window;
 a null item id marks words but is not listed; repeated items count once;
-repeated documents are rows of their own.
+repeated documents are rows of their own; an empty index gives no rows, an
+empty benchmark hits nothing; other columns, whatever their names, are ignored
+(``drop_contaminated`` keeps them).  A text is indexed whole in one segment, in
+some 60 bytes of memory a byte of text.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, share
+from .common import Scratch, cut, fresh, share
 from .text import Words, byte_class, word_slices
 
 WINDOW = 13
+SLOP = 2
 BLOCK_WORDS = 1_000_000
 SEGMENT = pa.schema([("segment", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("first", pa.binary()),
                      ("terms", pa.binary()), ("lists", pa.binary()), ("positions", pa.binary())])
@@ -46,6 +56,12 @@ class Segment:
     def __init__(self, first, terms, lists, positions):
         self.first, self.terms, self.lists, self.positions = first, terms, lists, positions
 
+    @cached_property
+    def flat(self) -> np.ndarray:
+        """All postings as one ascending array: term number * words + position."""
+        number = np.repeat(np.arange(len(self.terms), dtype=np.int64), np.diff(self.lists))
+        return number * int(self.first[-1]) + self.positions
+
     @classmethod
     def of(cls, w: Words) -> Segment:
         order = np.argsort(w.hash, kind="stable")
@@ -73,32 +89,33 @@ class Block:
         self.vocab = np.unique(hashes[used])
         self.term = np.where(used, np.searchsorted(self.vocab, hashes), -1)
 
-    def matches(self, seg: Segment) -> tuple[np.ndarray, np.ndarray]:
-        """(window, start) of every exact occurrence in the segment."""
-        none = np.zeros(0, np.int64)
-        n = int(seg.first[-1])
-        if not n or not len(self.term):
-            return none, none
+    def starts(self, seg: Segment):
+        """For the windows whose terms all have postings: their numbers, the
+        segment's number of each term (-1: past the end) and the offsets from
+        the rarest term to the commonest; then the rarest term's places, each
+        with its window's row among these."""
         at = np.minimum(np.searchsorted(seg.terms, self.vocab), len(seg.terms) - 1)
         there = seg.terms[at] == self.vocab
         used = self.term >= 0
         alive = np.flatnonzero((there[self.term] | ~used).all(axis=1))
-        if not len(alive):
-            return none, none
         term = np.where(used[alive], at[self.term[alive]], -1)
         size = np.where(term >= 0, np.diff(seg.lists)[term], np.iinfo(np.int32).max)
         by_rarity = np.argsort(size, axis=1, kind="stable")
-        # postings as one ascending array: term * n + position
-        flat = np.repeat(np.arange(len(seg.terms), dtype=np.int64), np.diff(seg.lists)) * n + seg.positions
         row = np.arange(len(alive))
-        rare = by_rarity[:, 0]
-        count = size[row, rare]
+        count = size[row, by_rarity[:, 0]]
         win = np.repeat(row, count)
         place = (np.arange(len(win)) - np.repeat(np.cumsum(count) - count, count)
-                 + np.repeat(seg.lists[term[row, rare]].astype(np.int64), count))
-        pos = seg.positions[place].astype(np.int64)
+                 + np.repeat(seg.lists[term[row, by_rarity[:, 0]]].astype(np.int64), count))
+        return alive, term, by_rarity, win, seg.positions[place].astype(np.int64)
+
+    def matches(self, seg: Segment) -> tuple[np.ndarray, np.ndarray]:
+        """(window, start) of every exact occurrence in the segment."""
+        n = int(seg.first[-1])
+        if not n or not len(self.term):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        alive, term, by_rarity, win, pos = self.starts(seg)
         doc = np.searchsorted(seg.first, pos, side="right") - 1
-        start = pos - rare[win]
+        start = pos - by_rarity[win, 0]
         ok = (start >= seg.first[doc]) & (start + self.length[alive][win] <= seg.first[doc + 1])
         win, start = win[ok], start[ok]
         for j in range(1, self.term.shape[1]):
@@ -107,40 +124,46 @@ class Block:
             off = by_rarity[win, j]
             t = term[win, off]
             want = t * n + start + off
-            hit = flat[np.minimum(np.searchsorted(flat, want), len(flat) - 1)] == want
+            hit = seg.flat[np.minimum(np.searchsorted(seg.flat, want), len(seg.flat) - 1)] == want
             keep = hit | (t < 0)
             win, start = win[keep], start[keep]
         return alive[win], start
 
     def near(self, seg: Segment, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, start, end): the window's terms in order, with at most
-        ``slop`` other words among them.  From every place of the first term
-        that has the rarest term in reach, each next term is taken at its
-        first place after the one before."""
-        out = [], [], []
+        """(window, start, end): the tightest proximity matches around the
+        places of each window's rarest term."""
         n = int(seg.first[-1])
-        if not n:
-            return tuple(np.zeros(0, np.int64) for _ in out)
-        at = np.minimum(np.searchsorted(seg.terms, self.vocab), len(seg.terms) - 1)
-        there = seg.terms[at] == self.vocab
-        for w in np.flatnonzero((there[self.term] | (self.term < 0)).all(axis=1)):
-            k = int(self.length[w])
-            lists = [seg.positions[seg.lists[t]: seg.lists[t + 1]].astype(np.int64)
-                     for t in at[self.term[w, :k]]]
-            start = lists[0]
-            rare = min(lists, key=len)
-            reach = np.searchsorted(rare, start + k + slop) - np.searchsorted(rare, start)
-            start = start[reach > 0]
-            end = start
-            for places in lists[1:]:
-                i = np.searchsorted(places, end, side="right")
-                ok = i < len(places)
-                start, end = start[ok], places[i[ok]]
-            stop = seg.first[np.searchsorted(seg.first, start, side="right")]
-            ok = (end - start + 1 <= k + slop) & (end < stop)
-            for column, x in zip(out, (np.full(int(ok.sum()), w), start[ok], end[ok] + 1)):
-                column.append(x)
-        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+        if not n or not len(self.term):
+            return tuple(np.zeros(0, np.int64) for _ in range(3))
+        alive, term, by_rarity, win, pos = self.starts(seg)
+        flat, size = seg.flat, self.term.shape[1]
+        lo, hi, left, right = pos, pos, by_rarity[win, 0], by_rarity[win, 0]
+        for _ in range(size - 1):  # one term to the right, while the window has one
+            on = np.flatnonzero(right + 1 < self.length[alive][win])
+            if not len(on):
+                break
+            t = term[win[on], right[on] + 1]
+            i = np.minimum(np.searchsorted(flat, t * n + hi[on], side="right"), len(flat) - 1)
+            to = flat[i] - t * n
+            hi, right = hi.copy(), right.copy()
+            found = (to > hi[on]) & (to < n)
+            hi[on], right[on] = np.where(found, to, hi[on] + n), right[on] + 1
+            ok = hi - lo - (right - left) <= slop
+            win, lo, hi, left, right = (x[ok] for x in (win, lo, hi, left, right))
+        for _ in range(size - 1):  # then to the left
+            on = np.flatnonzero(left > 0)
+            if not len(on):
+                break
+            t = term[win[on], left[on] - 1]
+            i = np.searchsorted(flat, t * n + lo[on]) - 1
+            to = flat[np.maximum(i, 0)] - t * n
+            lo, left = lo.copy(), left.copy()
+            found = (i >= 0) & (to >= 0)
+            lo[on], left[on] = np.where(found, to, lo[on] - n), left[on] - 1
+            ok = hi - lo - (right - left) <= slop
+            win, lo, hi, left, right = (x[ok] for x in (win, lo, hi, left, right))
+        ok = hi < seg.first[np.searchsorted(seg.first, lo, side="right")]
+        return alive[win[ok]], lo[ok], hi[ok] + 1
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,12 +232,33 @@ def covered(seg: Segment, block: Block):
     s, e = np.flatnonzero(head), np.flatnonzero(tail) + 1
     bounds = np.searchsorted(s, seg.first)
     base = seg.first[np.searchsorted(seg.first, s, side="right") - 1] if len(s) else s
+    return s - base, e - base, bounds, listed(seg, block, win, start)
+
+
+def listed(seg: Segment, block: Block, win, start) -> list[list[str]]:
+    """Per document of the segment: the sorted items of the windows found."""
     doc = np.searchsorted(seg.first, start, side="right") - 1
-    items: dict[int, set] = {}
+    items: list[set] = [set() for _ in range(len(seg.first) - 1)]
     for d, i in zip(doc.tolist(), block.owner[win].tolist()):
         if block.items[i] is not None:
-            items.setdefault(d, set()).add(block.items[i])
-    return s - base, e - base, bounds, items
+            items[d].add(block.items[i])
+    return [sorted(x) for x in items]
+
+
+def each_block(spark, parts, found) -> list[DataFrame]:
+    """``found`` of every block (given as a function that returns it in a
+    task).  Of several, each frame is written and the block's broadcast given
+    up before the next block is sent."""
+    block, after = next(parts), next(parts, None)
+    if after is None:
+        return [found(share(spark, block))]
+    work, out = Scratch(spark), []
+    while block is not None:
+        get = share(spark, block)
+        out.append(work.keep(found(get), f"block{len(out)}"))
+        get.drop()
+        block, after = after, next(parts, None)
+    return out
 
 
 RUNS = ("array<struct<s:long,e:long>>", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))
@@ -226,9 +270,10 @@ def _runs_array(s, e, bounds):
         pa.StructArray.from_arrays([pa.array(s, pa.int64()), pa.array(e, pa.int64())], names=["s", "e"]))
 
 
-def _searcher(shared):
+def _searcher(shared, slop):
+    names = pa.list_(pa.string())
     schema = pa.schema([("segment", pa.int64()), ("ord", pa.int64()), ("doc_id", pa.int64()),
-                        ("n_words", pa.int64()), ("runs", RUNS[1]), ("items", pa.list_(pa.string()))])
+                        ("n_words", pa.int64()), ("runs", RUNS[1]), ("items", names), ("near", names)])
 
     def run(batches):
         block = shared()
@@ -239,12 +284,12 @@ def _searcher(shared):
                                  ("positions", np.int32))])
                 n = len(row["doc_ids"])
                 s, e, bounds, items = covered(seg, block)
+                near = listed(seg, block, *block.near(seg, slop)[:2])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, row["segment"])), pa.array(np.arange(n)),
                      pa.array(row["doc_ids"], pa.int64()), pa.array(np.diff(seg.first)),
                      _runs_array(s, e, bounds),
-                     pa.array([sorted(items.get(i, ())) for i in range(n)], pa.list_(pa.string()))],
-                    schema=schema)
+                     pa.array(items, names), pa.array(near, names)], schema=schema)
     return run
 
 
@@ -257,33 +302,35 @@ def _hit_words(runs: Column) -> Column:
 
 
 def _judged(found: DataFrame) -> DataFrame:
-    items = F.array_sort("items")
+    items, near = F.array_sort("items"), F.array_sort("near")
     n_hit = _hit_words(F.col("runs"))
     return (found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
-                         items.alias("items"), "runs")
+                         items.alias("items"), near.alias("near"), "runs")
             .withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words")))
 
 
 def search(index: DataFrame, tests: DataFrame, id_col: str = "item_id", text_col: str = "text",
-           window: int = WINDOW) -> DataFrame:
+           window: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """Per document of the index: n_words, n_hit (words inside an occurrence
-    of a test window), n_items, items, runs (word spans hit), contaminated
-    (at least one hit, and hits are 5 % of the words or more)."""
-    found = [index.mapInArrow(_searcher(share(index.sparkSession, b)),
-                              f"segment long, ord long, doc_id long, n_words long, runs {RUNS[0]}, items array<string>")
-             for b in blocks(tests, id_col, text_col, window)]
+    of a test window), n_items, items, near (items with a proximity match,
+    those with an exact one too), runs (word spans hit), contaminated (at least
+    one hit, and hits are 5 % of the words or more)."""
+    ddl = ("segment long, ord long, doc_id long, n_words long, "
+           f"runs {RUNS[0]}, items array<string>, near array<string>")
+    found = each_block(index.sparkSession, blocks(tests, id_col, text_col, window),
+                       lambda get: index.mapInArrow(_searcher(get, slop), ddl))
     if len(found) > 1:
         found = [reduce(DataFrame.union, found).groupBy("segment", "ord").agg(
             F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
             F.flatten(F.collect_list("runs")).alias("runs"),
-            F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))]
+            *[F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("items", "near")])]
     return _judged(found[0])
 
 
 def proximity(index: DataFrame, tests: DataFrame, slop: int, id_col: str = "item_id",
               text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """Occurrences (doc_id, item, start, end: word places in the document) of
-    a window's terms in order with at most ``slop`` other words among them."""
+    """Proximity matches (doc_id, item, start, end: word places in the
+    document), the tightest around each place of a window's rarest term."""
     schema = pa.schema([("doc_id", pa.int64()), ("item", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def finder(shared):
@@ -303,47 +350,54 @@ def proximity(index: DataFrame, tests: DataFrame, slop: int, id_col: str = "item
                         schema=schema)
         return run
 
-    return reduce(DataFrame.union, [
-        index.mapInArrow(finder(share(index.sparkSession, b)), "doc_id long, item string, start long, end long")
-        for b in blocks(tests, id_col, text_col, window)]).distinct()
+    return reduce(DataFrame.union, each_block(
+        index.sparkSession, blocks(tests, id_col, text_col, window),
+        lambda get: index.mapInArrow(finder(get), "doc_id long, item string, start long, end long"))).distinct()
 
 
-def hit_runs(docs: DataFrame, tests: DataFrame, text_col: str = "text", id_col: str = "item_id",
-             test_col: str = "text", window: int = WINDOW) -> Column:
-    """A column of ``docs``: struct(n_words, n_hit) of its text, by segments
-    that are built and searched in one step (no shuffle, nothing written)."""
+def hit_runs(shared, text: Column) -> Column:
+    """struct(n_words, runs) of a text column for one block, by segments that
+    are built and searched in one step (no shuffle, no index written)."""
     table = byte_class("alnum")
 
-    def column(shared):
-        @F.arrow_udf(f"struct<n_words:long,runs:{RUNS[0]}>")
-        def run(texts: pa.Array) -> pa.Array:
-            counts, runs, block = [], [], shared()
-            for _, _, w in word_slices(texts, table):
-                seg = Segment.of(w)
-                s, e, bounds, _ = covered(seg, block)
-                counts.append(w.counts)
-                runs.append(_runs_array(s, e, bounds))
-            return pa.StructArray.from_arrays(
-                [pa.array(np.concatenate(counts) if counts else [], pa.int64()),
-                 pa.concat_arrays(runs) if runs else pa.array([], RUNS[1])], names=["n_words", "runs"])
-        return run(F.col(text_col).cast("string"))
-
-    parts = [column(share(docs.sparkSession, b)) for b in blocks(tests, id_col, test_col, window)]
-    return F.struct(parts[0]["n_words"].alias("n_words"),
-                    _hit_words(F.flatten(F.array(*[p["runs"] for p in parts]))).alias("n_hit"))
+    @F.arrow_udf(f"struct<n_words:long,runs:{RUNS[0]}>")
+    def run(texts: pa.Array) -> pa.Array:
+        counts, runs, block = [], [], shared()
+        for _, _, w in word_slices(texts, table):
+            s, e, bounds, _ = covered(Segment.of(w), block)
+            counts.append(w.counts)
+            runs.append(_runs_array(s, e, bounds))
+        return pa.StructArray.from_arrays(
+            [pa.array(np.concatenate(counts) if counts else [], pa.int64()),
+             pa.concat_arrays(runs) if runs else pa.array([], RUNS[1])], names=["n_words", "runs"])
+    return run(text.cast("string"))
 
 
 def drop_contaminated(docs: DataFrame, tests: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without the contaminated ones; all columns as they were."""
-    mark, = fresh(docs, "__hit")
-    return (docs.withColumn(mark, hit_runs(docs, tests, text_col))
-            .where(~((F.col(mark)["n_hit"] > 0) & (20 * F.col(mark)["n_hit"] >= F.col(mark)["n_words"])))
-            .drop(mark))
+    """``docs`` without the contaminated ones; all columns as they were.  Each
+    block adds its hit runs to the rows; of several blocks, each pass is
+    written."""
+    mark, runs = fresh(docs, "__hit", "__runs")
+    spark, parts = docs.sparkSession, blocks(tests)
+    block, after = next(parts), next(parts, None)
+    work = Scratch(spark) if after is not None else None
+    rows, turn = docs.withColumn(runs, F.array().cast(RUNS[0])), 0
+    while block is not None:
+        get = share(spark, block)
+        rows = (rows.withColumn(mark, hit_runs(get, F.col(text_col)))
+                .withColumn(runs, F.concat(runs, F.col(mark)["runs"])))
+        if work:
+            rows, turn = work.keep(rows, f"rows{turn % 2}"), turn + 1
+            get.drop()
+        block, after = after, next(parts, None)
+    n_hit, n = _hit_words(F.col(runs)), F.col(mark)["n_words"]
+    return rows.where(~((n_hit > 0) & (20 * n_hit >= n))).drop(mark, runs)
 
 
 def digest(docs: DataFrame, tests: DataFrame) -> DataFrame:
-    """The report of ``search`` over a stored index, with the items as a digest."""
+    """The report of ``search`` over a stored index, with the items as digests."""
     found = search(cut(build_index(docs)), tests)
     return found.select("doc_id", "n_words", "n_hit", "n_items",
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-                        "contaminated")
+                        "contaminated", F.size("near").cast("long").alias("n_near"),
+                        F.sha2(F.array_join("near", ",").cast("binary"), 256).alias("near_sha256"))

@@ -174,7 +174,7 @@ def words_sql(text: str) -> str:
 
 
 OP9_SQL = f"""
-with d as (select row_number() over () as row_no, doc_id, {words_sql('text')} as w from documents),
+with recursive d as (select row_number() over () as row_no, doc_id, {words_sql('text')} as w from documents),
 b as (select item_id, w, least(13, len(w)) as l from
         (select distinct item_id, {words_sql('text')} as w from benchmark) where len(w) > 0),
 win as (select distinct item_id, l, unnest(list_transform(range(1, len(w) - l + 2),
@@ -184,11 +184,23 @@ hit as (select a.row_no, a.s, a.l, win.item_id from grams a join win
           on a.l = win.l and array_to_string(a.w[a.s:a.s + a.l - 1], ' ') = win.g),
 pos as (select row_no, count(distinct p) as n_hit from
           (select row_no, unnest(range(s, s + l)) as p from hit) group by row_no),
-items as (select row_no, list_sort(list(distinct item_id::varchar)) as ids from hit where item_id is not null group by row_no)
+items as (select row_no, list_sort(list(distinct item_id::varchar)) as ids from hit where item_id is not null group by row_no),
+word as materialized (select row_no, unnest(w) as t, unnest(range(1, len(w) + 1)) as p from d),
+term as materialized (select g, l, unnest(string_split(g, ' ')) as t, unnest(range(1, l + 1)) as k
+                        from (select distinct g, l from win where item_id is not null)),
+part as (select row_no, g, l, 1::bigint as k, p, 0::bigint as others from term join word using (t) where k = 1
+         union
+         select part.row_no, part.g, part.l, term.k, word.p, others + gap
+           from part cross join range(0, 3) as gaps(gap) join term on term.g = part.g and term.k = part.k + 1
+           join word on word.row_no = part.row_no and word.p = part.p + 1 + gap and word.t = term.t
+          where others + gap <= 2),
+near as (select row_no, list_sort(list(distinct item_id::varchar)) as near_ids
+           from part join win using (g, l) where k = l and item_id is not null group by row_no)
 select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit,
        coalesce(len(ids), 0)::bigint as n_items, sha256(coalesce(array_to_string(ids, ','), '')) as items_sha256,
-       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated
-from d left join pos using (row_no) left join items using (row_no)
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated,
+       coalesce(len(near_ids), 0)::bigint as n_near, sha256(coalesce(array_to_string(near_ids, ','), '')) as near_sha256
+from d left join pos using (row_no) left join items using (row_no) left join near using (row_no)
 """
 
 

@@ -553,6 +553,21 @@ def brute_hits(doc, items, window=13):
     return len(w), len(hit), sorted(found)
 
 
+def near_item(doc, item, window=13, slop=2):
+    """A window's words in order in the document, ``slop`` others among them
+    at most: all ways to place them, word by word."""
+    w, b = (words_of(t or "", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+") for t in (doc, item))
+    k = min(window, len(b))
+    for s in range(len(b) - k + 1 if k else 0):
+        ways = {(p, 0) for p, x in enumerate(w) if x == b[s]}
+        for term in b[s + 1: s + k]:
+            ways = {(p + 1 + g, o + g) for p, o in ways for g in range(slop - o + 1)
+                    if p + 1 + g < len(w) and w[p + 1 + g] == term}
+        if ways:
+            return True
+    return False
+
+
 @pytest.mark.parametrize("block_words", [1_000_000, 20])
 def test_decontamination_matches_brute_force(spark, monkeypatch, block_words):
     rng = np.random.default_rng(4)
@@ -561,6 +576,9 @@ def test_decontamination_matches_brute_force(spark, monkeypatch, block_words):
              (5, "solo"), (10, None), (7, " ".join(["k1"] * 20))]
     texts = list(AWKWARD) + [" ".join(rng.choice(words, 80)) for _ in range(20)]
     texts += [PROSE + " " + items[0][1][5:] + " " + PROSE, "A short item, SOLO.", items[0][1], "k1 " * 40]
+    loose = items[0][1].split()[3:16]
+    texts += [" ".join(loose[:4] + ["zz"] * a + loose[4:9] + ["k3"] * b + loose[9:]) for a, b in ((1, 1), (2, 0), (2, 1), (0, 3))]
+    texts += ["short y item", "short x y z item", "item short"]
     df = docs(spark, texts).union(awkward(spark).where("doc_id is null"))
     tests = spark.createDataFrame(items, "item_id long, text string").withColumn("n_hit", F.lit(0))
     full = decontam.blocks
@@ -569,7 +587,10 @@ def test_decontamination_matches_brute_force(spark, monkeypatch, block_words):
     got = decontam.search(index, tests).collect()
     assert len(got) == df.count()
     by_id = {r.doc_id: r.text for r in df.collect()}
+    near = [(i, t) for i, t in items if i is not None]
     for r in got:
+        if r.doc_id is not None:
+            assert r.near == sorted({str(i) for i, t in near if near_item(by_id[r.doc_id], t)}), r.doc_id
         n, hit, found = brute_hits(by_id[r.doc_id], items)
         if r.doc_id is not None:
             assert (r.n_words, r.n_hit, r.items) == (n, hit, found)
