@@ -4,14 +4,17 @@ only).
 1. Seeds: e-mail addresses, IPv4 addresses, card numbers (Luhn) and phone
    numbers found by patterns in the whole text; their spans always stay.
 2. Slots: every token that holds a digit or ``@`` after a word that holds
-   neither.  The word before is the slot's lexical pattern, the token (or the
-   seed that it belongs to) its instance.
-3. The pattern-instance graph is scored in rounds.  A pattern's confidence for
-   a kind is the mean score of its distinct instances for the kind (seeds
-   have score 1), if at least ``SUPPORT`` of them are seeds of the kind; an
-   unknown instance scores the noisy-or of its patterns.
+   neither.  A slot's lexical patterns are the word before it, the word after
+   it (if that holds neither, too) and both; the token (or the seed that it
+   belongs to) is its instance.
+3. The pattern-instance graph is scored in rounds.  A pattern is induced for a
+   kind by at least ``SUPPORT`` distinct instances that are seeds of the kind
+   or that the rounds before accepted; its confidence is the mean score of its
+   distinct instances for the kind (seeds have score 1), and it counts above
+   ``TRUST``.  An unknown instance scores the noisy-or of its patterns.
 4. Unknown instances whose score for a kind reaches ``ACCEPT`` and that look
-   like an identifier become spans of that kind.
+   like an identifier are accepted: they induce further patterns in the next
+   round, and after the last become spans of their best kind.
 
 Edges are aggregated per (pattern, instance) before they are joined, so a
 common word or a repeated passage counts each of its instances once and no
@@ -21,7 +24,11 @@ The patterns are written with possessive quantifiers and look-behinds that
 keep matches the same but make matching linear in the text.
 
 Defined cases: a null text is empty; repeated rows are reported each; a null
-doc_id is reported like any other; without seeds nothing is induced.
+doc_id is reported like any other; without seeds nothing is induced; an empty
+table gives no rows; kinds may overlap, and a slot that any seed overlaps gets
+no further span; equal scores go to the kind listed first; other columns,
+whatever their names, are ignored.  A text is scanned whole in one task; its
+matches are put in place in runs of ``RUN``, so time grows with their number.
 """
 
 from __future__ import annotations
@@ -42,22 +49,47 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 SLOT = r"(?<!\S)[^\s0-9@]++\s++(?=[^\s0-9@]*+[0-9@])\S++"
-SUPPORT, ACCEPT, ROUNDS = 20, 0.9, 3
+SUPPORT, TRUST, ACCEPT, ROUNDS = 20, 0.5, 0.9, 3
+RUN = 256
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def found(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, match>> of all matches, in code points."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
-    walked = F.aggregate(F.arrays_zip(hits.alias("m"), between.alias("b")), zero, lambda acc, x: F.when(
-        x["m"].isNull(), acc).otherwise(F.struct(
-            (acc["at"] + F.length(x["b"]) + F.length(x["m"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct(
-                (acc["at"] + F.length(x["b"])).alias("start"),
-                (acc["at"] + F.length(x["b"]) + F.length(x["m"])).alias("end"), x["m"].alias("match")))).alias("out"))))
-    return F.when(F.size(hits) > 0, walked["out"]).otherwise(
-        F.array().cast("array<struct<start:int,end:int,match:string>>"))
+    """array<struct<start, end, match, next>> of all matches, in code points;
+    ``next`` is what follows up to the end of the next match."""
+    kind = "array<struct<start:int,end:int,match:string,next:string>>"
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["b"])
+        end = start + F.length(x["m"])
+        return F.when(x["m"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(
+            start.alias("start"), end.alias("end"), x["m"].alias("match"),
+            F.concat_ws("", x["after"], x["then"]).alias("next")))).alias("out")))
+
+    def run(pairs: Column, i: Column) -> Column:
+        """A run's matches, counted from the end of the run before."""
+        return F.aggregate(F.slice(pairs, i * RUN + 1, F.lit(RUN)), zero, step)
+
+    def join(acc: Column, one: Column) -> Column:
+        moved = F.transform(one["out"], lambda x: F.struct(
+            (x["start"] + acc["at"]).alias("start"), (x["end"] + acc["at"]).alias("end"), x["match"].alias("match"),
+            x["next"].alias("next")))
+        return F.struct((acc["at"] + one["at"]).alias("at"), F.concat(acc["out"], moved).alias("out"))
+
+    def placed(hits: Column, between: Column) -> Column:
+        pairs = F.arrays_zip(hits.alias("m"), between.alias("b"), F.slice(between, F.lit(2), F.size(between)).alias("after"),
+                             F.slice(hits, F.lit(2), F.size(hits)).alias("then"))
+        return let(pairs, lambda z: F.aggregate(F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(z) - 1) / RUN).cast("int")), lambda i: run(z, i)), zero, join)["out"])
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda hits: F.when(
+        F.size(hits) > 0, let(F.split(text, pattern, -1), lambda between: placed(hits, between)))
+        .otherwise(F.array().cast(kind)))
 
 
 def digits(c: Column) -> Column:
@@ -96,10 +128,11 @@ def seeds(text: Column) -> Column:
 
 
 def slots(text: Column) -> Column:
-    """array<struct<start, end, word, token>> of the slots."""
+    """array<struct<start, end, word, after, token>> of the slots."""
     return F.transform(found(text, SLOT), lambda x: F.struct(
         (x["end"] - F.length(F.regexp_extract(x["match"], r"(\S+)$", 1))).alias("start"), x["end"].alias("end"),
         F.lower(F.regexp_extract(x["match"], r"^(\S+)", 1)).alias("word"),
+        F.lower(F.regexp_extract(x["next"], r"^\s++([^\s0-9@]++)(?!\S)", 1)).alias("after"),
         F.regexp_extract(x["match"], r"(\S+)$", 1).alias("token")))
 
 
@@ -109,25 +142,32 @@ def spell(spans: Column) -> Column:
         ":", F.element_at(F.array(*[F.lit(k) for k in KINDS]), s["rank"] + 1), s["start"], s["end"])), ",")
 
 
+def identifier(c: Column) -> Column:
+    """The token looks like one: six digits or more, or a name at a host."""
+    return (F.length(digits(c)) >= 6) | c.rlike(r"^[^@]+@[^@]+$")
+
+
 def induce(edges: DataFrame, support: int = SUPPORT, accept: float = ACCEPT, rounds: int = ROUNDS) -> DataFrame:
     """(instance, rank): unknown instances accepted as a kind.  ``edges``:
-    distinct (word, instance, rank), rank null for unknown instances."""
-    size = edges.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    known = edges.where("rank is not null").groupBy("word", "rank").agg(F.count(F.lit(1)).alias("k"))
-    able = cut(known.where(F.col("k") >= support).join(size, "word"))  # patterns with enough seeds
-    unknown = cut(edges.where("rank is null").select("word", "instance"))
+    distinct (pattern, instance, rank), rank null for unknown instances."""
+    size = cut(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support))
+    seeded = cut(edges.where("rank is not null").groupBy("pattern", "rank").agg(F.count(F.lit(1)).alias("sure"))
+                 .withColumn("mass", F.col("sure").cast("double")))
+    unknown = cut(edges.where("rank is null").select("pattern", "instance").join(size.select("pattern"), "pattern"))
     scores = None
     for _ in range(rounds):
-        patterns = able.select("word", "rank", "n", F.col("k").cast("double").alias("mass"))
+        patterns = seeded
         if scores is not None:
-            more = (unknown.join(scores, "instance").groupBy("word", "rank").agg(F.sum("score").alias("more")))
-            patterns = patterns.join(more, ["word", "rank"], "left").withColumn(
-                "mass", F.col("mass") + F.coalesce("more", F.lit(0.0))).drop("more")
-        trust = patterns.select("word", "rank", (F.col("mass") / F.col("n")).alias("trust")).where("trust > 0.5")
-        scores = cut(unknown.join(trust, "word").groupBy("instance", "rank")
-                     .agg((1 - F.exp(F.sum(F.ln(F.greatest(1 - F.col("trust"), F.lit(1e-6)))))).alias("score")))
-    looks = (F.length(digits(F.col("instance"))) >= 6) | F.col("instance").rlike(r"^[^@]+@[^@]+$")
-    return (scores.where((F.col("score") >= accept) & looks)
+            more = unknown.join(scores, "instance").groupBy("pattern", "rank").agg(
+                F.sum(F.col("taken").cast("long")).alias("sure"), F.sum("score").alias("mass"))
+            patterns = seeded.unionByName(more).groupBy("pattern", "rank").agg(
+                F.sum("sure").alias("sure"), F.sum("mass").alias("mass"))
+        trust = (patterns.where(F.col("sure") >= support).join(size, "pattern")
+                 .select("pattern", "rank", (F.col("mass") / F.col("n")).alias("trust")).where(F.col("trust") > TRUST))
+        score = 1 - F.exp(F.sum(F.ln(F.greatest(1 - F.col("trust"), F.lit(1e-6)))))
+        scores = cut(unknown.join(trust, "pattern").groupBy("instance", "rank").agg(score.alias("score"))
+                     .withColumn("taken", (F.col("score") >= accept) & identifier(F.col("instance"))))
+    return (scores.where("taken")
             .groupBy("instance").agg(F.max(F.struct("score", (-F.col("rank")).alias("rank"))).alias("best"))
             .select("instance", (-F.col("best.rank")).alias("rank")))
 
@@ -142,9 +182,12 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sup
     at = base.select("row", "seeds", F.explode("slots").alias("s"))
     owner = F.filter("seeds", lambda x: (x["start"] < F.col("s.end")) & (x["end"] > F.col("s.start")))
     at = at.withColumn("owner", F.get(owner, F.lit(0))).select(
-        "row", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.word").alias("word"),
+        "row", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "s.word", "s.after",
         F.coalesce("owner.match", "s.token").alias("instance"), F.col("owner.rank").alias("rank"))
-    edges = cut(at.groupBy("word", "instance").agg(F.max("rank").alias("rank")))
+    word, after = F.col("word"), F.when(F.col("after") != "", F.col("after"))
+    contexts = F.array(F.concat(word, F.lit(" _")), F.concat(F.lit("_ "), after), F.concat(word, F.lit(" _ "), after))
+    edges = cut(at.select(F.explode(F.array_compact(contexts)).alias("pattern"), "instance", "rank")
+                .groupBy("pattern", "instance").agg(F.max("rank").alias("rank")))
     new = induce(edges, support, accept).withColumnRenamed("rank", "new_rank")
     more = (at.where("rank is null").select("row", "start", "end", "instance").join(new, "instance")
             .groupBy("row").agg(F.collect_list(F.struct(

@@ -536,6 +536,79 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert all(got[i] == base_spans(s) for i, s in enumerate(seeds))
 
 
+def test_accepted_instances_induce_further_patterns(spark):
+    """The first round accepts the names after "mail"; they induce "write to"
+    and "via" patterns, which find what no seed stands beside."""
+    names = [f"{chr(97 + i)}lee@intranet" for i in range(26)]
+    texts = [f"please mail u{i}@host{i}.org today" for i in range(40)]
+    texts += [f"please mail {n} today" for n in names] + [f"write to {n} soon" for n in names]
+    texts += ["write to boss@hq soon", "go to office 12", "write to 77 soon", None, ""]
+    got = {r.doc_id: r.spans for r in pii.report(docs(spark, texts)).collect()}
+    assert all(got[40 + i] == f"email:12:{12 + len(n)}" for i, n in enumerate(names))
+    assert all(got[66 + i] == f"email:9:{9 + len(n)}" for i, n in enumerate(names))
+    assert got[92] == "email:9:16"
+    assert [got[i] for i in range(93, 97)] == [""] * 4
+    once = pii.extract(docs(spark, texts), support=200).collect()
+    assert all(len(r.spans) == len(r.seeds) for r in once)
+
+
+def brute_induce(edges, support, accept, rounds):
+    of, scores = {}, {}
+    for p, i, r in edges:
+        of.setdefault(p, []).append((i, r))
+    for _ in range(rounds):
+        trust = {}
+        for p, inst in of.items():
+            for k in range(4):
+                known = [1.0 for _, r in inst if r == k]
+                met = [scores[i, k] for i, r in inst if r is None and (i, k) in scores]
+                sure = len(known) + sum(s >= accept and looks(i) for i, s in (
+                    (i, scores[i, k]) for i, r in inst if r is None and (i, k) in scores))
+                if sure >= support and (sum(known) + sum(met)) / len(inst) > pii.TRUST:
+                    trust[p, k] = (sum(known) + sum(met)) / len(inst)
+        miss = {}
+        for p, i, r in edges:
+            for k in range(4):
+                if r is None and (p, k) in trust:
+                    miss[i, k] = miss.get((i, k), 1.0) * max(1 - trust[p, k], 1e-6)
+        scores = {x: 1 - m for x, m in miss.items()}
+    best = {}
+    for (i, k), sc in sorted(scores.items(), key=lambda x: x[0][1]):
+        if sc >= accept and looks(i) and sc > best.get(i, (0, 0))[0]:
+            best[i] = sc, k
+    return {i: k for i, (_, k) in best.items()}
+
+
+def looks(token):
+    return sum(c in "0123456789" for c in token) >= 6 or bool(re.fullmatch("[^@]+@[^@]+", token))
+
+
+def test_induction_matches_brute_force(spark):
+    rng = np.random.default_rng(1)
+    kind = {i: (int(rng.integers(0, 2)) if rng.random() < 0.6 else None) for i in range(120)}
+    edges = sorted({(f"p{int(p)}", i) for i in kind for p in rng.choice(14, 4)
+                    if kind[i] is None or (int(p) + kind[i]) % 2 or rng.random() < 0.1})
+    rows = [(p, f"x{i}@y" if i % 5 else f"v{i}", kind[i]) for p, i in edges]
+    table, sizes = spark.createDataFrame(rows, "pattern string, instance string, rank int"), []
+    for rounds in (1, 2, 4):
+        want = brute_induce(rows, 8, 0.8, rounds)
+        got = pii.induce(table, 8, 0.8, rounds).collect()
+        assert {r.instance: r["rank"] for r in got} == want and len(got) == len(want)
+        sizes.append(len(want))
+    assert 0 < sizes[0] < sizes[1] < sizes[2]
+
+
+def test_places_of_many_matches(spark):
+    """Matches in runs: places on both sides of a run's end, and a text of
+    many slots."""
+    for n in (pii.RUN - 1, pii.RUN, pii.RUN + 1, 3 * pii.RUN, 20_000):
+        text = " ".join(f"é😀 {i}a" for i in range(n))
+        got = docs(spark, [text]).select(pii.slots(pii.F.col("text")).alias("s")).first().s
+        want = [(m.start(2), m.end(2), m.group(1)) for m in re.finditer(r"(\S+) (\S+)", text)]
+        assert [(x["start"], x["end"], x["word"]) for x in got] == want
+        assert [x["after"] for x in got] == ["é😀"] * (n - 1) + [""]
+
+
 # ------------------------------------------------------------ op9
 
 def brute_hits(doc, items, window=13):
