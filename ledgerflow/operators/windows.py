@@ -7,16 +7,18 @@ task:
 * the velocity count is a ``groupBy`` (partial aggregation before the
   shuffle) joined back to the rows, instead of a whole-partition window that
   would move every row of a hot account to one task;
-* the trailing window first aggregates rows sharing (account, step) - peers
-  of a range frame always see each other, so the frame result depends only
-  on (account, step) - then runs the range window over (account, time
-  bucket) partitions.  Each bucket also receives a copy of the last
-  ``size`` steps of the previous bucket (a halo), so a frame never needs a
-  row from another partition; halo rows are dropped after the window.  The
-  per-(account, step) results are joined back to the rows.  A fractional step
-  can hold any number of distinct steps inside one window length; accounts
-  that have more than ``HOT_STEPS`` of them in a time bucket are split by
-  position instead (``split_rolling``), inside a window length too.
+* the trailing window is a range window over (account, time bucket)
+  partitions.  Each bucket also receives a copy of the last ``size`` steps of
+  the previous bucket (a halo), so a frame never needs a row from another
+  partition; halo rows are dropped after the window.  As long as no account
+  has more than ``HOT_ROWS`` rows in a bucket (``HOT_STEPS`` if steps are
+  fractional), the rows themselves go through it, in one exchange.  Otherwise
+  rows sharing (account, step) are aggregated first - peers of a range frame
+  always see each other, so the frame result depends only on (account, step) -
+  and the per-(account, step) results are joined back to the rows.  A
+  fractional step can hold any number of distinct steps inside one window
+  length; accounts that have more than ``HOT_STEPS`` of them in a time bucket
+  are split by position instead (``split_rolling``), inside a window length too.
 
 ``method="window"`` runs the plain ``Window.partitionBy(account)`` form; it
 gives the same result and is kept for comparison.
@@ -32,6 +34,7 @@ from ..functions.columns import col, hour_of_day
 from .enrich import join_back
 from .prefix import ordered_prefix, same
 
+HOT_ROWS = 1 << 17  # rows of an account in one time bucket of whole steps
 HOT_STEPS = 4096  # distinct fractional steps of an account in one time bucket
 BLOCK_STEPS = 256  # distinct steps in a block of a split account
 SUPER_BLOCKS = 64  # blocks whose totals are added up once more
@@ -115,26 +118,35 @@ def rolling(df: DataFrame, partition: list[str], order: str, value: str,
         return _rolling_window(df, partition, order, value, size, order_type, measures, prefix)
     ord_col = "__ord"
     base = df.withColumn(ord_col, _order_expr(order, order_type))
-    if bucket_width is None:
-        # integral steps: at most ``width`` distinct steps per (account,
-        # bucket) after the peer collapse, so wide buckets are cheap; a
-        # fractional order key can have a row per value, so keep buckets
-        # narrower (more splitting, a larger halo share)
-        integral = isinstance(base.schema[ord_col].dataType, IntegralType)
-        bucket_width = 32 * size if integral else 4 * size
-    width = max(int(bucket_width), size)
+    integral = isinstance(base.schema[ord_col].dataType, IntegralType)
     keys = [*partition, ord_col]
 
+    # one narrow job (row counts, added up before the shuffle) tells whether any
+    # account is too dense for one bucket; most tables have none, and their rows
+    # go through the window as they are: one exchange, nothing to join back
+    width = max(int(bucket_width or 32 * size), size)
+    many = F.count(F.lit(1)).alias("__n")
+    if (base.groupBy(*partition, F.floor(F.col(ord_col) / F.lit(width)).alias("__bucket")).agg(many)
+            .filter(F.col("__n") > (HOT_ROWS if integral else HOT_STEPS)).isEmpty()):
+        aggs = {"sum": F.sum(value), "count": F.count(F.lit(1)), "max": F.max(value)}
+        return _halo_window(base, partition, ord_col, size, width,
+                            {f"{prefix}_{m}": aggs[m] for m in measures}).drop(ord_col)
+
+    if bucket_width is None and not integral:
+        # whole steps: at most ``width`` distinct steps per (account, bucket)
+        # after the peer collapse, so wide buckets are cheap; a fractional
+        # order key can have a row per value, so keep buckets narrower (more
+        # splitting, a larger halo share)
+        width = 4 * size
+
     # 1. peers collapse: one row per (partition, step), partial agg first.
     per_step = base.groupBy(*keys).agg(
         F.sum(value).alias("__s"), F.count(F.lit(1)).alias("__c"), F.max(value).alias("__m"))
 
     # 2. frames over time buckets; accounts too dense for one bucket by position
     bucket = F.floor(F.col(ord_col) / F.lit(width)).alias("__bucket")
-    many = F.count(F.lit(1)).alias("__n")
-    # one narrow job (row counts, added up before the shuffle) tells whether any
-    # account can be dense; most tables have none and keep the shorter plan
-    if (isinstance(base.schema[ord_col].dataType, IntegralType)
+    # a job as above, for the narrower buckets
+    if (integral
             or base.groupBy(*partition, bucket).agg(many).filter(F.col("__n") > HOT_STEPS).isEmpty()):
         rolled = _halo_rolling(per_step, partition, ord_col, size, width)
     else:
@@ -154,20 +166,27 @@ _PARTS = {"sum": "__s", "count": "__c", "max": "__m"}
 
 def _halo_rolling(per_step: DataFrame, partition: list[str], ord_col: str, size: int, width: int) -> DataFrame:
     """Trailing sums, counts and maxima (``__s``, ``__c``, ``__m``) of rows
-    unique on (partition, order): a range window per time bucket, which also
+    unique on (partition, order)."""
+    return _halo_window(per_step.select(*partition, ord_col, "__s", "__c", "__m"), partition, ord_col, size, width,
+                        {c: f(c) for f, c in _MEASURES})
+
+
+def _halo_window(df: DataFrame, partition: list[str], ord_col: str, size: int, width: int,
+                 aggs: dict[str, F.Column]) -> DataFrame:
+    """``df`` with the aggregates of each row's trailing frame, in place of
+    columns of the same names: a range window per time bucket, which also
     receives the last ``size`` steps of the bucket before (the halo)."""
-    keys = [*partition, ord_col]
     b = F.floor(F.col(ord_col) / F.lit(width)).cast("long")
     edge = (b + 1) * F.lit(width) - F.lit(size)
     halo = F.col(ord_col) >= edge
-    with_bucket = per_step.select(
-        *keys, "__s", "__c", "__m", b.alias("__home"),
+    with_bucket = df.select(
+        "*", b.alias("__home"),
         F.explode_outer(F.sequence(b, F.when(halo, b + 1).otherwise(b))).alias("__bucket"))
     w = (Window.partitionBy(*partition, "__bucket").orderBy(ord_col)
          .rangeBetween(-size, 0))
-    framed = with_bucket.select(*keys, "__home", "__bucket", F.sum("__s").over(w).alias("__s"),
-                                F.sum("__c").over(w).alias("__c"), F.max("__m").over(w).alias("__m"))
-    return framed.filter(F.col("__bucket").eqNullSafe(F.col("__home"))).select(*keys, "__s", "__c", "__m")
+    framed = with_bucket.select(*[c for c in df.columns if c not in aggs], "__home", "__bucket",
+                                *[a.over(w).alias(c) for c, a in aggs.items()])
+    return framed.filter(F.col("__bucket").eqNullSafe(F.col("__home"))).drop("__home", "__bucket")
 
 
 def split_rolling(per_step: DataFrame, partition: list[str], ord_col: str, size: int,

@@ -140,3 +140,21 @@ def test_one_account_is_spread_over_tasks(spark):
     finally:
         spark.conf.set(key, "true")
     assert len(sizes) > 4 and max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]
+
+
+@pytest.mark.parametrize("order_type, limit", [("long", "HOT_ROWS"), ("double", "HOT_STEPS")])
+def test_rows_pass_the_window_in_one_exchange(spark, monkeypatch, order_type, limit):
+    """Rows of accounts that fit a bucket are shuffled once and joined with
+    nothing; dense accounts still take the collapsed form, with equal results."""
+    df = _dense(spark, 1500)
+    want = win.rolling(df, ["acct"], "step", "amount", size=7, order_type=order_type, method="window")
+    cols = ["id", "acct", "step", "amount", "rolling_24h_count", "rolling_24h_max", "s"]
+    want = rows(want.withColumn("s", F.round("rolling_24h_sum", 6)), *cols)
+    whole = win.rolling(df, ["acct"], "step", "amount", size=7, order_type=order_type)
+    plan = whole._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and plan.count("Window [") == 1
+    assert rows(whole.withColumn("s", F.round("rolling_24h_sum", 6)), *cols) == want
+    monkeypatch.setattr(win, limit, 10)
+    dense = win.rolling(df, ["acct"], "step", "amount", size=7, order_type=order_type)
+    assert "Join" in dense._jdf.queryExecution().sparkPlan().toString()
+    assert rows(dense.withColumn("s", F.round("rolling_24h_sum", 6)), *cols) == want
