@@ -40,3 +40,14 @@ def test_daily_counts_add_up(spark):
     assert total == ta.count() + tb.count()
     parts = [wl.workload1([(ta, fx.TA_LAYOUT)]).count(), wl.workload1([(tb, fx.TB_LAYOUT)]).count()]
     assert w1.count() == sum(parts)
+
+
+def test_pair_workload_reads_its_facts_once(spark):
+    """Facts, edges and their lookup: three joins, none back to the facts."""
+    from conftest import SF_SMALL
+    from ledgerflow import fixtures as fx
+    from ledgerflow.plans import workloads as wl
+    out = wl.workload3_pair(fx.tb(spark, SF_SMALL), fx.TB_LAYOUT, fx.net(spark, SF_SMALL), fx.NET_EDGE_ORDER)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 3
+    assert out.count() == fx.tb(spark, SF_SMALL).filter("step is not null and amount is not null").count()
