@@ -105,11 +105,16 @@ def tb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def net(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tb(spark, sf_dir)
+    return net_of(tb(spark, sf_dir))
+
+
+def net_of(t: DataFrame, order: tuple[str, ...] = ("line_id", "part_id", "step")) -> DataFrame:
+    """``net`` out of ``tb``, e.g. one that was written and read again;
+    ``order``: the columns that only the order of a pair's edges needs."""
     return t.filter(F.col("category") == "R").select(
         F.col("customer").alias("Source"), F.col("merchant").alias("Target"),
         F.col("amount").alias("Weight"), F.col("category").alias("typeTrans"),
-        "fraud", "line_id", "part_id", "step")
+        "fraud", *order)
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 enrichment + trailing window (W3), each over any number of sources.
 
 Sources are (DataFrame, Layout) pairs; a Layout names the column roles, so
-the same plan serves PaySim- and BankSim-shaped tables.  Nothing here acts
-on the data: every function returns a lazy DataFrame.
+the same plan serves PaySim- and BankSim-shaped tables.  Every function
+returns a lazy DataFrame; W3 counts rows (``rolling``) and writes its dimensions
+while its plan is built.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from ..operators.enrich import enrich, enrich_pair, network_dimension
 from ..operators.windows import attach_velocity, rolling, velocity_moments
 from ..schemas import (AMOUNT_Z_THRESHOLD, VELOCITY_THRESHOLD, WINDOW_SIZE_STEPS,
                        W1_COLUMNS, Layout)
+from ..session import scratch_path
+from ..sources.sinks import stored
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """UNION ALL by column name; no input is an error."""
@@ -66,11 +69,12 @@ def fraud_flags(df: DataFrame, lay: Layout, velocity_threshold: int = VELOCITY_T
     The facts are read twice: for the rows, and for one aggregate per account
     and hour that gives both the counts and the statistics.
     """
-    src = fraud_source(df, lay, clamp_nonpositive)
     moments = fraud_moments(df, lay, clamp_nonpositive, keys)
     stats = merged_stats(moments, ddof) if stats is None else stats.agg(
         F.max("global_mean").alias("global_mean"), F.max("global_std").alias("global_std"))
-    src = attach_stats(attach_velocity(src, moments, lay.account, lay.step, keys=keys), stats)
+    # the logarithm is taken after the join: it need not be shuffled
+    src = attach_velocity(require(df, lay.step, lay.amount), moments, lay.account, lay.step, keys=keys)
+    src = attach_stats(src.withColumn("log_amount", log_amount(lay.amount, clamp_nonpositive)), stats)
     # one projection for the dependent columns (the z expression is shared)
     vel = F.col("hourly_tx_count") >= velocity_threshold
     z = zscore("log_amount", "global_mean", "global_std")
@@ -166,9 +170,10 @@ def workload2_pooled(sources: list[tuple[DataFrame, Layout]],
 def enriched_rolling(facts: DataFrame, dim: DataFrame, lay: Layout,
                      order_type: str | None = None, size: int = WINDOW_SIZE_STEPS,
                      method: str = "skew_safe") -> DataFrame:
-    # the window reads account, step and amount only; enriching its result
-    # evaluates the dimension join once
     src = require(facts, lay.step, lay.amount)
+    # the dimension is written first, so that its size is known when the join is
+    # planned: a small one is broadcast without the facts being shuffled for it
+    dim = stored(dim, scratch_path(dim.sparkSession, "dimension"))
     rolled = rolling(src, [lay.account], lay.step, lay.amount, size=size,
                      order_type=order_type, method=method)
     return enrich(rolled, dim, lay.counterparty).select(

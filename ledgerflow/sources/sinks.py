@@ -29,6 +29,13 @@ def write_counted(df: DataFrame, path: str, fmt: str = "parquet",
     return int(obs.get["n"])
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as Parquet and read again: readers of the result share
+    one execution of what made it, and read only the columns they need."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def format_lines(df: DataFrame, spec: list[tuple[str, int | None]], sep: str = ",") -> DataFrame:
     """One text column ``line``: the listed columns joined by ``sep``; a
     column with digits is written with that many decimals (``%.Nf``)."""

@@ -51,3 +51,14 @@ def test_pair_workload_reads_its_facts_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 3
     assert out.count() == fx.tb(spark, SF_SMALL).filter("step is not null and amount is not null").count()
+
+
+def test_dimension_is_written_before_its_join_is_planned(spark):
+    from conftest import SF_SMALL
+    from ledgerflow import fixtures as fx
+    from ledgerflow.plans import workloads as wl
+    out = wl.workload3(hourly=(fx.ta(spark, SF_SMALL), fx.TA_LAYOUT))
+    plan = out._jdf.queryExecution()
+    assert "Aggregate" not in plan.optimizedPlan().toString() and "BroadcastHashJoin" in plan.sparkPlan().toString()
+    assert out.filter("total_received_tx is not null").count() == fx.ta(spark, SF_SMALL).filter(
+        "step is not null and amount is not null and counterparty is not null").count()

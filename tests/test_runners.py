@@ -55,3 +55,12 @@ def test_ingest_report_counts_what_is_dropped(spark):
     n = fx.ta(spark, SF_SMALL).count()
     assert len(r) == 1 and r[0].source == "paysim" and r[0].n_good + r[0].n_dropped == n
     assert r[0].n_dropped == r[0].too_few_fields + r[0].too_many_fields + r[0].bad_value > 0
+
+
+def test_row_counts_join_their_sources_once(spark, monkeypatch):
+    read, table = [], fx.table
+    monkeypatch.setattr(fx, "table", lambda s, d, name: read.append(name) or table(s, d, name))
+    got = {r.workload: r.output_rows for r in qio.workload_row_counts(spark, SF_SMALL).collect()}
+    assert read.count("lineitem") == 1
+    n = sum(f(spark, SF_SMALL).filter("step is not null and amount is not null").count() for f in (fx.ta, fx.tb))
+    assert got["WL2_fraud"] == got["WL3_join_window"] == n and 0 < got["WL1_aggregation"] <= n
