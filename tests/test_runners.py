@@ -64,3 +64,13 @@ def test_row_counts_join_their_sources_once(spark, monkeypatch):
     assert read.count("lineitem") == 1
     n = sum(f(spark, SF_SMALL).filter("step is not null and amount is not null").count() for f in (fx.ta, fx.tb))
     assert got["WL2_fraud"] == got["WL3_join_window"] == n and 0 < got["WL1_aggregation"] <= n
+
+
+def test_enriched_csv_parses_each_line_once(spark, monkeypatch):
+    from ledgerflow.plans import workloads as wl
+    given, workload3 = [], wl.workload3
+    monkeypatch.setattr(wl, "workload3", lambda **kw: given.append(kw) or workload3(**kw))
+    n = qio.union_enriched_csv(spark, SF_SMALL).count()
+    facts = [given[0][k][0] for k in ("hourly", "daily")]
+    assert all("from_csv" not in f._jdf.queryExecution().optimizedPlan().toString() for f in facts)
+    assert n == sum(f.filter("step is not null and amount is not null").count() for f in facts)
