@@ -11,7 +11,7 @@ partitions of the fact side otherwise).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
@@ -63,6 +63,9 @@ def latest_edge_per_pair(edges: DataFrame, src: str, dst: str, order: list[str],
     return picked.select(src, dst, *[F.col(f"__v.{v}").alias(v) for v in values])
 
 
+EDGE_VALUES = {"dim_type": ("typeTrans", "NONE"), "dim_weight": ("Weight", 0.0)}
+
+
 def enrich_pair(facts: DataFrame, edges: DataFrame, fact_src: str, fact_dst: str,
                 order: list[str], edge_src: str = "Source", edge_dst: str = "Target",
                 values: dict[str, tuple[str, object]] | None = None) -> DataFrame:
@@ -74,7 +77,7 @@ def enrich_pair(facts: DataFrame, edges: DataFrame, fact_src: str, fact_dst: str
     without an edge keep their row with the defaults; edges without facts
     are dropped.
     """
-    values = values or {"dim_type": ("typeTrans", "NONE"), "dim_weight": ("Weight", 0.0)}
+    values = values or EDGE_VALUES
     edge_cols = [v[0] for v in values.values()]
     latest = latest_edge_per_pair(edges, edge_src, edge_dst, order, edge_cols)
     latest = latest.select(F.col(edge_src).alias("__ps"), F.col(edge_dst).alias("__pd"),
@@ -85,3 +88,27 @@ def enrich_pair(facts: DataFrame, edges: DataFrame, fact_src: str, fact_dst: str
             for name, (c, default) in values.items()]
     keep = [F.col(c) for c in facts.columns]
     return j.select(*keep, *outs)
+
+
+def lookup_by_account(facts: DataFrame, edges: DataFrame, fact_src: str, fact_dst: str,
+                      order: list[str], edge_src: str = "Source", edge_dst: str = "Target",
+                      values: dict[str, tuple[str, object]] | None = None) -> DataFrame:
+    """``enrich_pair`` for keys of equal types, with facts and edges dealt
+    together by ``fact_src`` in one exchange, which a window over that column
+    shares.  An account's facts and edges lie in one task, so the caller makes
+    sure that no account has too many."""
+    values = values or EDGE_VALUES
+    one = facts.select(F.col(fact_src).alias("__ps"), F.col(fact_dst).alias("__pd"), F.struct(
+        *[F.col(c) for c in facts.columns if c not in (fact_src, fact_dst)]).alias("__f"))
+    # a NULL key matches nothing
+    two = edges.filter(F.col(edge_src).isNotNull() & F.col(edge_dst).isNotNull()).select(
+        F.col(edge_src).alias("__ps"), F.col(edge_dst).alias("__pd"),
+        F.struct(F.struct(*[col(c) for c in order]).alias("o"),
+                 F.struct(*[F.col(c) for c, _ in values.values()]).alias("v")).alias("__e"))
+    both = one.unionByName(two, allowMissingColumns=True).repartition("__ps")
+    latest = F.max_by("__e.v", "__e.o").over(Window.partitionBy("__ps", "__pd"))
+    found = both.withColumn("__v", latest).filter(F.col("__f").isNotNull())
+    names = {fact_src: "__ps", fact_dst: "__pd"}
+    return found.select(*[F.col(names.get(c, f"__f.{c}")).alias(c) for c in facts.columns],
+                        *[F.coalesce(F.col(f"__v.{c}"), F.lit(default)).alias(name)
+                          for name, (c, default) in values.items()])

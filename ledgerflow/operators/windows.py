@@ -270,13 +270,12 @@ _MEASURES = [(F.sum, "__s"), (F.sum, "__c"), (F.max, "__m")]
 
 
 def _rolling_window(df, partition, order, value, size, order_type, measures, prefix):
-    w = (Window.partitionBy(*partition).orderBy(_order_expr(order, order_type))
-         .rangeBetween(-size, 0))
-    out = df
+    w = Window.partitionBy(*partition).orderBy("__ord").rangeBetween(-size, 0)
+    out = df.withColumn("__ord", _order_expr(order, order_type))  # one sort for all measures
     if "sum" in measures:
         out = out.withColumn(f"{prefix}_sum", F.sum(value).over(w))
     if "count" in measures:
         out = out.withColumn(f"{prefix}_count", F.count(F.lit(1)).over(w))
     if "max" in measures:
         out = out.withColumn(f"{prefix}_max", F.max(value).over(w))
-    return out
+    return out.drop("__ord")

@@ -3,7 +3,7 @@ enrichment + trailing window (W3), each over any number of sources.
 
 Sources are (DataFrame, Layout) pairs; a Layout names the column roles, so
 the same plan serves PaySim- and BankSim-shaped tables.  Every function
-returns a lazy DataFrame; W3 counts rows (``rolling``) and writes its dimensions
+returns a lazy DataFrame; W3 counts rows (``rolling``, ``deals_by_account``) and writes its dimensions
 while its plan is built.
 """
 
@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 from ..functions.columns import col, fixed, flag_or, log_amount, zscore
 from ..operators.aggregate import (attach_stats, build_dimension, daily_agg, merged_stats,
                                    precision_recall, require)
-from ..operators.enrich import enrich, enrich_pair, network_dimension
-from ..operators.windows import attach_velocity, rolling, velocity_moments
+from ..operators.enrich import enrich, enrich_pair, lookup_by_account, network_dimension
+from ..operators.windows import HOT_STEPS, attach_velocity, rolling, velocity_moments
 from ..schemas import (AMOUNT_Z_THRESHOLD, VELOCITY_THRESHOLD, WINDOW_SIZE_STEPS,
                        W1_COLUMNS, Layout)
 from ..session import scratch_path
 from ..sources.sinks import stored
 
+FEW_EDGES = 100_000  # edges that are joined to the facts as they come
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """UNION ALL by column name; no input is an error."""
     if not frames:
@@ -208,16 +210,44 @@ def workload3(hourly: tuple[DataFrame, Layout] | None = None,
     return union_all(parts)
 
 
+def deals_by_account(src: DataFrame, edges: DataFrame, lay: Layout) -> bool:
+    """Whether there are many edges and no account is too dense for one task:
+    one narrow job over the keys alone, counted before they are shuffled."""
+    def kinds(df, *keys):
+        return [f.dataType for f in df.select(*map(col, keys)).schema]
+
+    if kinds(src, lay.account, lay.counterparty) != kinds(edges, "Source", "Target"):
+        return False
+    rows = src.select(col(lay.account).alias("__a"), F.lit(0).alias("__e")).unionAll(
+        edges.select(F.col("Source").alias("__a"), F.lit(1).alias("__e")))
+    most, many = (rows.groupBy("__a").agg(F.count(F.lit(1)).alias("__n"), F.sum("__e").alias("__e"))
+                  .agg(F.max("__n"), F.sum("__e")).first())
+    return (many or 0) > FEW_EDGES and most <= HOT_STEPS
+
+
 def workload3_pair(facts: DataFrame, lay: Layout, edges: DataFrame,
                    edge_order: list[str], size: int = WINDOW_SIZE_STEPS,
                    method: str = "skew_safe") -> DataFrame:
     """Pair lookup (account = Source, counterparty = Target, latest edge
     wins, 'NONE'/0.0 on a miss) then a trailing sum/count over the raw
-    (double) step; amounts exported with two decimals."""
+    (double) step; amounts exported with two decimals.
+
+    Facts and more than ``FEW_EDGES`` edges are dealt together by account, in
+    one exchange for both steps, as long as no account has more than
+    ``HOT_STEPS`` of them.  Fewer edges are joined as they come (broadcast, as
+    a rule), and with a denser account facts are dealt by time bucket, then by
+    pair."""
     src = require(facts, lay.step, lay.amount)
-    rolled = rolling(src, [lay.account], lay.step, lay.amount, size=size,
-                     order_type="double", measures=("sum", "count"), method=method)
-    return enrich_pair(rolled, edges, lay.account, lay.counterparty, order=edge_order).select(
+    window = dict(size=size, order_type="double", measures=("sum", "count"))
+    if method == "skew_safe" and deals_by_account(src, edges, lay):
+        # rows travel as structs, which nothing prunes: only the columns of the result
+        needed = [lay.account, lay.counterparty, lay.step, lay.type, lay.amount, lay.label]
+        found = lookup_by_account(src.select(*needed), edges, lay.account, lay.counterparty, order=edge_order)
+        out = rolling(found, [lay.account], lay.step, lay.amount, method="window", **window)
+    else:
+        rolled = rolling(src, [lay.account], lay.step, lay.amount, method=method, **window)
+        out = enrich_pair(rolled, edges, lay.account, lay.counterparty, order=edge_order)
+    return out.select(
         col(lay.account).alias("account"), F.lit(lay.dataset).alias("dataset"),
         col(lay.step).cast("double").alias("step"), col(lay.type).alias("type"),
         fixed(lay.amount, 2).alias("amount"),

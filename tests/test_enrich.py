@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from conftest import SF_SMALL, rows
 from ledgerflow import fixtures as fx
 from ledgerflow.operators import aggregate as agg
@@ -62,3 +64,38 @@ def test_dimension_is_written_before_its_join_is_planned(spark):
     assert "Aggregate" not in plan.optimizedPlan().toString() and "BroadcastHashJoin" in plan.sparkPlan().toString()
     assert out.filter("total_received_tx is not null").count() == fx.ta(spark, SF_SMALL).filter(
         "step is not null and amount is not null and counterparty is not null").count()
+
+
+def _pairs(spark):
+    """Facts with NULL and repeated keys, tied and NULL steps; edges of pairs
+    that are missing, repeated, NULL or without a fact."""
+    facts = spark.range(600).selectExpr(
+        "id as line_id", "if(id % 11 = 0, null, concat('C', id % 7)) as customer",
+        "if(id % 13 = 0, null, concat('M', id % 5)) as merchant", "if(id % 17 = 0, null, id % 90) as step",
+        "if(id % 2 = 0, 'R', 'N') as category", "if(id % 19 = 0, null, id * 0.25D) as amount",
+        "cast(id % 3 = 0 as int) as fraud")
+    edges = spark.range(200).selectExpr(
+        "if(id % 9 = 0, null, concat('C', id % 9)) as Source", "if(id % 8 = 0, null, concat('M', id % 4)) as Target",
+        "if(id % 6 = 0, null, id * 1.5D) as Weight", "if(id % 10 = 0, null, concat('T', id % 3)) as typeTrans",
+        "1 as fraud", "id as line_id", "id as part_id", "if(id % 7 = 0, null, id % 30) as step")
+    return facts.unionAll(facts.limit(50)), edges
+
+
+def test_pair_workload_shuffles_its_facts_once(spark, monkeypatch):
+    """Many edges: facts and edges are dealt by account in one exchange for the
+    lookup and the window, with the rows of the joined form."""
+    facts, edges = _pairs(spark)
+    joined = wl.workload3_pair(facts, fx.TB_LAYOUT, edges, fx.NET_EDGE_ORDER)
+    monkeypatch.setattr(wl, "FEW_EDGES", 0)
+    dealt = wl.workload3_pair(facts, fx.TB_LAYOUT, edges, fx.NET_EDGE_ORDER)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert dealt.schema.simpleString() == joined.schema.simpleString()
+    assert rows(dealt) == rows(joined) and dealt.filter("dim_type <> 'NONE'").count() > 50
+    # a dense account, or keys that have to be cast, take the joined form
+    monkeypatch.setattr(wl, "HOT_STEPS", 20)
+    assert not wl.deals_by_account(facts, edges, fx.TB_LAYOUT)
+    monkeypatch.setattr(wl, "HOT_STEPS", 4096)
+    assert wl.deals_by_account(facts, edges, fx.TB_LAYOUT)
+    assert not wl.deals_by_account(facts, edges.withColumn("Source", F.lit(1)), fx.TB_LAYOUT)
+    assert not wl.deals_by_account(facts.limit(0), edges.limit(0), fx.TB_LAYOUT)
