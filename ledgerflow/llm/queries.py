@@ -116,7 +116,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Learned from the rows whose labels op5 may use."""
     return toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"),
-                        train=F.pmod(crc_text("__id"), F.lit(3)) != 1)
+                        train=F.pmod(crc_text("__id"), F.lit(3)) != 1, discount="absolute")
 
 
 @query("op5_kneser_ney_toxicity")

@@ -1,8 +1,8 @@
 """Toxicity by class-conditional Kneser-Ney models over words and word pairs.
 
-The class is the history: a class's counts are discounted, and the discounted
-mass goes to one backoff distribution that both classes share,
-    P(x | c) = max(n_c(x) - D_c(x), 0) / N_c + L * P_cont(x),
+The class is the history: a class's counts are discounted absolutely, and the
+discounted mass goes to one backoff distribution that both classes share,
+    P(x | c) = max(n_c(x) - D_c, 0) / N_c + L_c * P_cont(x),
 for expressions x of one order (words, or pairs of consecutive words).  Both
 classes are modelled alike:
 
@@ -10,29 +10,37 @@ classes are modelled alike:
   sum over all x.  n_c(x) is the smaller of d_c(x) and of the number of distinct
   words that x follows in the class: Kneser-Ney's type count, so a passage that
   is copied, exactly or nearly, counts about once.
+* D_c is modified Kneser-Ney's absolute discount: one each for counts of 1, of 2
+  and of 3 or more, from the class's counts of counts over all its expressions
+  (d_c of 1 to 4; ``FALLBACK`` where they do not give discounts above 0).
 * P_cont(x) is the continuation probability: the distinct words that x follows
   in all documents, labelled or not, by the distinct (word before, x) of all x.
-* D_c(x) is the largest count that the other class explains.  With
-  up(k) = k + SIGMAS * sqrt(k + 1), what sampling may add to a count of k,
-  D_c = up(LIFT * N_c / N_o * up(d_o(x))) for the other class o.  A rare
-  expression, or one about as common in either class, is discounted whole and
-  has the shared backoff in both models, a ratio of 1.  (An absolute discount
-  from the counts of counts leaves each class the rare words that its size
-  makes it see; held out on sf0.1 that finds 8 % of the toxic documents.)
-* L, the discounted share of the pooled counts, is the same for both classes.
-
-A word counts by its pair with the word before, if that pair departs in a
-class, and backs off to the word alone otherwise.  A document's evidence is the
-difference of the two log-likelihoods divided by its words; a logistic curve,
-fitted on about ``FIT_ROWS`` labelled rows (each scored without its own
-counts), turns it into a score.
+* The models are pruned, as n-gram models of corpora are: x keeps its counts, in
+  both classes, if it departs in one of them, that is if n_c(x) exceeds what the
+  other class explains.  With up(k) = k + SIGMAS * sqrt(k + 1), what sampling
+  may add to a count of k, that is up(LIFT * N_c / N_o * up(d_o(x))) for the
+  other class o.  A pruned x has the probability L_c * P_cont(x) in both models.
+* L_c, the class's own backoff weight, is what the discounts and the pruned
+  counts leave: 1 less the discounted counts of the kept x by N_c, so that each
+  model sums to 1.
+
+A word counts by its pair with the word before, if that pair is kept, and backs
+off to the word alone otherwise.  A document's evidence is the difference of the
+two log-likelihoods of all its words (a word that is not kept adds
+log(L_toxic / L_ordinary)) divided by their number; a logistic curve, fitted on
+about ``FIT_ROWS`` labelled rows (each scored without its own counts), turns it
+into a score.
+
+``fit`` also has the discount "explained": D_c(x) is all that the other class
+explains, and L, the discounted share of the pooled counts, serves both classes.
 
 Nothing is capped or hashed into cells: keys are 64-bit hashes (words even,
-pairs odd), counts and distinct neighbours exact sums over partial aggregates.
-Only the two normalisers of P_cont are estimated, from the ``SKETCH`` smallest
-hashes of their terms (exact up to that many, 3 % beyond).  The expressions
-that depart form a table that stays distributed and grows with the corpus; it
-is sent to the tasks in blocks of about ``BLOCK_ROWS`` rows, one at a time.
+pairs odd), counts, counts of counts and distinct neighbours exact sums over
+partial aggregates.  Only the two normalisers of P_cont are estimated, from the
+``SKETCH`` smallest hashes of their terms (exact up to that many, 3 % beyond).
+The expressions that are kept form a table that stays distributed and grows with
+the corpus; it is sent to the tasks in blocks of about ``BLOCK_ROWS`` rows, one
+at a time.
 
 Words: lower-cased A-Z, runs of digits, ASCII letters and non-ASCII
 characters.  Defined cases: a null or wordless text has no evidence (the
@@ -50,7 +58,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import Scratch, cut, fresh
@@ -59,6 +67,7 @@ from .text import byte_class, mix64, word_slices
 BROADCAST_LABELS = 1_000_000
 FIT_ROWS = 20_000  # labelled rows, about, that the logistic curve is fitted on
 SIGMAS, LIFT = 2.0, 2.0
+FALLBACK = (0.5, 1.0, 1.5)  # discounts of counts of 1, 2, 3 or more without usable counts of counts
 THRESHOLD = 0.7
 BLOCK_ROWS = 2_000_000
 SKETCH = 1024
@@ -232,18 +241,45 @@ def _excesses(t: Column, tc: Column, o: Column, oc: Column) -> tuple[Column, Col
             F.greatest(F.least(o, oc) - _discount(t, "mass_o", "mass_t"), F.lit(0.0)))
 
 
+def discounts(n: list[int]) -> tuple[float, ...]:
+    """Modified Kneser-Ney's discounts of counts of 1, 2, 3 or more, from the
+    numbers of expressions that are counted 1, 2, 3 and 4 times."""
+    if not all(n):
+        return FALLBACK
+    y = n[0] / (n[0] + 2 * n[1])
+    found = tuple(k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3))
+    return found if min(found) > 0 else FALLBACK
+
+
+def _discounted(n: Column, by_size: str) -> Column:
+    """A count less the discount of its size, an item of the array ``by_size``."""
+    less = F.get(F.col(by_size), (F.least(n, F.lit(3)) - 1).cast("int"))
+    return F.greatest(n - F.coalesce(less, F.lit(0.0)), F.lit(0.0))
+
+
+def _kept(t: Column, tc: Column, o: Column, oc: Column) -> tuple[Column, Column]:
+    """Both classes' counts after the absolute discount, if one of them departs."""
+    over = _excesses(t, tc, o, oc)
+    departs = over[0] + over[1] > 0
+    return (F.when(departs, _discounted(F.least(t, tc), "less_t")).otherwise(0.0),
+            F.when(departs, _discounted(F.least(o, oc), "less_o")).otherwise(0.0))
+
+
 def _ratio(excess: tuple[Column, Column]) -> Column:
     """log P(x | toxic) - log P(x | ordinary)."""
-    back = F.col("shared") * F.col("cont") / F.col("terms")
-    return F.log((excess[0] / F.col("mass_t") + back) / (excess[1] / F.col("mass_o") + back))
+    back = F.col("cont") / F.col("terms")
+    return F.log((excess[0] / F.col("mass_t") + F.col("back_t") * back)
+                 / (excess[1] / F.col("mass_o") + F.col("back_o") * back))
 
 
 @dataclass
 class Model:
     """The expressions that depart in a class, as a table (key, r, rt, ro): the
-    log ratio, and what it is without one toxic or one ordinary document."""
+    log ratio, and what it is without one toxic or one ordinary document.
+    ``rest`` is the log ratio of every other word."""
     table: DataFrame | None = None
     rows: int = 0
+    rest: float = 0.0
     slope: float = 0.0
     level: float = -40.0
 
@@ -261,18 +297,29 @@ def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
         "text", F.coalesce("__toxic", F.lit(-1)).alias("label"))
 
 
-def departing(rows: DataFrame) -> tuple[DataFrame | None, int]:
-    """The model's table over (text, label) rows, and its number of rows."""
+def _counts_of_counts() -> list[Column]:
+    """How many words (0) and pairs (1) 1 to 4 documents of a class hold."""
+    return [F.count(F.when((F.col(c) == n) & (F.col("kind") == kind) & ~F.col("key").between(0, 1), 1))
+            .alias(f"{c}{kind}{n}") for c in "to" for kind in (0, 1) for n in (1, 2, 3, 4)]
+
+
+def departing(rows: DataFrame, discount: str = "explained") -> tuple[DataFrame | None, int, float]:
+    """The model's table over (text, label) rows, its number of rows, and the
+    log ratio of a word that is not in it."""
+    if discount not in ("absolute", "explained"):
+        raise ValueError(f"no such discount: {discount}")
     spark, work = rows.sparkSession, Scratch(rows.sparkSession)
     counts = (rows.where("label >= 0").mapInArrow(_counter(), "key long, t long, o long")
               .groupBy("key").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
               .withColumn("kind", F.col("key").bitwiseAND(1)))
-    # what no more than two documents of a class hold is discounted whole, whatever the masses
+    seen = Observation()
+    counts = counts.observe(seen, *_counts_of_counts())
+    # what no more than two documents of a class hold departs in none, whatever the masses
     counts = work.keep(counts.where((F.col("key").between(0, 1)) | (F.greatest("t", "o") > SIGMAS)), "counts")
     mass = {r.kind: r for r in counts.where(F.col("key").between(0, 1)).collect()}
     if not mass or min(mass[0].t, mass[0].o) == 0:
         work.free("counts")
-        return None, 0
+        return None, 0, 0.0
 
     def by_kind(of) -> Column:
         return F.when(F.col("kind") == 0, F.lit(float(of(0)))).otherwise(F.lit(float(of(1))))
@@ -286,7 +333,7 @@ def departing(rows: DataFrame) -> tuple[DataFrame | None, int]:
     work.free("counts")
     n = wanted.count()
     if not n:
-        return None, 0
+        return None, 0, 0.0
     parts, totals = [], {}
     for k, block in enumerate(_blocks(wanted, n)):
         keys = np.sort(block.select("key").toArrow().column("key").to_numpy().view(np.uint64))
@@ -305,32 +352,54 @@ def departing(rows: DataFrame) -> tuple[DataFrame | None, int]:
     for p in parts[1:]:
         table = table.union(p)
     tc, oc = F.col("tc"), F.col("oc")
-    both = _excesses(t, tc, o, oc)
-    table = wanted.join(table, "key").withColumn("over", both[0] + both[1]).where("over > 0")
-    over = {r.kind: r.over for r in table.groupBy("kind").agg(F.sum("over").alias("over")).collect()}
-    table = (table.withColumn("terms", by_kind(lambda k: totals[k])).withColumn("shared", by_kind(
-        lambda k: max(0.1, 1 - over.get(k, 0) / max(1, mass[k].t + mass[k].o)) if k in mass else 1))
-        .select("key", _ratio(both).alias("r"),
-                _ratio(_excesses(t - (t > 0).cast("int"), tc - (tc > 0).cast("int"), o, oc)).alias("rt"),
-                _ratio(_excesses(t, tc, o - (o > 0).cast("int"), oc - (oc > 0).cast("int"))).alias("ro")))
+    table = wanted.join(table, "key")
+    if discount == "absolute":
+        excesses = _kept
+        for c in "to":
+            less = [F.array(*[F.lit(d) for d in discounts([seen.get[f"{c}{kind}{k}"] for k in (1, 2, 3, 4)])])
+                    for kind in (0, 1)]
+            table = table.withColumn(f"less_{c}", F.when(F.col("kind") == 0, less[0]).otherwise(less[1]))
+    else:
+        excesses = _excesses
+    both = excesses(t, tc, o, oc)
+    table = table.withColumn("over_t", both[0]).withColumn("over_o", both[1]).where("over_t + over_o > 0")
+    over = {r.kind: r for r in table.groupBy("kind").agg(
+        F.sum("over_t").alias("t"), F.sum("over_o").alias("o")).collect()}
+
+    def backoff(c: str, k: int) -> float:
+        if k not in mass or k not in over:
+            return 1.0
+        if discount == "absolute":
+            return 1 - getattr(over[k], c) / getattr(mass[k], c)
+        return max(0.1, 1 - (over[k].t + over[k].o) / max(1, mass[k].t + mass[k].o))
+
+    table = (table.withColumn("terms", by_kind(lambda k: totals[k]))
+             .withColumn("back_t", by_kind(lambda k: backoff("t", k)))
+             .withColumn("back_o", by_kind(lambda k: backoff("o", k)))
+             .select("key", _ratio(both).alias("r"),
+                     _ratio(excesses(t - (t > 0).cast("int"), tc - (tc > 0).cast("int"), o, oc)).alias("rt"),
+                     _ratio(excesses(t, tc, o - (o > 0).cast("int"), oc - (oc > 0).cast("int"))).alias("ro")))
     table = cut(table)
     work.free(*[f"found{k}" for k in range(len(parts))])
-    return table, table.count()
+    return table, table.count(), float(np.log(backoff("t", 0) / backoff("o", 0)))
 
 
-def _block_evidence(spark, block: DataFrame):
+def _block_evidence(spark, block: DataFrame, rest: float, first: bool):
     """A function of texts and labels (-1: score as they are): the evidence that
-    one block of the model gives, and the broadcast that it uses."""
+    one block of the model gives beyond ``rest``, the log ratio of a word outside
+    the model (the first block adds it for all words), and the broadcast that it
+    uses."""
     got = block.orderBy(F.col("key") < 0, "key").toArrow()
     model = {c: got.column(c).to_numpy() for c in ("key", "r", "rt", "ro")}
     model["key"] = model["key"].view(np.uint64)
+    base = rest if first else 0.0
     sent, table = spark.sparkContext.broadcast(model), byte_class("alnum")
 
     @F.arrow_udf("double")
     def evidence(texts: pa.Array, labels: pa.Array) -> pa.Array:
         m = sent.value
         find, label = _finder(m["key"]), labels.to_numpy(zero_copy_only=False)
-        by_label = np.stack([m["r"], m["ro"], m["rt"]])
+        by_label = np.stack([m["r"], m["ro"], m["rt"]]) - rest
         out = np.zeros(len(texts))
         for a, b, w in word_slices(texts, table):
             word, pair, _, _ = expressions(w)
@@ -339,7 +408,7 @@ def _block_evidence(spark, block: DataFrame):
             hit = np.flatnonzero(at >= 0)
             doc = a + np.searchsorted(w.first, hit, side="right") - 1
             np.add.at(out, doc, by_label[label[doc] + 1, at[hit]])
-            out[a:b] /= np.maximum(w.counts, 1)
+            out[a:b] = out[a:b] / np.maximum(w.counts, 1) + np.where(w.counts > 0, base, 0.0)
         return pa.array(out, pa.float64())
     return evidence, sent
 
@@ -352,7 +421,7 @@ def with_evidence(docs: DataFrame, model: Model, out: str, text: Column, label:
         return df
     blocks = _blocks(model.table, model.rows)
     for k, block in enumerate(blocks):
-        evidence, sent = _block_evidence(docs.sparkSession, block)
+        evidence, sent = _block_evidence(docs.sparkSession, block, model.rest, k == 0)
         df = df.withColumn(name, F.col(name) + evidence(text, label))
         if k < len(blocks) - 1:
             df = cut(df)
@@ -361,11 +430,12 @@ def with_evidence(docs: DataFrame, model: Model, out: str, text: Column, label:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id",
-        text_col: str = "text", fit_rows: int = FIT_ROWS) -> Model:
+        text_col: str = "text", fit_rows: int = FIT_ROWS, discount: str = "explained") -> Model:
     """Count over all rows of ``docs``; ``train`` (a condition on ``__id``)
-    says whose labels may be used."""
+    says whose labels may be used, ``discount`` ("absolute" or "explained")
+    what the counts lose."""
     rows = _labelled(docs, labels, id_col, text_col, train)
-    model = Model(*departing(rows))
+    model = Model(*departing(rows, discount))
     known = rows.where("label >= 0")
     n = known.count()
     if not n:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerflow.llm import (ann, common, decontam, langid, minhash, mix, pii, quality, shard, text,
+from ledgerflow.llm import (ann, common, decontam, langid, minhash, mix, pii, quality, queries, shard, text,
                             toxicity, warc)
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -302,6 +302,85 @@ def test_toxicity_matches_both_likelihoods_in_plain_python(spark, monkeypatch):
         assert np.allclose([r.z for r in rows], want, rtol=1e-9, atol=1e-12)
 
 
+def kneser_ney_evidence(texts, label, train):
+    """Both log-likelihoods of every text after the absolute discount, in plain
+    Python, and the discounts used."""
+    def up(k):
+        return k + toxicity.SIGMAS * math.sqrt(k + 1)
+
+    token = [words_of(t or "", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+") for t in texts]
+    p, rest, used = [{}, {}], [], []
+    for order in (1, 2):
+        held, ctx = [Counter(), Counter()], [defaultdict(set), defaultdict(set)]
+        everywhere = defaultdict(set)
+        for i, w in enumerate(token):
+            c = label.get(i) if i in train else None
+            grams = [(tuple(w[j: j + order]), w[j - 1] if j else None) for j in range(len(w) - order + 1)]
+            for x, left in grams:
+                everywhere[x].add(left)
+                if c is not None:
+                    ctx[c][x].add(left)
+            if c is not None:
+                held[c].update({x for x, _ in grams})
+        mass = [sum(h.values()) for h in held]
+        count = [{x: min(held[c][x], len(ctx[c][x])) for x in held[0] | held[1]} for c in (0, 1)]
+        kept = [x for x in held[0] | held[1] if any(
+            count[c][x] > up(toxicity.LIFT * mass[c] / mass[1 - c] * up(held[1 - c][x])) for c in (0, 1))]
+        terms = sum(map(len, everywhere.values()))
+        for c in (0, 1):
+            n = [0] + [sum(v == k for v in held[c].values()) for k in (1, 2, 3, 4)]
+            cut = [0, 0.5, 1.0, 1.5]
+            if all(n[1:]):
+                y = n[1] / (n[1] + 2 * n[2])
+                found = [0, 1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3]]
+                cut = found if min(found[1:]) > 0 else cut
+            used.append(cut[1:])
+            left = {x: max(count[c][x] - cut[min(count[c][x], 3)], 0) for x in kept}
+            back = 1 - sum(left.values()) / mass[c]
+            p[c] |= {x: left[x] / mass[c] + back * len(everywhere[x]) / terms for x in kept}
+            if order == 1:
+                rest.append(math.log(back))
+    out = []
+    for w in token:
+        z = 0.0
+        for j in range(len(w)):
+            x = next((x for x in (tuple(w[max(j - 1, 0): j + 1]), (w[j],)) if x in p[0]), None)
+            z += math.log(p[1][x] / p[0][x]) if x else rest[1] - rest[0]
+        out.append(z / max(len(w), 1))
+    return out, p[0], used
+
+
+def test_op5_discounts_absolutely_from_the_counts_of_counts(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(7)
+    words, rare = [f"w{i}" for i in range(40)], [f"r{i}" for i in range(300)]
+    texts, label = [], {}
+    for i in range(300):
+        w = [*rng.choice(words, 20), *rng.choice(rare, 6)]
+        w[7:7] = ["Vile", "w1"] if i % 3 == 0 else ["kind", "w2", "w3"] if i % 2 == 0 else []
+        texts.append(" ".join(w))
+        label[i] = int(i % 3 == 0)
+    texts += ["", None, "kind vile w1 w2 w3", "nothing known"]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(label.items()), "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    train = {i for i in label if zlib.crc32(str(i).encode()) % 3 != 1}
+    want, kept, used = kneser_ney_evidence(texts, label, train)
+    assert {len(x) for x in kept} == {1, 2} and [0.5, 1.0, 1.5] not in used[:2]  # words: discounts from the counts
+    monkeypatch.setattr(toxicity, "SKETCH", 1 << 16)  # exact normalisers
+    for block_rows in (2_000_000, max(1, len(kept) // 3)):
+        monkeypatch.setattr(toxicity, "BLOCK_ROWS", block_rows)
+        model = queries.toxicity_model(df, spark, str(tmp_path))
+        assert model.rows == len(kept) and model.rest != 0
+        rows = toxicity.with_evidence(df, model, "z", F.col("text"), F.lit(-1)).orderBy("doc_id").collect()
+        assert np.allclose([r.z for r in rows], want, rtol=1e-9, atol=1e-12)
+
+
+def test_absolute_discounts_without_usable_counts_of_counts():
+    assert np.allclose(toxicity.discounts([40, 10, 5, 2]), (2 / 3, 1.0, 3 - 4 * (2 / 3) * 2 / 5))
+    assert toxicity.discounts([0, 10, 5, 2]) == toxicity.FALLBACK  # rows that all come twice
+    assert toxicity.discounts([9, 1, 9, 9]) == toxicity.FALLBACK  # a discount below 0
+
+
 def test_toxicity_finds_a_fixed_phrase_of_common_words(spark):
     rng = np.random.default_rng(6)
     words = [f"w{i}" for i in range(60)]
